@@ -43,11 +43,11 @@ def powers(n: int) -> list[np.ndarray]:
 
 
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a string array; nulls are empty."""
-    if not pa.types.is_large_string(col.type):
-        col = col.cast(pa.large_string())
+    """Bytes and offsets of a string or binary array; nulls are empty."""
+    binary = pa.types.is_binary(col.type) or pa.types.is_large_binary(col.type)
+    col = col.cast(pa.large_binary() if binary else pa.large_string())
     if col.null_count:
-        col = col.fill_null("")
+        col = col.fill_null(b"" if binary else "")
     off = np.frombuffer(col.buffers()[1], np.int64, len(col) + 1, col.offset * 8)
     data = col.buffers()[2]
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
@@ -177,11 +177,8 @@ def unpack(b: bytes, n: int = CHUNK) -> np.ndarray:
     return np.frombuffer(pa.decompress(b[1:], n * np.dtype(kind).itemsize, "zstd", asbytes=True), kind).astype(np.int64)
 
 
-def heavy_buckets(rows, orders: int, buckets: int, least: int):
-    """From rows (chunk, data) of all partitions: a bitmap for each order of the buckets counting ``least`` or more.
-
-    Sums are made on the executors, streaming, a few chunks to a task; only bitmaps (orders * buckets / 8 bytes) come to the driver.
-    """
+def sum_chunks(rows, chunks: int):
+    """Sum rows (chunk, data) of all partitions: one row for each chunk. Each task streams over its rows and holds the sums of its few chunks."""
     from ._shared import parts
 
     def add(batches):
@@ -191,11 +188,23 @@ def heavy_buckets(rows, orders: int, buckets: int, least: int):
                 x = unpack(x.as_py())
                 sums[c] = sums[c] + x if c in sums else x
         for c, x in sums.items():
-            yield pa.record_batch({"chunk": pa.array([c], pa.int32()), "data": pa.array([np.packbits(x >= least).tobytes()], pa.binary())})
+            yield pa.record_batch({"chunk": pa.array([c], pa.int32()), "data": pa.array([pack(x)], pa.binary())})
+
+    return rows.repartition(max(1, min(parts(rows.sparkSession), chunks)), "chunk").mapInArrow(add, "chunk int, data binary")
+
+
+def heavy_buckets(rows, orders: int, buckets: int, least: int) -> np.ndarray:
+    """From rows (chunk, data) of all partitions: a bitmap for each order of the buckets counting ``least`` or more.
+
+    Only bitmaps (orders * buckets / 8 bytes) come to the driver.
+    """
+
+    def mark(batches):
+        for b in batches:
+            yield pa.record_batch({"chunk": b.column(0), "data": pa.array([np.packbits(unpack(x.as_py()) >= least).tobytes() for x in b.column(1)], pa.binary())})
 
     out = np.zeros((orders, buckets // 8), np.uint8)
-    n = min(parts(rows.sparkSession), orders * buckets // CHUNK)
-    for r in rows.repartition(n, "chunk").mapInArrow(add, "chunk int, data binary").toLocalIterator():
+    for r in sum_chunks(rows, orders * buckets // CHUNK).mapInArrow(mark, "chunk int, data binary").toLocalIterator():
         o, c = divmod(r.chunk, buckets // CHUNK)
         out[o, c * CHUNK // 8 : (c + 1) * CHUNK // 8] = np.frombuffer(bytes(r.data), np.uint8)
     return out

@@ -10,7 +10,9 @@ def _late(module: str, name: str):
 
 
 NAMES = {
+    "op4_line_dedup": "line_dedup",
     "op8_toxicity": "toxicity",
+    "op9_token_ids": "token_ids",
 }
 
 
@@ -20,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op4_line_dedup": importlib.import_module("tidewire.llm.line_dedup").SQL}
