@@ -11,6 +11,8 @@ def _late(module: str, name: str):
 
 NAMES = {
     "op4_line_dedup": "line_dedup",
+    "op5_decontamination": "decontamination",
+    "op7_mixing": "mixing",
     "op8_toxicity": "toxicity",
     "op9_token_ids": "token_ids",
 }
