@@ -10,6 +10,7 @@ def _late(module: str, name: str):
 
 
 NAMES = {
+    "op2_minhash_dedup": "minhash",
     "op4_line_dedup": "line_dedup",
     "op5_decontamination": "decontamination",
     "op7_mixing": "mixing",

@@ -96,32 +96,45 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, use, rows: int = MAX_
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "_id").select("at", "text", "y")
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, score) for each row of docs."""
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col: str = "text", out: str = "_score") -> DataFrame:
+    """``docs`` with a column of scores, 0 to 1. No row moves."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[id_col].dataType.simpleString()
+    kept = docs.withColumn(out, F.lit(0.0))
+    names, schema = kept.columns, kept.schema
+    to = names.index(out)
 
     def run(batches):
         i, w, b = sent.value
         table = np.zeros(2**BITS)
         table[i] = w
         for batch in batches:
-            for s in _text.slices(batch):
-                h, d = _features(_text.Words(s.column("text"), lower=True))
+            for s in _text.slices(batch, text_col):
+                h, d = _features(_text.Words(s.column(text_col), lower=True))
                 hit = table[h] != 0
                 h, d, _ = _text.distinct(h[hit], d[hit])
                 z = np.bincount(d, table[h], s.num_rows) + b
-                yield pa.record_batch({id_col: s.column(id_col), "score": pa.array(1 / (1 + np.exp(-np.clip(z, -35, 35))))})
+                cols = [*s.columns]
+                cols[to] = pa.array(1 / (1 + np.exp(-np.clip(z, -35, 35))))
+                yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.select(id_col, F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, score double")
+    return kept.mapInArrow(run, schema)
+
+
+def model_of(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = MAX_ROWS):
+    """Fit on labelled rows; ids with crc32 modulo 3 equal to 1 are held out."""
+    return fit(sample(docs, labels, "toxic", crc_mod(id_col, 3) != 1, rows, id_col, text_col))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs that score under the threshold, all columns as they are."""
+    return score(docs, model_of(docs, labels)).where(F.col("_score") < threshold).select(*[f"`{c}`" for c in docs.columns])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = MAX_ROWS, threshold: float = 0.7) -> DataFrame:
-    """(id_col, held_out, score, predicted). Ids with crc32 modulo 3 equal to 1 are held out of the training."""
-    model = fit(sample(docs, labels, "toxic", crc_mod(id_col, 3) != 1, rows, id_col, text_col))
-    return score(docs, model, id_col, text_col).select(
-        id_col, (crc_mod(id_col, 3) == 1).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int").alias("predicted")
-    )
+    """(id_col, held_out, score, predicted) for each row of docs."""
+    scored = score(docs.select(id_col, text_col), model_of(docs, labels, id_col, text_col, rows), text_col)
+    predicted = F.when(F.col("_score") >= threshold, 1).otherwise(0).cast("int")
+    return scored.select(id_col, (crc_mod(id_col, 3) == 1).alias("held_out"), F.col("_score").alias("score"), predicted.alias("predicted"))
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
