@@ -15,6 +15,7 @@ NAMES = {
     "op5_decontamination": "decontamination",
     "op7_mixing": "mixing",
     "op8_toxicity": "toxicity",
+    "op10_quality": "quality",
     "op9_token_ids": "token_ids",
 }
 
