@@ -13,6 +13,7 @@ NAMES = {
     "op2_minhash_dedup": "minhash",
     "op4_line_dedup": "line_dedup",
     "op5_decontamination": "decontamination",
+    "op6_lm_scoring": "suffix_tree",
     "op7_mixing": "mixing",
     "op8_toxicity": "toxicity",
     "op10_quality": "quality",
