@@ -11,6 +11,7 @@ def _late(module: str, name: str):
 
 NAMES = {
     "op2_minhash_dedup": "minhash",
+    "op3_embedding_dedup": "hnsw",
     "op4_line_dedup": "line_dedup",
     "op5_decontamination": "decontamination",
     "op6_lm_scoring": "suffix_tree",
