@@ -20,6 +20,11 @@ _WORD = np.ones(256, np.uint8)
 _WORD[[9, 10, 11, 12, 13, 32]] = 0
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Marks that end a run of letters; a letter is 1, a mark 2, all else 0.
+MARKS = ",.!?;:|#$%&*"
+_KIND = np.zeros(256, np.uint8)
+_KIND[65:91] = _KIND[97:123] = 1
+_KIND[[ord(c) for c in MARKS]] = 2
 _powers: list[np.ndarray] = [np.ones(0, np.uint64), np.ones(0, np.uint64)]
 
 
@@ -69,7 +74,8 @@ def slices(batch: pa.RecordBatch, col: str = "text") -> Iterator[pa.RecordBatch]
 class Words:
     """Words of a slice of texts: ``h`` their hashes, ``off`` the place of each text's first word (and the end), ``start`` and ``end`` their bytes."""
 
-    def __init__(self, col: pa.Array, lower: bool = False):
+    def __init__(self, col: pa.Array, lower: bool = False, part: bool = False):
+        """``part``: words are parted where an ASCII letter meets one of MARKS as well."""
         buf, off = buffers(col)
         self.buf, self.doc_off = (LOWER[buf] if lower else buf), off
         n = len(buf)
@@ -81,6 +87,11 @@ class Words:
         w = _WORD[self.buf]
         before, after = np.zeros(n, np.uint8), np.zeros(n, np.uint8)
         before[1:], after[:-1] = w[:-1], w[1:]
+        if part:
+            k = _KIND[self.buf]
+            meet = np.flatnonzero((k[1:] | k[:-1]) == 3)
+            before[meet + 1] = 0
+            after[meet] = 0
         cut = off[1:-1]
         cut = cut[(cut > 0) & (cut < n)]
         before[cut] = 0

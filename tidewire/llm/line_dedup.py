@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import table
+
 WS = " \t\n\x0b\f\r"
 MIN_CHARS, MIN_DOCS = 20, 3
 
@@ -31,10 +33,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         k = key(line)
         return F.when(F.length(k) >= min_chars, F.struct(F.xxhash64(k).alias("a"), F.xxhash64(F.lit("line"), k).alias("b")))
 
-    lines = (
+    #: Written once, as both the counting and the join read it: hashes, ids and positions only.
+    lines = table(
         rows.select("_id", "_th", F.posexplode(F.transform("_lines", hashed)).alias("_pos", "_h"))
         .where(F.col("_h").isNotNull())
-        .select("_id", "_th", "_pos", F.col("_h.a").alias("_a"), F.col("_h.b").alias("_b"))
+        .select("_id", "_th", "_pos", F.col("_h.a").alias("_a"), F.col("_h.b").alias("_b")),
+        "lines",
     )
     common = lines.groupBy("_a", "_b").agg(F.countDistinct("_id").alias("_n"), F.max("_id").alias("_top")).where(F.col("_n") >= min_docs).drop("_n")
     gone = (

@@ -10,6 +10,7 @@ def _late(module: str, name: str):
 
 
 NAMES = {
+    "op1_secret_scan": "secrets",
     "op2_minhash_dedup": "minhash",
     "op3_embedding_dedup": "hnsw",
     "op4_line_dedup": "line_dedup",

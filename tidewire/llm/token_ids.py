@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import json
 import os
-import zlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -25,18 +25,36 @@ from ._shared import drop, new_path, parts, table
 
 #: Tokens in a block, at most one document more.
 BLOCK = 1 << 18
-#: Words whose ids a Python worker remembers, in each of two generations.
-CACHE = 200_000
+#: Words whose ids a Python worker remembers; if there are more, the half that is met most stays.
+CACHE = 1_000_000
 END_ID = 1
 
 _workers: dict[str, Encoder] = {}
 
 
+#: Fixed value: the pattern of the public tokenizer's pieces. None of them holds white space, and none holds a letter next to one of _text.MARKS.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Letters of ASCII and Latin-1, small ASCII ones only: each has a lower case of one letter, and none is joined to another.
+_LATIN = re.compile("[a-zÀ-ÖØ-öø-ÿ]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Latin-1 letters to the byte-level alphabet, in lower case: a printable byte stands for itself, the n-th other one for code point 256 + n."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = [b for b in range(256) if b not in plain]
+    letter = {b: chr(b) if b in plain else chr(256 + other.index(b)) for b in range(256)}
+    return {c: "".join(letter[b] for b in chr(c).lower().encode()) for c in range(0xC0, 0x100)}
+
+
+_BYTES = _byte_letters()
+
+
 class Encoder:
     """A tokenizer with a cache of words.
 
-    Where the tokenizer never joins what white space parts (its file says so), words are encoded one by one, each new word once:
-    a text's ids are its words' ids in order. A text that holds an added token's string is encoded whole.
+    Where the tokenizer never joins what white space, or a letter meeting a mark, parts (its file says so), words are encoded one by one,
+    each new word once: a text's ids are its words' ids in order. Words are told apart by 64-bit hashes. A text that holds an added token's string
+    is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -48,16 +66,14 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             d = json.load(f)
         pre = (d.get("pre_tokenizer") or {}).get("pretokenizers") or [d.get("pre_tokenizer") or {}]
+        norms = {x["type"] for x in (d.get("normalizer") or {}).get("normalizers") or []}
         first = pre[0]
-        known = {"NFC", "Replace", "Lowercase"}
-        norms = (d.get("normalizer") or {}).get("normalizers") or []
         self.by_word = (
-            first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and "[^\\s" in first["pattern"].get("Regex", "")
-            and {x["type"] for x in norms} <= known and d.get("post_processor") is None and not d["model"].get("dropout")
+            first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and first["pattern"].get("Regex") == PIECES
+            and norms == {"NFC", "Replace", "Lowercase"} and d.get("post_processor") is None and not d["model"].get("dropout")
         )
         self.added = [t["content"].encode() for t in d.get("added_tokens", [])]
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self._forget(np.zeros(0, np.int64))
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -65,30 +81,71 @@ class Encoder:
             _workers[path] = cls(path)
         return _workers[path]
 
-    def _bytes(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, text: bytes) -> bytes:
-        """Ids of a text as little-endian integers."""
-        if not self.by_word or any(t in text for t in self.added):
-            return self._bytes([text.decode("utf-8", "replace")])[0]
-        words = text.split()
-        found = list(map(self.new.get, words))
-        if None in found:
-            missing = {w for w, x in zip(words, found) if x is None}
-            fresh = []
-            for w in missing:
-                x = self.old.get(w)
-                if x is None:
-                    fresh.append(w)
-                else:
-                    self.new[w] = x
-            if fresh:
-                self.new.update(zip(fresh, self._bytes([w.decode("utf-8", "replace") for w in fresh])))
-            found = list(map(self.new.__getitem__, words))
-            if len(self.new) > CACHE:
-                self.old, self.new = self.new, {}
-        return b"".join(found)
+    def _forget(self, keep: np.ndarray) -> None:
+        """Keep these rows of the cache only."""
+        if not len(keep):
+            self.rows: dict[int, int] = {}
+            self.at, self.size, self.hits, self.hash = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            self.pool = np.zeros(0, self.kind)
+            return
+        size = self.size[keep]
+        self.pool = self.pool[_ranges(self.at[keep], size)]
+        self.at, self.size, self.hits, self.hash = np.cumsum(size) - size, size, self.hits[keep] // 2, self.hash[keep]
+        self.rows = dict(zip(self.hash.tolist(), range(len(keep))))
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of each word. Lower-case words of Latin letters are one piece, which the model alone encodes; others take the whole way."""
+        out: list = [None] * len(words)
+        rest = []
+        model = self.tokenizer.model
+        for i, w in enumerate(words):
+            if _LATIN.fullmatch(w):
+                out[i] = np.array([t.id for t in model.tokenize(w if w.isascii() else w.translate(_BYTES))], self.kind)
+            else:
+                rest.append(i)
+        for i, x in zip(rest, self._ids([words[i] for i in rest])):
+            out[i] = x
+        return out
+
+    def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a slice, and where each text's begin (and the end)."""
+        raw, off = _text.buffers(col)
+        b = raw.tobytes()
+        if not self.by_word or any(t in b for t in self.added):
+            ids = self._ids(["" if t is None else t for t in col.to_pylist()])
+            return np.concatenate(ids), np.append(0, np.cumsum([len(x) for x in ids]))
+        #: Lower case first merges words, but for letters that a combining mark could join.
+        w = _text.Words(col, lower=not (b"\xcc" in b or b"\xcd" in b), part=True)
+        h, first, which = np.unique(w.h, return_index=True, return_inverse=True)
+        if len(self.rows) + len(h) > CACHE and len(self.rows):
+            most = np.argsort(-self.hits, kind="stable")[: CACHE // 2]
+            self._forget(np.sort(most[self.hits[most] > 0]))
+        row = np.array([self.rows.get(k, -1) for k in h.tolist()], np.int64)
+        new = np.flatnonzero(row < 0)
+        if len(new):
+            low = w.buf.tobytes()
+            ids = self._words([low[i:j].decode("utf-8", "replace") for i, j in zip(w.start[first[new]].tolist(), w.end[first[new]].tolist())])
+            size = np.array([len(x) for x in ids], np.int64)
+            row[new] = len(self.size) + np.arange(len(new))
+            self.rows.update(zip(h[new].tolist(), row[new].tolist()))
+            self.at = np.concatenate([self.at, len(self.pool) + np.cumsum(size) - size])
+            self.pool = np.concatenate([self.pool, *ids])
+            self.size, self.hash = np.concatenate([self.size, size]), np.concatenate([self.hash, h[new]])
+            self.hits = np.concatenate([self.hits, np.zeros(len(new), np.int64)])
+        self.hits[row] += np.bincount(which, minlength=len(h)) - 1  # a word met once only is forgotten first
+        mine = row[which]
+        size = self.size[mine]
+        ends = np.append(0, np.cumsum(size))
+        return self.pool[_ranges(self.at[mine], size)], ends[w.off]
+
+
+def _ranges(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """at[0], at[0] + 1, ... (size[0] numbers), at[1], ..."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(at - (ends - size), size)
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -155,9 +212,9 @@ def write(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int
         e = Encoder.of(tokenizer)
         for batch in batches:
             for s in _text.slices(batch):
-                raw, off = _text.buffers(s.column("text"))
-                b = raw.tobytes()
-                yield pa.record_batch({"doc_id": s.column("doc_id"), "ids": pa.array([e.encode(b[i:j]) + end for i, j in zip(off, off[1:])], pa.binary())})
+                ids, off = e.encode(s.column("text"))
+                b, off = ids.tobytes(), (off * kind.itemsize).tolist()
+                yield pa.record_batch({"doc_id": s.column("doc_id"), "ids": pa.array([b[i:j] + end for i, j in zip(off, off[1:])], pa.binary())})
 
     ids = table(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, "doc_id bigint, ids binary"), "ids")
     n = _counts(ids.select("ids"), vocab, kind)
