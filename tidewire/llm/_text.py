@@ -164,12 +164,28 @@ class BucketCounts:
     """Counts of hashes in a fixed number of buckets, for finding all heavy hitters in bounded memory."""
 
     def __init__(self, orders: int, buckets: int):
-        self.buckets, self.n = buckets, np.zeros((orders, buckets), np.int64)
+        self.buckets, self.n = buckets, np.zeros((orders, buckets), np.int32)
+        self.held: list[list[np.ndarray]] = [[] for _ in range(orders)]
+        self.size = 0
 
     def add(self, order: int, h: np.ndarray) -> None:
-        self.n[order] += np.bincount((h % np.uint64(self.buckets)).astype(np.int64), minlength=self.buckets)
+        self.held[order].append((h % np.uint64(self.buckets)).astype(np.int32))
+        self.size += len(h)
+        if self.size > 1 << 22:
+            self._count()
+
+    def _count(self) -> None:
+        for n, held in zip(self.n, self.held):
+            if held:
+                at = np.concatenate(held)
+                held.clear()
+                at.sort()
+                new = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else at
+                n[at[new]] += np.diff(np.append(new, len(at))).astype(np.int32)
+        self.size = 0
 
     def rows(self) -> Iterator[pa.RecordBatch]:
+        self._count()
         for o, x in enumerate(self.n):
             for c in range(0, self.buckets, CHUNK):
                 y = x[c : c + CHUNK]
@@ -215,7 +231,7 @@ def heavy_buckets(rows, orders: int, buckets: int, least: int) -> np.ndarray:
             yield pa.record_batch({"chunk": b.column(0), "data": pa.array([np.packbits(unpack(x.as_py()) >= least).tobytes() for x in b.column(1)], pa.binary())})
 
     out = np.zeros((orders, buckets // 8), np.uint8)
-    for r in sum_chunks(rows, orders * buckets // CHUNK).mapInArrow(mark, "chunk int, data binary").toLocalIterator():
+    for r in sum_chunks(rows, orders * buckets // CHUNK).mapInArrow(mark, "chunk int, data binary").collect():
         o, c = divmod(r.chunk, buckets // CHUNK)
         out[o, c * CHUNK // 8 : (c + 1) * CHUNK // 8] = np.frombuffer(bytes(r.data), np.uint8)
     return out

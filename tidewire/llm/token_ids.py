@@ -195,7 +195,7 @@ def _counts(ids: DataFrame, vocab: int, kind: np.dtype) -> np.ndarray:
             yield pa.record_batch({"chunk": pa.array([c // _text.CHUNK], pa.int32()), "data": pa.array([_text.pack(n[c : c + _text.CHUNK])], pa.binary())})
 
     out = np.zeros(size, np.int64)
-    for r in _text.sum_chunks(ids.mapInArrow(count, "chunk int, data binary"), size // _text.CHUNK).toLocalIterator():
+    for r in _text.sum_chunks(ids.mapInArrow(count, "chunk int, data binary"), size // _text.CHUNK).collect():
         out[r.chunk * _text.CHUNK : (r.chunk + 1) * _text.CHUNK] = _text.unpack(bytes(r.data))
     return out[:vocab]
 
