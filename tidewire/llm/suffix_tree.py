@@ -93,6 +93,8 @@ def counts(train: DataFrame) -> tuple[int, int, dict]:
     heavy = _text.heavy_buckets(train.mapInArrow(bucket, "chunk int, data binary"), DEPTH + 1, BUCKETS, least)
     sent = train.sparkSession.sparkContext.broadcast(heavy)
 
+    cols = [f"w{i}" for i in range(DEPTH + 1)]  # the last word first; those beyond the length are null
+
     def exact(batches):
         for b in batches:
             for s in _text.slices(b):
@@ -101,18 +103,16 @@ def counts(train: DataFrame) -> tuple[int, int, dict]:
                     g, _, ok = _grams(h, doc, k)
                     at = np.flatnonzero(ok)
                     at = at[_text.in_bitmap(sent.value[k - 1], g[at])]
-                    u, i, c = np.unique(g[at], return_index=True, return_counts=True)
-                    last = at[i]
-                    words = np.stack([h[last - j] for j in range(k - 1, -1, -1)], 1) if len(last) else np.zeros((0, k), np.uint64)
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(last) * k + 1, k, dtype=np.int32)), pa.array(words.reshape(-1).view(np.int64)))
-                    yield pa.record_batch({"g": pa.array(u.view(np.int64)), "words": lists, "c": pa.array(c)})
+                    _, i, c = np.unique(g[at], return_index=True, return_counts=True)
+                    words = [pa.array(h[at[i] - j].view(np.int64)) if j < k else pa.nulls(len(i), pa.int64()) for j in range(DEPTH + 1)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), k, np.int32)), *words, pa.array(c)], ["k", *cols, "c"])
 
-    found = train.mapInArrow(exact, "g bigint, words array<bigint>, c bigint")
+    found = train.mapInArrow(exact, "k int, " + ", ".join(f"{c} bigint" for c in cols) + ", c bigint")
     #: At most 1 / SHARE rows for each length come to the driver.
-    rows = found.groupBy("g", F.size("words").alias("k")).agg(F.sum("c").alias("c"), F.first("words").alias("words")).where(F.col("c") >= least).toArrow()
+    rows = found.groupBy("k", *cols).agg(F.sum("c").alias("c")).where(F.col("c") >= least).toArrow()
     out: dict[int, dict] = {k: {} for k in range(1, DEPTH + 2)}
-    for k, c, w in zip(rows["k"].to_pylist(), rows["c"].to_pylist(), rows["words"].to_pylist()):
-        out[k][tuple(w)] = c
+    for k, c, *w in zip(*(rows[x].to_pylist() for x in ("k", "c", *cols))):
+        out[k][tuple(w[:k][::-1])] = c
     return total, least, out
 
 
