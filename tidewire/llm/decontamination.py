@@ -107,7 +107,9 @@ class Matcher:
 def _blocks(items: DataFrame, id_col: str, text_col: str, least: int):
     """Lists of (id, normalised text) of at most BLOCK_CHARS characters, or one item."""
     block, size = [], 0
-    for r in items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).orderBy("id", "text").toLocalIterator():
+    rows = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).orderBy("id", "text")
+    few = (items.agg(F.sum(F.length(text_col))).first()[0] or 0) <= BLOCK_CHARS
+    for r in rows.collect() if few else rows.toLocalIterator():
         t = normalise(r.text)
         if len(t) < least:
             continue
