@@ -154,6 +154,9 @@ def graph_from(data: dict) -> FlowGraph:
 
     from . import registry
 
+    def sql(text):
+        return lambda: F.expr(text)
+
     g = FlowGraph()
     for n in data.get("nodes", []):
         n = dict(n)
@@ -164,11 +167,11 @@ def graph_from(data: dict) -> FlowGraph:
         if missing := [k for k in need if k not in n]:
             raise ValueError(f"node {name!r} needs {missing}")
         if "condition" in n:
-            n["condition"] = lambda text=n["condition"]: F.expr(text)
+            n["condition"] = sql(n["condition"])
         if kind == "multi_branch":
-            n["branches"] = tuple((lambda text=b["condition"]: F.expr(text), b["path"]) for b in n["branches"])
+            n["branches"] = tuple((sql(b["condition"]), b["path"]) for b in n["branches"])
         if kind == "conditional_fanout":
-            n["paths"] = tuple((p["path"], lambda text=p["condition"]: F.expr(text)) for p in n["paths"])
+            n["paths"] = tuple((p["path"], sql(p["condition"])) for p in n["paths"])
         if kind == "path":
             n["modules"] = tuple(registry.get_module(m) for m in n["modules"])
         g.add_node(name, spec(**{k: tuple(v) if isinstance(v, list) else v for k, v in n.items()}))

@@ -17,7 +17,7 @@ def to_flow(frames: DataFrame, path_id: str = "default") -> DataFrame:
     base = [
         (F.col("stream_id").cast("string") if "stream_id" in has else F.lit("main")).alias("stream_id"),
         F.col("frame_id").cast("bigint").alias("frame_id"),
-        F.coalesce(F.col("t_ns").cast("bigint"), F.lit(0)).alias("t_ns"),
+        F.col("t_ns").cast("bigint").alias("t_ns"),  # as it is, so that filters on it reach the scan
         (F.col("seq") if "seq" in has else F.col("frame_id")).cast("bigint").alias("seq"),
         F.lit(path_id).alias("path_id"),
         F.coalesce(F.col("t_ns").cast("bigint"), F.lit(0)).alias("timestamp_ns"),
@@ -42,7 +42,8 @@ def add_results(df: DataFrame, *obs: Column) -> DataFrame:
 
 
 def keep(df: DataFrame, condition: Column) -> DataFrame:
-    return df.where(F.coalesce(condition, F.lit(False)))
+    """Null is false, so the condition goes to the scan as it is."""
+    return df.where(condition)
 
 
 def min_observations(df: DataFrame, n: int = 1) -> DataFrame:
