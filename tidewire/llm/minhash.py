@@ -6,15 +6,18 @@ to ``FLOOR``: passages that a large part of the corpus shares count less, while
 shingles over COMMON need be known everywhere; there are at most (mean shingles of a document) / COMMON of them, whatever the corpus, so
 they are sent to the executors. They are found exactly: counts in hashed buckets first, then true counts of what is in heavy buckets.
 
-Texts that are equal are one class before anything else, null and empty ones too. For the rest, each of BANDS * ROWS samples is the least
-``a`` of Ioffe's scheme, whose value stands for its (shingle, t). Documents that agree on a band are candidates:
+Texts that are equal are one class before anything else, null and empty ones too. For the rest, each of SAMPLES samples is the least
+``a`` of Ioffe's scheme, whose value stands for its (shingle, t). A band is a fixed choice of ROWS of them. Documents that agree on a band are candidates:
 
 - each member of a band's bucket is compared with the bucket's least id, not with all others;
-- buckets whose members then are not all of one component are compared further: those of at most ``SMALL`` members between all pairs of
-  different components, larger ones parted again by agreement on one more band, and so on until none is left.
+- where the members then are not all of one component, a task compares members of different components, one against the others at a time:
+  sizes first, then samples (``AGREE`` or more must agree), then shingles; it unites what it links and gives one link for each union, so neither pairs
+  nor links of a group are listed. So is done with buckets of up to ``SMALL`` members; larger ones are first parted by agreement on one more band,
+  and so on until none is left.
 
 Candidates are verified on whole texts; those of similarity ``THRESHOLD`` or more are links. A pair at the threshold agrees on a band with
-probability 1 - (1 - 0.8^4)^16 = 0.9998, on a second one too with 0.997. Every document belongs to the component of its links; its class is the least id.
+probability 0.9995 or so (the mean of 1 - (1 - p^5)^24 over p = m / 64, m binomial with mean 0.8 * 64), on a second one too with 0.997, and on AGREE
+samples or more with 0.99. A link can be missed only if all of its pair's ways are; most pairs are also held together by others. Every document belongs to the component of its links; its class is the least id.
 Rows that repeat an id are the same document; a null id is a document before all others.
 """
 
@@ -30,9 +33,9 @@ from ._shared import drop, table
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
-BANDS, ROWS = 16, 4
+SAMPLES, BANDS, ROWS = 64, 24, 5
 COMMON, FLOOR = 0.01, 0.5
-SMALL = 32
+SMALL, AGREE = 2048, 43
 #: Buckets for finding common shingles: at 500 shingles a document, a bucket holds a fifth of the least count that is looked for.
 BUCKETS = 1 << 18
 NULL_ID = -(2**63)
@@ -51,8 +54,10 @@ def _gamma() -> np.ndarray:
 
 _R = _gamma()
 _B = _U.astype(np.float32)
-_MUL = _text.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-_BAND = _text.mix(np.arange(101, 101 + BANDS * ROWS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
+_MUL = _text.mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_BAND = _text.mix(np.arange(101, 101 + BANDS * ROWS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)).reshape(BANDS, ROWS) | np.uint64(1)
+#: The samples of each band: every sample is in as many bands as any other, as near as can be.
+_PICK = np.concatenate([np.random.default_rng(k).permutation(SAMPLES)[: SAMPLES // ROWS * ROWS].reshape(-1, ROWS) for k in range(-(-BANDS // (SAMPLES // ROWS)))])[:BANDS]
 
 
 def samples(x: np.ndarray, lnw: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -75,8 +80,8 @@ def samples(x: np.ndarray, lnw: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def bands(mins: np.ndarray) -> np.ndarray:
-    v = mins.view(np.uint32).astype(np.uint64) * _BAND
-    return _text.mix(v.reshape(len(v), BANDS, ROWS).sum(axis=2, dtype=np.uint64)).view(np.int64)
+    v = mins.view(np.uint32).astype(np.uint64)[:, _PICK] * _BAND
+    return _text.mix(v.sum(axis=2, dtype=np.uint64)).view(np.int64)
 
 
 class Weights:
@@ -152,19 +157,21 @@ def _sketch(docs: DataFrame, weights, n: int) -> DataFrame:
                 digest = [xxhash.xxh128_digest(raw[i:j]) for i, j in zip(at, at[1:])]
                 found = np.flatnonzero(np.diff(off))
                 out: list = [None] * s.num_rows
+                raw_samples: list = [None] * s.num_rows
                 total = np.zeros(s.num_rows)
                 first = 0
                 while first < len(found):  # of few shingles at a time, which stay in the cache
                     last = max(first + 1, int(np.searchsorted(off[found], off[found[first]] + 40_000)))
                     lo, hi = off[found[first]], off[found[last - 1] + 1]
-                    mine = bands(samples(h[lo:hi], lnw[lo:hi], off[found[first:last]] - lo))
+                    mins = samples(h[lo:hi], lnw[lo:hi], off[found[first:last]] - lo)
+                    mine = bands(mins)
                     total[found[first:last]] = np.add.reduceat(np.exp(lnw[lo:hi], dtype=np.float64), off[found[first:last]] - lo)
-                    for i, x in zip(found[first:last], mine):
-                        out[i] = x
+                    for i, x, m in zip(found[first:last], mine, mins):
+                        out[i], raw_samples[i] = x, m.tobytes()
                     first = last
-                yield pa.record_batch({"id": s.column("id"), "digest": pa.array(digest, pa.binary()), "w": pa.array(total), "bands": pa.array(out, pa.list_(pa.int64()))})
+                yield pa.record_batch({"id": s.column("id"), "digest": pa.array(digest, pa.binary()), "w": pa.array(total), "bands": pa.array(out, pa.list_(pa.int64())), "samples": pa.array(raw_samples, pa.binary())})
 
-    return docs.mapInArrow(run, "id bigint, digest binary, w double, bands array<bigint>")
+    return docs.mapInArrow(run, "id bigint, digest binary, w double, bands array<bigint>, samples binary")
 
 
 def similarity(a: pa.Array, b: pa.Array, weights: Weights, n: int = SHINGLE) -> np.ndarray:
@@ -192,11 +199,82 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights, threshold: float, n:
                     ok = similarity(x.column("ta"), x.column("tb"), weights.value, n) >= threshold - 1e-9
                     yield pa.record_batch({"a": x.column("a"), "b": x.column("b")}).filter(pa.array(ok))
 
+    texts = texts.select("id", "text")
     ta, tb = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
     return table(pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint"), "links")
 
 
-def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, n: int = SHINGLE) -> DataFrame:
+def _packed(docs: DataFrame, wanted: DataFrame, weights, n: int) -> DataFrame:
+    """(id, text, pack) of the wanted ids: ``pack`` is the text's shingles as sorted 32-bit hashes and weights.
+
+    Which texts are wanted is looked up in a bitmap of hashed ids, of fixed size, before any text moves; a join then drops the few it let by.
+    """
+
+    def mark(batches):
+        c = _text.BucketCounts(1, BUCKETS * 32)
+        for b in batches:
+            c.add(0, _text.mix(b.column(0).to_numpy().view(np.uint64).copy()))
+        yield from c.rows()
+
+    bitmap = docs.sparkSession.sparkContext.broadcast(_text.heavy_buckets(wanted.mapInArrow(mark, "chunk int, data binary"), 1, BUCKETS * 32, 1)[0])
+
+    def pick(batches):
+        for b in batches:
+            b = b.filter(pa.array(_text.in_bitmap(bitmap.value, _text.mix(b.column(0).to_numpy().view(np.uint64).copy()))))
+            for s in _text.slices(b):
+                h, lnw, off = shingles(s.column("text"), weights.value, n)
+                h32 = (h >> np.uint64(32)).astype(np.uint32)  # of sorted hashes, so sorted
+                pack = [h32[i:j].tobytes() + pa.compress(np.exp(lnw[i:j], dtype=np.float32).tobytes(), "zstd", asbytes=True) + np.uint32(j - i).tobytes() for i, j in zip(off, off[1:])]
+                yield pa.record_batch({"id": s.column("id"), "text": s.column("text"), "pack": pa.array(pack, pa.binary())})
+
+    return docs.mapInArrow(pick, "id bigint, text string, pack binary").join(wanted, "id")
+
+
+def _unpacked(b: bytes) -> tuple[np.ndarray, np.ndarray]:
+    k = int(np.frombuffer(b[-4:], np.uint32)[0])
+    return np.frombuffer(b, np.uint32, k), np.frombuffer(pa.decompress(b[4 * k : -4], 4 * k, "zstd", asbytes=True), np.float32)
+
+
+def _linked(threshold: float):
+    """Of one bucket's members, links (a, b) that unite components; a pair is compared in its first common band only."""
+
+    def run(t):
+        t = t.combine_chunks()
+        rep, w = t["rep"].to_numpy(), t["w"].to_numpy()
+        _, comp = np.unique(t["component"].to_numpy(), return_inverse=True)
+        band = t["band"][0].as_py()
+        b = t["bands"].combine_chunks().flatten().to_numpy().reshape(len(rep), BANDS)[:, :band]
+        raw = np.stack([np.frombuffer(x, np.uint32) for x in t["samples"].to_pylist()])
+        packs = [_unpacked(x) for x in t["pack"].to_pylist()]
+        ids, at = np.unique(np.concatenate([h for h, _ in packs]), return_inverse=True)
+        weight = np.concatenate([x for _, x in packs])
+        cut = np.append(0, np.cumsum([len(h) for h, _ in packs]))
+        total = np.add.reduceat(weight, cut[:-1], dtype=np.float64)
+        mine = np.zeros(len(ids), np.float32)
+        out = []
+        for i in range(len(rep)):
+            other = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
+            other = other[np.minimum(w[other], w[i]) >= np.maximum(w[other], w[i]) * (threshold - 1e-6)]
+            other = other[(raw[other] == raw[i]).sum(1) >= AGREE]
+            other = other[~(b[other] == b[i]).any(1)]
+            if not len(other):
+                continue
+            own = slice(cut[i], cut[i + 1])
+            mine[at[own]] = weight[own]
+            size = cut[other + 1] - cut[other]
+            where = np.repeat(cut[other] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            shared = np.add.reduceat(np.minimum(mine[at[where]], weight[where]), np.cumsum(size) - size, dtype=np.float64)
+            mine[at[own]] = 0
+            for j in other[shared >= (threshold - 1e-6) * (total[i] + total[other] - shared)]:
+                if comp[j] != comp[i]:
+                    comp[comp == comp[j]] = comp[i]
+                    out.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return run
+
+
+def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, n: int = SHINGLE, small: int = SMALL) -> DataFrame:
     """(doc_id, component_id, kept) for each row of docs: the class's least id, and whether it is the row's own."""
     spark = docs.sparkSession
     src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -204,7 +282,7 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     sketch = table(_sketch(src, weights, n), "sketch")
     reps = sketch.groupBy("digest").agg(F.min("id").alias("rep"))
     members = table(sketch.select("id", "digest").join(reps, "digest").select("id", "rep"), "members")
-    reps = table(sketch.join(reps, (sketch.digest == reps.digest) & (sketch.id == reps.rep)).where("bands is not null").select("rep", "w", "bands").dropDuplicates(["rep", "w"]), "reps")
+    reps = table(sketch.join(reps, (sketch.digest == reps.digest) & (sketch.id == reps.rep)).where("bands is not null").select("rep", "w", "bands", "samples").dropDuplicates(["rep", "w"]), "reps")
     drop(sketch)
 
     rows = reps.select("rep", "w", F.posexplode("bands").alias("band", "v")).select("rep", "w", "band", F.xxhash64("band", "v").alias("g"))
@@ -215,24 +293,23 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
         if met.isEmpty():
             break
         if texts is None:
-            texts = table(src.join(met.select(F.col("rep").alias("id")).distinct(), "id").select("id", "text"), "texts")
+            texts = table(_packed(src, table(met.select(F.col("rep").alias("id")).distinct(), "wanted"), weights, n), "texts")
         fits = F.least("wa", "w") >= F.greatest("wa", "w") * (threshold - 1e-6)  # no other pair can be similar enough
         star = met.select(F.col("lead.rep").alias("a"), F.col("lead.w").alias("wa"), F.col("rep").alias("b"), "w").where(F.col("a") < F.col("b")).where(fits)
         new = _verified(star.select("a", "b").distinct(), texts, weights, threshold, n)
-        links = new if links is None else table(links.union(new).distinct(), "links")
-        labels = components(links, labels)
+        links = new if links is None else table(links.union(new), "links")
+        labels = components(links)
 
         rows = met.select("g", "band", "rep", "w", "n").join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         mixed = rows.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("g")
         rows = table(rows.join(mixed, "g"), "mixed")
-        few = rows.where(F.col("n") <= SMALL)
-        other = few.select("g", F.col("rep").alias("a"), F.col("w").alias("wa"), F.col("component").alias("ca"))
-        pairs = few.join(other, "g").where((F.col("a") < F.col("rep")) & (F.col("ca") != F.col("component"))).where(fits).select("a", F.col("rep").alias("b")).distinct()
-        new = _verified(pairs, texts, weights, threshold, n)
+        near = rows.where(F.col("n") <= small).select("g", "band", "rep", "w", "component")
+        members_ = reps.select("rep", "w", "bands", "samples").join(texts.select(F.col("id").alias("rep"), "pack"), "rep")
+        new = _verified(near.join(members_, ["rep", "w"]).groupBy("g").applyInArrow(_linked(threshold), "a bigint, b bigint").distinct(), texts, weights, threshold, n)
         if not new.isEmpty():
-            links = table(links.union(new).distinct(), "links")
-            labels = components(links, labels)
-        many = rows.where(F.col("n") > SMALL).select("g", "band", "rep")
+            links = table(links.union(new), "links")
+            labels = components(links)
+        many = rows.where(F.col("n") > small).select("g", "band", "rep")
         more = many.join(reps, "rep").select("g", "band", "rep", "w", F.posexplode("bands").alias("next", "v")).where(F.col("next") > F.col("band"))
         rows = table(more.select("rep", "w", F.col("next").alias("band"), F.xxhash64("g", "next", "v").alias("g")), "finer")
         if rows.isEmpty():
