@@ -1,0 +1,359 @@
+"""Operators on Spark: against brute force and SQL, and on odd rows."""
+
+import glob
+import math
+import os
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidewire.llm import components, decontamination, hnsw, line_dedup, minhash, mixing, quality, queries, secrets, suffix_tree, token_ids, toxicity
+
+SMALL = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _id long, id string, score double, w int, g string, _text string, tokens int, start string, n_lines string, _hits int, component string"
+COPY = " ".join(f"word{i}" for i in range(60))
+LINE = "A line that is shared by several documents"
+NEAR = COPY.replace("word59", "other")
+
+
+def odd_rows():
+    """Nulls, empty, repeated, very long and tied rows."""
+    long = " ".join(f"long{i % 977}x{i}" for i in range(60_000)) + "\n" + LINE
+    texts = [None, "", "   ", "\n\n", "one", COPY, COPY, NEAR, long, LINE, f"{LINE}\nx", f"x\n  {LINE.upper()}  \ny", 'token = "0a1b2c3d4e5f60718293a4b5c6d7e8f901234567" end', "card 4465758382889437 end", "é" * 30]
+    rows = [(i, t, None if i % 3 else "en", None if i % 4 else "src0", None) for i, t in enumerate(texts)]
+    rows += [rows[5], rows[9], (None, "text without an id", "en", "src1", 3), (None, None, None, None, None)]
+    return [(*r, 1, "x", 0.5, 2, "g", "t", 4, "s", "n", 5, "c") for r in rows]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(odd_rows(), SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(0, 1, 0), (5, 0, 1), (6, None, None), (None, 1, 1), (99, 1, 1), (8, 1, 0), (9, 1, 1), (9, 1, 1)], "doc_id long, quality int, toxic int")
+
+
+def test_all_ten_and_the_pipeline():
+    names = set(queries.queries())
+    assert "pipeline" in names and {n.split("_")[0] for n in names if n != "pipeline"} == {f"op{i}" for i in range(1, 11)}
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_same_rows_as_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for f in glob.glob(f"{SMALL}/*.parquet"):
+        con.execute(f"create view {os.path.basename(f)[:-8]} as select * from read_parquet('{f}')")
+    df = queries.queries()[name](spark, SMALL)
+    got = con.execute(queries.oracle_sql()[name])
+    cols = [c[0] for c in got.description]
+    assert sorted(cols) == sorted(df.columns)
+    assert sorted(map(tuple, df.select(*cols).collect())) == sorted(map(tuple, got.fetchall()))
+
+
+# line dedup
+
+
+def brute_lines(rows):
+    key = lambda s: s.strip(" \t\n\x0b\f\r").translate({c: c + 32 for c in range(65, 91)})
+    where: dict = {}
+    idn = lambda i: -(2**63) if i is None else i
+    for i, t in rows:
+        for s in (t or "").split("\n"):
+            if len(key(s)) >= 20:
+                where.setdefault(key(s), set()).add(idn(i))
+    out = []
+    for i, t in rows:
+        ls = (t or "").split("\n")
+        kept = [s for s in ls if not (len(where.get(key(s), ())) >= 3 and max(where[key(s)]) != idn(i))]
+        out.append((i is None, i or 0, "\n".join(kept), len(ls), len(ls) - len(kept)))
+    return sorted(out)
+
+
+def test_line_dedup(odd, none):
+    got = line_dedup.line_dedup(odd)
+    assert got.columns == [c for c in odd.columns if c != "n_lines"] + ["n_lines", "n_dropped"]
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text, r.n_lines, r.n_dropped) for r in got.collect()) == brute_lines([(r[0], r[1]) for r in odd_rows()])
+    assert line_dedup.line_dedup(none).count() == 0
+
+
+# near dedup
+
+
+def brute_classes(texts, threshold=0.8):
+    def grams(t):
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").lower().encode())
+        c = Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else {}
+        return {k: 1 + math.log(n) for k, n in c.items()}
+
+    ids = sorted(texts)
+    g = {i: grams(texts[i]) for i in ids}
+    pairs = []
+    for x, i in enumerate(ids):
+        for j in ids[:x]:
+            a, b = g[i], g[j]
+            if (texts[i] or "") == (texts[j] or ""):
+                pairs.append((j, i))
+            elif a and b and min(sum(a.values()), sum(b.values())) >= threshold * max(sum(a.values()), sum(b.values())):
+                shared = sum(min(a[k], b[k]) for k in a.keys() & b.keys())
+                if shared >= threshold * (sum(a.values()) + sum(b.values()) - shared) - 1e-9:
+                    pairs.append((j, i))
+    up = {i: i for i in ids}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return {i: root(i) for i in ids}
+
+
+def planted(seed, n=400):
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    out, base = {}, [[word() for _ in range(100)] for _ in range(12)]
+    for i in range(n):
+        w = list(r.choice(base)) if r.random() < 0.7 else [word() for _ in range(r.randrange(1, 120))]
+        for _ in range(r.randrange(4)):
+            w[r.randrange(len(w))] = word()
+        out[i] = " ".join(w)
+    return out
+
+
+@pytest.mark.parametrize(("small", "least"), [(minhash.SMALL, 0.995), (4, 0.96)])
+def test_near_dups_against_all_pairs(spark, monkeypatch, small, least):
+    """With buckets parted from 4 members on, links must agree on several bands, so a few more at the threshold are missed."""
+    monkeypatch.setattr(minhash, "COMMON", 1.0)  # no shingle weighs less, as in the brute force
+    texts = planted(1)
+    got = minhash.near_dups(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), small=small).collect()
+    want = brute_classes(texts)
+    wrong = [r.doc_id for r in got if want[r.doc_id] != r.component_id]
+    assert len(got) == len(texts) and len(wrong) <= (1 - least) * len(texts)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_common_shingles_weigh_less(spark):
+    shared = "a passage that very many of them share"
+    docs = spark.createDataFrame([(i, f"{shared} {i}") for i in range(300)], "id long, text string")
+    w = minhash.common_shingles(docs, 300)
+    assert len(w.h) == 4 and np.allclose(np.exp(w.w), 0.5)  # the windows within the passage; each number makes others
+
+
+def test_near_dups_of_odd_rows(odd, none):
+    got = {(r.doc_id): r.component_id for r in minhash.near_dups(odd).collect()}
+    assert got[5] == got[6] == got[7] == 5 and got[0] == got[1] and got[2] == 2 and got[4] == 4
+    assert minhash.near_dups(odd).count() == odd.count()
+    kept = minhash.dedup(odd)
+    assert kept.columns == odd.columns and {5} == {r.doc_id for r in kept.where("text like 'word0%'").collect()}
+    assert minhash.near_dups(none).count() == 0 and minhash.dedup(none).count() == 0
+
+
+@pytest.mark.parametrize("local", [0, 10, 10**6])
+def test_components(spark, local):
+    r = random.Random(3)
+    pairs = [(r.randrange(500), r.randrange(500)) for _ in range(300)] + [(i, i + 1) for i in range(1000, 1040)] + [(2000, i) for i in range(2001, 2200)]
+    got = {x.id: x.component for x in components.components(spark.createDataFrame(pairs, "a long, b long"), local).collect()}
+    up = {x: x for p in pairs for x in p if p[0] != p[1]}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        if a != b:
+            a, b = root(a), root(b)
+            up[max(a, b)] = min(a, b)
+    assert got == {x: root(x) for x in up}
+
+
+# embeddings
+
+
+@pytest.mark.parametrize("shard_rows", [hnsw.SHARD_ROWS, 60])
+def test_embeddings_against_all_pairs(spark, shard_rows):
+    r = np.random.default_rng(4)
+    centre = r.normal(size=(30, 8))
+    x = (centre[r.integers(0, 30, 500)] + 0.15 * r.normal(size=(500, 8))).astype(np.float32)
+    x[100:110] = x[100]
+    label = r.integers(0, 3, 500)
+    rows = [(i, x[i].tolist(), int(label[i])) for i in range(500)]
+    rows += [(500, None, 1), (501, [0.0] * 8, 1), (502, [None] + [1.0] * 7, 1), (503, [float("nan")] * 8, 1), (504, x[0].tolist(), None), (505, [], 1), (506, [1.0], 1)]
+    got = hnsw.embedding_dups(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), shard_rows=shard_rows).collect()
+    assert len(got) == len(rows)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = (u @ u.T >= 0.93) & (label[:, None] == label)
+    wrong = sum(r.n_links != near[r.vec_id].sum() - 1 for r in got if r.vec_id < 500)
+    assert wrong <= 5 and all(r.n_links == 0 and r.component_id == r.vec_id and r.kept for r in got if r.vec_id >= 500)
+    assert hnsw.embedding_dups(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+# decontamination
+
+
+def test_decontamination(spark, odd, none):
+    item = "The quick brown fox jumps over the lazy dog near the quiet river bank"
+    bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "short"), (1, item)], "item_id long, text string")
+    near = item.replace("quick", "quikc").upper()
+    far = "The quick brown fox sat down and did nothing at all near the river"
+    docs = spark.createDataFrame([(1, f"x {item} y"), (2, f"- {near}!"), (3, far), (4, None), (5, "")], "doc_id long, text string")
+    got = {r.doc_id: (r.ids, r.ds) for r in decontamination.hits(docs, bench).select("doc_id", F.col("_hits.id").alias("ids"), F.col("_hits.d").alias("ds")).collect()}
+    assert got == {1: ([1], [0]), 2: ([1], [2]), 3: ([], []), 4: ([], []), 5: ([], [])}
+    assert {r.doc_id for r in decontamination.decontaminate(docs, bench).collect()} == {3, 4, 5}
+    assert decontamination.decontaminate(odd, bench).columns == odd.columns and decontamination.decontaminate(odd, bench).count() == odd.count()
+    assert decontamination.decontaminate(none, bench).count() == 0 and decontamination.decontaminate(docs, bench.limit(0)).count() == 5
+
+
+def test_decontamination_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "BLOCK_CHARS", 50)
+    r = random.Random(6)
+    items = [(i, " ".join("".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(8))) for i in range(5)]
+    docs = spark.createDataFrame([(9, " ".join(t for _, t in items)), (8, items[3][1])], "doc_id long, text string")
+    got = decontamination.hits(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id: [h.id for h in r._hits] for r in got} == {9: [0, 1, 2, 3, 4], 8: [3]}
+
+
+# language model
+
+
+def test_lm_base_score_and_gain(spark, odd, none):
+    r = random.Random(1)
+    docs = [(i, " ".join(r.choice(["The cat sat on the mat", "a dog", f"rare{i}"]) for _ in range(30))) for i in range(200)] + [(None, None), (900, ""), (901, "UPPER Words\tand\x0bmore"), (901, "UPPER Words\tand\x0bmore")]
+    got = suffix_tree.lm_score(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tokens = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low)), None]
+    held = lambda i: zlib.crc32(("null" if i is None else str(i)).encode()) % 5 == 1
+    c = Counter(w for i, t in docs if not held(i) for w in tokens(t))
+    n, v = sum(c.values()), len(c)
+    assert len(got) == len(docs)
+    text = dict(docs)
+    for x in got:
+        w = tokens(text[x.doc_id])
+        assert (x.held_out, x.n_tokens, x.n_known, x.train_tokens) == (held(x.doc_id), len(w), sum(c[t] > 0 for t in w), n)
+        assert x.base_score == pytest.approx(sum(math.log10((c[t] + 0.5) / (n + 0.5 * (v + 1))) for t in w))
+    out = [x for x in got if x.held_out and x.n_tokens > 50]
+    assert sum(x.score for x in out) > sum(x.base_score for x in out) + 10
+    assert suffix_tree.lm_score(odd).count() == odd.count() and suffix_tree.lm_score(none).count() == 0
+
+
+# mixing
+
+
+def test_mixing(spark, odd, none, monkeypatch):
+    r = random.Random(2)
+    docs = spark.createDataFrame([(i, "w " * r.randrange(1, 40), r.choice(["en", "en", "fr", None]), r.choice(["a", "a", "a", "b"]), r.choice("xy")) for i in range(3000)], "doc_id long, text string, lang string, source string, topic string")
+    targets = {"source": {"a": 0.5, "b": 0.5}}
+    w = mixing.weigh(docs, targets=targets)
+    share = {x.source: x.s for x in w.groupBy("source").agg(F.sum(F.col("_tokens") * F.col("_p")).alias("s")).collect()}
+    assert share["a"] == pytest.approx(share["b"], rel=1e-6)
+    kept = {x.doc_id for x in mixing.mix(docs, targets=targets).collect()}
+    assert kept == {x.doc_id for x in mixing.mix(docs.repartition(7), targets=targets).collect()} and 0 < len(kept) < 3000
+    monkeypatch.setattr(mixing, "MAX_CELLS", 2)
+    again = {x.doc_id: x._p for x in mixing.weigh(docs, targets=targets, rounds=30).collect()}
+    assert all(x._p == pytest.approx(again[x.doc_id], rel=1e-4) for x in w.collect())
+    monkeypatch.undo()
+    assert mixing.weigh(odd).count() == odd.count() and mixing.mix(odd).columns == odd.columns
+    assert mixing.mix(none).count() == 0
+
+
+# classifiers
+
+
+def test_classifiers_on_odd_rows(odd, none, labels):
+    for f in (toxicity.toxicity, quality.quality):
+        for docs, labs in ((odd, labels), (odd, labels.limit(0)), (none, labels)):
+            got = f(docs, labs).collect()
+            assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)
+    assert toxicity.drop_toxic(odd, labels).columns == odd.columns
+
+
+@pytest.mark.parametrize(("name", "label", "least"), [("op8_toxicity", "toxic", 0.85), ("op10_quality", "quality", 0.95)])
+def test_held_out_accuracy(spark, name, label, least):
+    d = "/root/testdata/sf0.01"
+    got = queries.queries()[name](spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").toPandas()
+    rank, y = got.score.rank(), got[label] == 1
+    assert (rank[y].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (~y).sum()) > least
+
+
+# tokens
+
+
+def test_token_files(spark, odd, none, monkeypatch):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    monkeypatch.setattr(token_ids, "BLOCK", 500)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    got = [tuple(r) for r in token_ids.read(spark, token_ids.write(odd, path)).orderBy("start").collect()]
+    rows = sorted(((-1 if r[0] is None else r[0]), np.array([*t.encode(r[1] or "", add_special_tokens=False).ids, 1], "<u4").tobytes()) for r in odd_rows())
+    assert sorted((-1 if d is None else d, bytes(x)) for d, _, _, x in got) == rows
+    start = 0
+    last = -1
+    for d, s, n, x in got:
+        assert s == start and n == len(x) // 4 and (d is None or d >= last)
+        start, last = start + n, -1 if d is None else d
+    assert token_ids.token_ids(none).count() == 0
+
+
+# secrets
+
+
+def test_secrets(spark, odd, none):
+    r = random.Random(8)
+    hexa = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    kinds = [lambda: f'token = "{hexa(39)}a"', lambda: f"password={hexa(19)}f", lambda: "AKIA" + "".join(r.choice("ABCDEFGHJK23456789") for _ in range(16)), lambda: "4" + "".join(r.choice("0123456789") for _ in range(15)), lambda: f"ab.{r.randrange(99)}@mail{r.randrange(9)}.example.com"]
+    texts = {i: f"some words before {kinds[i % 5]()} and after é {kinds[(i + 1) % 5]()}" for i in range(200)}
+    got = secrets.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert all(texts[x.doc_id][x.start : x.start + x.length] == x.finding for x in got)
+    found = {(x.doc_id, x.finding) for x in got if x.is_secret}
+    want = {(i, m) for i, t in texts.items() for m in re.findall(r'(?<=token = ")\w+|(?<=password=)\w+|AKIA\w+', t)}
+    assert found == want
+    assert secrets.scan(odd).count() == 2 and secrets.scan(none).count() == 0
+    judged = spark.createDataFrame([(12, 9, 0), (13, 5, 1)], "doc_id long, start long, is_secret int")
+    assert secrets.scan(odd, judged).count() == 2
+    plan = secrets.describe(secrets.candidates(odd))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+# pipeline
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline as c
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").cache()
+    cols = docs.columns
+    step = c.toxicity(spark, docs, SMALL)
+    scored = toxicity.toxicity(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    assert step.columns == cols and {r.doc_id for r in step.collect()} == {r.doc_id for r in scored.where("predicted = 0").collect()}
+    text = {r.doc_id: r.text for r in docs.collect()}
+    kept = {r.doc_id for r in c.near_dedup(spark, docs, SMALL).collect()}
+    exact: dict = {}
+    for i in sorted(text):
+        exact.setdefault(text[i], i)
+    assert kept <= set(exact.values()) and len(kept) >= 0.9 * len(exact)
+    items = [decontamination.normalise(r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    leaks = {i for i, t in text.items() if any(x in decontamination.normalise(t) for x in items if len(x) >= 30)}
+    left = {r.doc_id for r in c.decontaminate(spark, docs, SMALL).collect()}
+    assert not leaks & left and len(left) >= len(text) - len(leaks) - 2
+    assert c.mix(spark, docs, SMALL).columns == cols
+    out = c.run(spark, SMALL)
+    assert {"doc_id", "start", "n_tokens", "ids_crc32"} <= set(out.columns) and 0 < out.count() <= len(kept)
