@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewire import ColumnModule, FlowGraph, FlowGraphBuilder, FusionModule, NodeProcessingError, Path, PythonModule, compile_graph, decision, process
 from tidewire import functions as fn
+from tidewire.modules import worker_results
 from tidewire.operators import aggregates, joins, ordered, rows
 from tidewire.plans import specs as S
 from tidewire.plans.graph import dependency_groups
@@ -218,6 +219,16 @@ def test_python_modules(spark):
     assert compile_graph(FlowGraph.from_modules([bad]), src.mock_frames(spark, 2)).results.count() == 2
 
 
+def test_timeouts_and_workers(spark):
+    import time
+
+    slow = PythonModule("slow", lambda frame: time.sleep(0.5 * frame["frame_id"]) or {"x": 1}, timeout_sec=0.2, on_error="drop")
+    out = compile_graph(FlowGraph.from_modules([slow]), src.mock_frames(spark, 2)).results.orderBy("frame_id").collect()
+    assert [len(r.observations) for r in out] == [1, 0]
+    w = worker_results(PythonModule("m", lambda frame: {"x": 1 / frame["frame_id"]}), flow(spark, 2)).orderBy("frame_id").collect()
+    assert w[0].worker.error.startswith("ZeroDivisionError") and w[1].worker.observation.signals == {"x": 1.0} and w[1].worker.timing_ms >= 0
+
+
 def test_aliases(spark):
     face = ColumnModule("face", lambda: fn.observation("face", signals=fn.signals(n=F.lit(1))))
     user = ColumnModule("user", lambda deps: fn.observation("user", signals=fn.signals(n=deps("face_detect")["signals"]["n"])), ("face_detect",), {"face_detect": "face"})

@@ -20,7 +20,7 @@ from . import functions as fn
 from . import registry
 from .operators import fusion as _fusion
 from .operators.ordered import arrow_schema
-from .schema import OBS
+from .schema import OBS, WORKER_RESULT
 
 #: Ways to run a module that callers may ask for; Spark runs Columns in the JVM and Python in worker processes whatever is named, so these are notes.
 LEVELS = ("inline", "thread", "process", "venv", "container")
@@ -77,17 +77,94 @@ class PythonModule(Module):
     """``process(frame, deps)`` is called for each row with dictionaries; it returns a dictionary of values, a whole observation, or None.
 
     ``init`` makes what the module needs once in each task (its result is passed as ``frame['context']``), ``cleanup`` ends it. Errors: ``raise``, or
-    ``drop``, which gives no observation for the row and counts in the observation's absence. The signature is looked at once, never tried.
+    ``drop``, which gives no observation for the row. ``timeout_sec``: a call that takes longer counts as failed, and its late result is not
+    waited for. The signature is looked at once, never tried.
     """
 
-    def __init__(self, name: str, process: Callable, depends: tuple = (), aliases: dict | None = None, init: Callable | None = None, cleanup: Callable | None = None, reads: tuple = (), on_error: str = "raise", level: str = "inline"):
+    def __init__(self, name: str, process: Callable, depends: tuple = (), aliases: dict | None = None, init: Callable | None = None, cleanup: Callable | None = None, reads: tuple = (), on_error: str = "raise", level: str = "inline", timeout_sec: float | None = None):
         super().__init__(name, depends, aliases)
+        self.timeout_sec = timeout_sec
         self.process, self.init, self.cleanup, self.reads, self.on_error, self.level = process, init, cleanup, tuple(reads), on_error, isolation(level)
 
     def apply(self, df: DataFrame) -> DataFrame:
         return run_python([self], df)
 
 
+class Caller:
+    """Calls modules, those with a timeout in a thread of their own."""
+
+    def __init__(self):
+        self.pools: dict = {}
+
+    def __call__(self, m: PythonModule, args: tuple):
+        if m.timeout_sec is None:
+            return m.process(*args)
+        from concurrent.futures import ThreadPoolExecutor
+
+        pool = self.pools.setdefault(m.name, ThreadPoolExecutor(1))
+        try:
+            return pool.submit(m.process, *args).result(m.timeout_sec)
+        except TimeoutError:
+            self.pools.pop(m.name).shutdown(wait=False)
+            raise
+
+
+def worker_results(module: PythonModule, df: DataFrame, out: str = "worker") -> DataFrame:
+    """``df`` with struct(observation, error, timing_ms) for the module's call on each row: errors are values, and stop nothing."""
+    schema = StructType([*df.schema.fields, *StructType.fromDDL(f"{out} {WORKER_RESULT}").fields])
+    names = df.columns
+    need = list(dict.fromkeys(["frame_id", "t_ns", "observations", "results", *module.reads]))
+    n = min(2, len(inspect.signature(module.process).parameters))
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        kind = arrow_schema(schema).field(out).type
+        call, context = Caller(), module.init() if module.init else None
+        for b in batches:
+            got = []
+            for r in b.select(need).to_pylist():
+                deps = {o["source"]: _plain(o) for o in [*r["observations"], *r["results"]] if o["source"] in module.depends}
+                began, obs, error = time.perf_counter(), None, None
+                try:
+                    obs = as_observation(call(module, (r | {"context": context}, deps)[:n]), module.name, r)
+                except Exception as e:  # noqa: BLE001  it is the row's result
+                    error = f"{type(e).__name__}: {e}"
+                got.append({"observation": _entries(obs) if obs else None, "error": error, "timing_ms": (time.perf_counter() - began) * 1e3})
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, kind)], [*names, out])
+
+    return df.mapInArrow(run, schema)
+
+
+def python_condition(test: Callable, reads: list[str], on_error: str = "raise"):
+    """A condition from a Python function of a row's dictionary, for filters and branches that no Column expresses.
+
+    It runs as a vectorised UDF, behind which no predicate is pushed. ``drop``: a row on which it fails counts as false.
+    """
+
+    def column(df: DataFrame) -> Column:
+        def run(batches: Iterator) -> Iterator:
+            for rows in batches:
+                out = []
+                for r in rows.to_dict("records"):
+                    try:
+                        out.append(bool(test(r)))
+                    except Exception:
+                        if on_error == "raise":
+                            raise
+                        out.append(False)
+                import pandas as pd
+
+                yield pd.Series(out, dtype=bool)
+
+        from collections.abc import Iterator as It
+
+        import pandas as pd
+
+        run.__annotations__ = {"batches": It[pd.DataFrame], "return": It[pd.Series]}
+        return F.pandas_udf(run, "boolean")(F.struct(*reads))
+
+    return column
+
+
 def as_observation(value, name: str, row: dict) -> dict | None:
     """A module's result as an observation: numbers and booleans become signals, other values JSON data."""
     import json
@@ -112,10 +189,11 @@ def run_python(modules: list[PythonModule], df: DataFrame, timing: bool = False)
     names = df.columns
     need = list(dict.fromkeys(["frame_id", "t_ns", "observations", "results", *(c for m in modules for c in m.reads)]))
     schema = df.schema
-    wants = [len(inspect.signature(m.process).parameters) for m in modules]
+    wants = [min(2, len(inspect.signature(m.process).parameters)) for m in modules]
 
     def run(batches: Iterator[pa.RecordBatch]):
         target = arrow_schema(schema)
+        call = Caller()
         contexts = [m.init() if m.init else None for m in modules]
         try:
             for b in batches:
@@ -126,8 +204,7 @@ def run_python(modules: list[PythonModule], df: DataFrame, timing: bool = False)
                         mine = {d: deps[d] for d in m.depends if d in deps} | {d: deps[a] for d, a in m.aliases.items() if d not in deps and a in deps}
                         began = time.perf_counter()
                         try:
-                            frame = r | {"context": c}
-                            got = as_observation(m.process(frame, mine) if n > 1 else m.process(frame), m.name, r)
+                            got = as_observation(call(m, (r | {"context": c}, mine)[:n]), m.name, r)
                         except Exception:
                             if m.on_error == "raise":
                                 raise RuntimeError(f"module {m.name!r} failed on frame {r['frame_id']}:\n{traceback.format_exc()}") from None

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from . import functions as fn
 from . import observability as obs
-from .modules import ColumnModule, FusionModule, Path, PythonModule, run_modules
+from . import streaming as st
+from .modules import ColumnModule, FusionModule, Path, PythonModule, python_condition, run_modules, worker_results
 from .operators import aggregates as agg
 from .operators import fusion as fus
 from .operators import joins, ordered, rows
@@ -44,6 +45,21 @@ def events(spark, d: str) -> DataFrame:
     return src.from_events(spark.read.parquet(f"{d}/events.parquet")).withColumn("k", F.get_json_object("props", "$.k").cast("bigint")).drop("props")
 
 
+def live(spark, d: str) -> DataFrame:
+    """``events`` as a stream of one file, read in order of time."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return src.from_events(spark.readStream.schema(e.schema).parquet(f"{d}/events.parquet*")).withColumn("k", F.get_json_object("props", "$.k").cast("bigint")).drop("props")
+
+
+def scratch(spark) -> str:
+    """A new folder among those that all executors share."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="tidewire-")
+    return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex[:12]}"
+
+
 def reading(**more) -> ColumnModule:
     """Each frame's own observation."""
     return ColumnModule("reading", lambda: fn.observation(F.col("event_type"), signals=fn.signals(value=F.col("value"), k=F.col("k")), **more))
@@ -525,3 +541,65 @@ def sample_turns(spark, d):
 def session_summary(spark, d):
     e = events(spark, d)
     return e.groupBy("stream_id").agg(F.count("*").alias("frames"), F.count_if(F.col("value") > 60.0).alias("triggers"), ((F.max("t_ns") - F.min("t_ns")) / F.lit(1e9)).alias("duration_sec"))
+
+
+@query(ORACLE["sample_count"])
+def stream_sample_count(spark, d):
+    """The stateful streaming form gives the batch form's rows."""
+    return ids(st.to_table(st.every_nth(live(spark, d), 3), scratch(spark)))
+
+
+@query(ORACLE["ts_sample"])
+def stream_ts_sample(spark, d):
+    return ids(st.to_table(st.min_interval(live(spark, d), 12 * HOUR), scratch(spark)))
+
+
+@query(ORACLE["cooldown"])
+def stream_cooldown(spark, d):
+    return ids(st.to_table(st.cooldown(live(spark, d).withColumn("hot", F.col("value") > 40.0), "hot", 24 * HOUR), scratch(spark)))
+
+
+@query(_FUSE + " SELECT stream_id, frame_id, t_ns, CASE WHEN cool THEN 'cooldown' WHEN NOT seen THEN 'missing_sources' WHEN NOT cand THEN 'no_trigger' ELSE 'triggered' END AS state, CASE WHEN fire THEN c + v ELSE 0.0 END AS score FROM f")
+def stream_fusion(spark, d):
+    both = lambda s: ("sum", s["click"] + s["view"]) if s["click"] + s["view"] > 80.0 else None
+    x = live(spark, d).withColumnRenamed("event_type", "source")
+    return ids(st.to_table(st.fuse(x, ["click", "view"], both, 12 * HOUR), scratch(spark)), "state", "score")
+
+
+@query(f"WITH {EV} SELECT a.stream_id, a.frame_id, b.frame_id AS frame_id_right FROM ev a JOIN ev b ON a.stream_id = b.stream_id AND a.event_type = 'click' AND b.event_type = 'view' AND abs(b.t_ns - a.t_ns) <= {6 * HOUR}")
+def stream_interval_join(spark, d):
+    x = live(spark, d)
+    out = st.interval_join(x.where("event_type = 'click'"), x.where("event_type = 'view'"), 6 * HOUR, "40 days")
+    return st.to_table(out.select("stream_id", "frame_id", "frame_id_right"), scratch(spark))
+
+
+@query(f"WITH {EV} SELECT stream_id, frame_id, t_ns FROM ev WHERE k % 7 = 3 AND k % 10 <> 3")
+def filter_python(spark, d):
+    """A condition that is a Python function; rows on which it fails are dropped."""
+
+    def test(r):
+        return 1 // (r["k"] % 10 - 3) is not None and r["k"] % 7 == 3
+
+    g = FlowGraphBuilder().source().filter(python_condition(test, ["k"], "drop")).build()
+    return ids(compile_graph(g, events(spark, d)).results)
+
+
+@query(f"WITH {EV} SELECT frame_id, CASE WHEN k % 10 = 0 THEN 'ValueError: no' END AS error, CASE WHEN k % 10 <> 0 THEN value END AS x FROM ev")
+def worker_errors(spark, d):
+    """Errors as values of the row."""
+
+    def work(frame):
+        if frame["k"] % 10 == 0:
+            raise ValueError("no")
+        return {"x": frame["value"]}
+
+    w = worker_results(PythonModule("m", work, reads=("k", "value")), rows.to_flow(events(spark, d)))
+    return w.select("frame_id", "worker.error", F.try_element_at("worker.observation.signals", F.lit("x")).alias("x"))
+
+
+@query("SELECT n_nationkey AS id, b AS path_id FROM nation, (VALUES ('p1'), ('p2')) AS t(b)")
+def multi_path(spark, d):
+    """Several paths over the same rows, each with its own analyzers."""
+    f = rows.to_flow(spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("bigint").alias("frame_id"), F.lit(0).cast("bigint").alias("t_ns")))
+    paths = [Path(p, [ColumnModule(p, lambda: fn.observation("x"))]) for p in ("p1", "p2")]
+    return rows.union(*[p.extract_all(f) for p in paths]).select(F.col("frame_id").cast("int").alias("id"), "path_id")

@@ -63,6 +63,27 @@ def cooldown(df: DataFrame, candidate: str, wait_ns: int) -> DataFrame:
     return _filtered(df, dict, lambda s, r: cooling(s, int(r.t_ns), wait_ns, bool(getattr(r, candidate)))[0])
 
 
+def fuse(df: DataFrame, sources: list[str], decide: Callable[[dict], tuple[str, float] | None], wait_ns: int, value: str = "value") -> DataFrame:
+    """Decisions over each source's latest value: (stream_id, frame_id, t_ns, state, score, reason) for every row of (stream_id, frame_id, t_ns, seq, source, value).
+
+    The order of decisions is that of the batch form: cool-down, missing sources, no trigger, fire; latest values move on in a cool-down too.
+    """
+
+    def step(s, rows):
+        out = []
+        for r in rows.itertuples(index=False):
+            if r.source in sources:
+                s.setdefault("latest", {})[r.source] = float(getattr(r, value))
+            have = s.get("latest", {})
+            verdict = decide(have) if all(x in have for x in sources) else None
+            fires, cool = cooling(s, int(r.t_ns), wait_ns, verdict is not None)
+            state = "cooldown" if cool else "missing_sources" if len(have) < len(sources) else "triggered" if fires else "no_trigger"
+            out.append((r.stream_id, r.frame_id, r.t_ns, state, verdict[1] if fires else 0.0, verdict[0] if fires else ""))
+        return pd.DataFrame(out, columns=["stream_id", "frame_id", "t_ns", "state", "score", "reason"])
+
+    return _with_state(df, "stream_id string, frame_id bigint, t_ns bigint, state string, score double, reason string", dict, step, json.dumps, json.loads, "string")
+
+
 def join_paths(df: DataFrame, paths: list[str], window_ns: int = 100_000_000, lateness_ns: int = 0, out_path: str = "merged") -> DataFrame:
     """The exact path join: what is held is kept between micro-batches."""
 
@@ -110,6 +131,13 @@ def align(messages: DataFrame, window: str = "100 milliseconds", lateness: str =
     return w.groupBy("stream_id", "frame_id", F.window("event_ts", window)).agg(F.max_by("source", "seq").alias("last_source"), F.collect_set("source").alias("sources"), F.min("t_ns").alias("first_ns"), F.max("t_ns").alias("last_ns"))
 
 
+def to_table(df: DataFrame, path: str) -> DataFrame:
+    """Take what is there, write it as Parquet and read it."""
+    w = df.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    w.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/rows")
+
+
 def run(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = "100 milliseconds", available_now: bool = False):
     """Start a query that hands each micro-batch to ``sink``; ``available_now`` takes what is there and ends."""
     w = df.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
