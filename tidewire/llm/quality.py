@@ -19,6 +19,8 @@ from ._shared import crc_mod
 from .toxicity import MAX_ROWS, sample
 
 PASSAGE = 64
+#: Bound on the passages that the fitting task holds; documents beyond it, in the order of their hash, are left out of the fit.
+MAX_PASSAGES = 500_000
 HIDDEN, GATE, EPOCHS, BATCH, RATE, DECAY = 16, 8, 40, 64, 0.01, 1e-4
 
 #: Byte classes: lower and upper letters, digits, spaces, line ends, each of these marks, other marks, bytes beyond ASCII.
@@ -137,15 +139,20 @@ def fit(labelled: DataFrame) -> Mil:
     def train(batches):
         import pickle
 
-        rows = sorted(r for b in batches for r in zip(*[c.to_pylist() for c in b.columns]))
-        model = fit_bags([(np.frombuffer(x, np.float32).reshape(-1, SIZE), y) for _, y, x in rows])
+        bags, size = [], 0
+        for b in batches:
+            for y, x in zip(b.column(1).to_pylist(), b.column(2)):
+                size += len(x.as_py()) // (4 * SIZE) if size < MAX_PASSAGES else 0
+                if size < MAX_PASSAGES:
+                    bags.append((np.frombuffer(x.as_py(), np.float32).reshape(-1, SIZE), y))
+        model = fit_bags(bags)
         model.m = model.v = None
         yield pa.record_batch({"model": pa.array([pickle.dumps(model.__dict__)], pa.binary())})
 
     import pickle
 
     model = Mil()
-    model.__dict__.update(pickle.loads(bytes(labelled.mapInArrow(turn, "at bigint, y double, x binary").repartition(1).mapInArrow(train, "model binary").first()[0])))
+    model.__dict__.update(pickle.loads(bytes(labelled.mapInArrow(turn, "at bigint, y double, x binary").repartition(1).sortWithinPartitions("at", "y", "x").mapInArrow(train, "model binary").first()[0])))
     return model
 
 

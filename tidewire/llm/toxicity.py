@@ -19,6 +19,8 @@ from ._shared import crc_mod
 BITS = 20
 #: Bound on the rows fitted on: those with the lowest hash of their id.
 MAX_ROWS = 8000
+#: Bound on the features that the fitting task holds; rows beyond it, in the order of their hash, are left out of the fit.
+MAX_FEATURES = 40_000_000
 ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 6.0, 0.0, 6
 
 
@@ -65,25 +67,27 @@ def fit(labelled: DataFrame, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarr
                 yield pa.record_batch({"at": s.column("at"), "y": s.column("y"), "f": pa.array([h[a:b].astype(np.int32).tobytes() for a, b in zip(cut, cut[1:])], pa.binary())})
 
     def train(batches):
-        model, rows = Ftrl(), []
+        model, rows, size = Ftrl(), [], 0
         for b in batches:
-            rows += zip(b.column(0).to_pylist(), b.column(1).to_pylist(), (np.frombuffer(x.as_py(), np.int32) for x in b.column(2)))
-        rows.sort(key=lambda r: (r[0], r[1], r[2].tobytes()))
+            for y, f in zip(b.column(1).to_pylist(), b.column(2)):
+                size += len(f.as_py()) // 4 if size < MAX_FEATURES else 0
+                if size < MAX_FEATURES:
+                    rows.append((np.frombuffer(f.as_py(), np.int32), y))
         for _ in range(epochs):
-            for _, y, f in rows:
+            for f, y in rows:
                 model.learn(f, y)
         w = model.weights()
         i = np.flatnonzero(w[:-1])
         yield pa.record_batch({"i": pa.array([i.astype(np.int32).tobytes()], pa.binary()), "w": pa.array([w[i].tobytes()], pa.binary()), "b": pa.array([float(w[-1])])})
 
-    r = labelled.select("at", "text", "y").mapInArrow(turn, "at bigint, y double, f binary").repartition(1).mapInArrow(train, "i binary, w binary, b double").first()
+    r = labelled.select("at", "text", "y").mapInArrow(turn, "at bigint, y double, f binary").repartition(1).sortWithinPartitions("at", "y", "f").mapInArrow(train, "i binary, w binary, b double").first()
     return np.frombuffer(bytes(r.i), np.int32), np.frombuffer(bytes(r.w)), r.b
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, use, rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """At most ``rows`` labelled documents (at, text, y), of those whose id ``use`` (a Column) admits: the lowest by hash of the id.
 
-    The bound is proven, so their ids are sent to where the texts are; no other text moves.
+    The bound is proven, so their ids are sent to where the texts are; no other text moves. Rows that repeat an id count once, with the least text.
     """
     ids = (
         labels.select(F.col(id_col).alias("_id"), F.col(label).cast("double").alias("y"))
@@ -93,7 +97,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, use, rows: int = MAX_
         .withColumn("at", F.xxhash64(F.col("_id").cast("string"), F.lit("sample")))
         .orderBy("at", "_id").limit(rows)
     )
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "_id").select("at", "text", "y")
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "_id").groupBy("at", "y").agg(F.min("text").alias("text")).select("at", "text", "y")
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col: str = "text", out: str = "_score") -> DataFrame:
