@@ -282,3 +282,7 @@ def test_plans(spark, tmp_path):
     j = FlowGraphBuilder().source().fanout(["a", "b"]).path("a", [scored("x", 1)]).path("b", [scored("y", 1)]).join(["a", "b"]).build()
     plan = compile_graph(j, f).results._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in plan
+    x = ColumnModule("x", lambda: fn.observation("x"))
+    fused = FusionModule("f", ["x"], lambda s: decision(F.lit(True), "yes")).apply(x.apply(rows.to_flow(f)))
+    plan = fused._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1, plan

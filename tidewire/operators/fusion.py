@@ -26,7 +26,7 @@ def fuse(df: DataFrame, name: str, sources: list[str], decide: Callable[..., Col
         seen = seen & F.col(f"latest_{s}").isNotNull()
     verdict = decide({s: F.col(f"latest_{s}") for s in sources})
     rows = rows.withColumns({"_seen": seen, "_verdict": F.when(seen, verdict)})
-    rows = cooldown(rows.withColumn("_candidate", F.col("_verdict").isNotNull()), "_candidate", int(wait_sec * NS), "_cool")
+    rows = cooldown(rows.withColumn("_candidate", F.col("_verdict").isNotNull()), "_candidate", int(wait_sec * NS), "_cool", clustered=bool(sources))
     fires = F.col("_cool.fires")
     state = F.when(F.col("_cool.cooling"), "cooldown").when(~F.col("_seen"), "missing_sources").when(F.col("_verdict").isNull(), "no_trigger").otherwise("triggered")
     reason, score = F.when(fires, F.col("_verdict.reason")).otherwise(F.lit("")), F.when(fires, F.col("_verdict.score")).otherwise(F.lit(0.0))

@@ -71,8 +71,11 @@ def arrow_schema(schema) -> pa.Schema:
     return to_arrow_schema(schema if isinstance(schema, StructType) else StructType.fromDDL(schema))
 
 
-def flag(df: DataFrame, start: Callable[[], object], test: Callable[..., object], inputs: list[str], out: str, kind: str = "boolean", keys=KEYS, order=ORDER) -> DataFrame:
-    """``df`` with a column from one ordered pass: ``test(state, *inputs)`` for each row. All other columns pass through Arrow untouched."""
+def flag(df: DataFrame, start: Callable[[], object], test: Callable[..., object], inputs: list[str], out: str, kind: str = "boolean", keys=KEYS, order=ORDER, clustered: bool = False) -> DataFrame:
+    """``df`` with a column from one ordered pass: ``test(state, *inputs)`` for each row. All other columns pass through Arrow untouched.
+
+    ``clustered``: the rows come straight from a window over the same keys and order, so that they need no second shuffle or sort.
+    """
     from pyspark.sql.types import StructType
 
     names = df.columns
@@ -92,7 +95,8 @@ def flag(df: DataFrame, start: Callable[[], object], test: Callable[..., object]
                 got.append(test(state, *[c[i] for c in cols]))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, target.field(out).type)], [*names, out])
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    rows = df if clustered else df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return rows.mapInArrow(run, schema)
 
 
 def greedy(state: dict, t: int, interval: int) -> bool:
@@ -126,9 +130,9 @@ def min_interval(df: DataFrame, interval_ns: int, time: str = "timestamp_ns") ->
     return flag(df, dict, lambda s, t: greedy(s, t, interval_ns), [time], "_pass").where("_pass").drop("_pass")
 
 
-def cooldown(df: DataFrame, candidate: str, wait_ns: int, out: str = "fires", time: str = "t_ns") -> DataFrame:
+def cooldown(df: DataFrame, candidate: str, wait_ns: int, out: str = "fires", time: str = "t_ns", clustered: bool = False) -> DataFrame:
     """``df`` with ``out``, struct(fires, cooling), for rows whose boolean column ``candidate`` says that they could fire."""
-    return flag(df, dict, lambda s, t, c: dict(zip(("fires", "cooling"), cooling(s, t, wait_ns, bool(c)))), [time, candidate], out, "struct<fires: boolean, cooling: boolean>")
+    return flag(df, dict, lambda s, t, c: dict(zip(("fires", "cooling"), cooling(s, t, wait_ns, bool(c)))), [time, candidate], out, "struct<fires: boolean, cooling: boolean>", clustered=clustered)
 
 
 def latest(df: DataFrame, value: Column, out: str, keys=KEYS, order=ORDER) -> DataFrame:
