@@ -18,6 +18,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows that cross to Python at once, where the session leaves Spark's default: texts may be long, and a batch is held whole on either side.
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def session(df: DataFrame) -> SparkSession:
+    """The session of ``df``, with batches for Python of 2,000 rows at most if nothing else was set."""
+    spark = df.sparkSession
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, "2000")
+    return spark
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidewire/{name}-{uuid.uuid4().hex[:12]}"
 
@@ -40,6 +52,12 @@ def drop(*tables: DataFrame) -> None:
                 p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def cleanup(spark: SparkSession) -> None:
+    """Delete all tables that operators have left in the shared folder; results that were not yet written are lost."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidewire")
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -3,7 +3,7 @@
 Texts and items are normalised: lower case, runs of other than letters and digits one space. An item of m characters occurs in a text if
 some part of the text is within k = floor(``budget`` * m) edits of it. Each item is split into k + 1 pieces; one of them must then be in the
 text unchanged, and not further than k from its place. One automaton finds all pieces in one pass of each whole text; around the hits, and
-nowhere else, the distance is worked out.
+nowhere else, the distance is worked out, if the part has enough of the item's GRAM-letter strings: an edit destroys GRAM of them at most.
 
 Items whose normal form is under ``least`` characters (null and empty ones too) are left out, as anything would match. Null and empty texts
 match nothing. Items that repeat an id or a text each count. The automaton is sent to the executors: items are worked on in blocks of at most
@@ -14,11 +14,15 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUDGET, LEAST = 0.1, 30
+from . import _text
+from ._shared import session
+
+BUDGET, LEAST, GRAM = 0.08, 30, 5
 #: Normalised characters of items in one automaton.
 BLOCK_CHARS = 4_000_000
 _OTHER = re.compile(r"[\W_]+")
@@ -28,6 +32,34 @@ def normalise(text: str | None) -> str:
     return _OTHER.sub(" ", (text or "").lower()).strip()
 
 
+#: ASCII bytes: letters in lower case, digits as they are, all else a space; other bytes as they are.
+_TABLE = np.arange(256, dtype=np.uint8)
+_TABLE[:128] = [c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(128)]
+#: UTF-8 bytes that Latin-1 letters never have: lead bytes but 0xC3; its two signs are looked for apart.
+_ODD = np.zeros(256, bool)
+_ODD[0xC0:] = True
+_ODD[0xC3] = False
+
+
+def normalise_all(col: pa.Array) -> list[str]:
+    """``normalise`` of each text of a slice. Texts of ASCII and Latin-1 letters are worked on as bytes, together."""
+    buf, off = _text.buffers(col)
+    if not len(buf):
+        return [""] * len(col)
+    odd = _ODD[buf]
+    sign = np.flatnonzero((buf[:-1] == 0xC3) & ((buf[1:] == 0x97) | (buf[1:] == 0xB7)))
+    odd[sign] = True
+    odd = np.append(0, np.cumsum(odd))
+    t = _TABLE[buf]
+    space = t == 32
+    keep = np.ones(len(t), bool)
+    keep[1:] = ~(space[1:] & space[:-1])
+    keep[off[:-1][off[:-1] < len(t)]] = True
+    t, at = t[keep].tobytes(), np.append(0, np.cumsum(keep))[off].tolist()
+    slow = (odd[off[1:]] > odd[off[:-1]]).tolist()
+    return [normalise(col[i].as_py()) if slow[i] else t[a:b].decode().lower().strip() for i, (a, b) in enumerate(zip(at, at[1:]))]
+
+
 def pieces(item: str, budget: float) -> list[tuple[int, str]]:
     """(place, piece): k + 1 pieces that make up the item."""
     k = int(budget * len(item))
@@ -61,12 +93,17 @@ def myers(item: str, text: str, k: int) -> int:
     return min(best, k + 1)
 
 
+def _grams(t: str) -> set[str]:
+    return {t[i : i + GRAM] for i in range(len(t) - GRAM + 1)}
+
+
 class Matcher:
     def __init__(self, items: list[tuple], budget: float):
         import ahocorasick
 
         self.items, self.k = [t for _, t in items], [int(budget * len(t)) for _, t in items]
         self.ids = [i for i, _ in items]
+        self.grams = [_grams(t) for t in self.items]
         places: dict[str, list[tuple[int, int]]] = {}
         for n, t in enumerate(self.items):
             for at, p in pieces(t, budget):
@@ -96,9 +133,11 @@ class Matcher:
             best = self.k[n] + 1
             for lo, hi in mine:
                 part = text[lo:hi]
-                best = 0 if self.items[n] in part else min(best, myers(self.items[n], part, self.k[n]))
-                if not best:
+                if self.items[n] in part:
+                    best = 0
                     break
+                if len(self.grams[n] & _grams(part)) >= len(self.grams[n]) - GRAM * self.k[n]:
+                    best = min(best, myers(self.items[n], part, self.k[n]))
             if best <= self.k[n]:
                 out.append((n, best))
         return out
@@ -129,7 +168,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, budget: float = BUDGET, lea
 
 def hits(docs: DataFrame, items: DataFrame, budget: float = BUDGET, least: int = LEAST, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` with a column _hits, array of (id, d): each item that occurs in the row's text and its least distance, in order of id. No row is shuffled."""
-    spark = docs.sparkSession
+    spark = session(docs)
     kind = items.schema[item_id].dataType.simpleString()
     out = docs.withColumn("_hits", F.expr(f"cast(array() as array<struct<id: {kind}, d: int>>)"))
     names, schema = out.columns, out.schema
@@ -140,11 +179,12 @@ def hits(docs: DataFrame, items: DataFrame, budget: float = BUDGET, least: int =
 
         def run(batches, sent=sent):
             m = Matcher(sent.value, budget)
-            for b in batches:
-                found = [x.as_py() + [{"id": m.ids[n], "d": d} for n, d in m.find(normalise(t.as_py()))] for x, t in zip(b.column(to), b.column(at))]
-                cols = [*b.columns]
-                cols[to] = pa.array(found, b.column(to).type)
-                yield pa.RecordBatch.from_arrays(cols, names)
+            for batch in batches:
+                for b in _text.slices(batch, text_col):
+                    found = [x + [{"id": m.ids[n], "d": d} for n, d in m.find(t)] for x, t in zip(b.column(to).to_pylist(), normalise_all(b.column(at)))]
+                    cols = [*b.columns]
+                    cols[to] = pa.array(found, b.column(to).type)
+                    yield pa.RecordBatch.from_arrays(cols, names)
 
         out = out.mapInArrow(run, schema)
     best = F.array_sort("_hits")
