@@ -259,6 +259,13 @@ def test_empty_and_null_input(spark):
     assert ordered.every_nth(null, 1).count() == 1 and null.first().timestamp_ns == 0
 
 
+def test_payload_ends(spark):
+    f = src.mock_frames(spark, 2).withColumn("data", F.lit("x"))
+    g = FlowGraphBuilder().source().path("p", [scored("a", 0.1)]).filter(lambda: F.lit(True), "f").build()
+    out = compile_graph(g, f, drop_after={"data": "p"}).outputs
+    assert "data" in out["source"].columns and "data" not in out["p"].columns and "data" not in out["f"].columns
+
+
 def test_compile_errors(spark):
     with pytest.raises(TypeError):
         compile_graph(FlowGraph().add_node("x", object()), src.mock_frames(spark, 1))

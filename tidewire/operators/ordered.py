@@ -135,9 +135,23 @@ def cooldown(df: DataFrame, candidate: str, wait_ns: int, out: str = "fires", ti
     return flag(df, dict, lambda s, t, c: dict(zip(("fires", "cooling"), cooling(s, t, wait_ns, bool(c)))), [time, candidate], out, "struct<fires: boolean, cooling: boolean>", clustered=clustered)
 
 
-def latest(df: DataFrame, value: Column, out: str, keys=KEYS, order=ORDER) -> DataFrame:
-    """The last value that is not null, up to and with each row: an as-of lookup without a limit on age."""
-    return df.withColumn(out, F.last(value, ignorenulls=True).over(over(keys, order).rowsBetween(Window.unboundedPreceding, 0)))
+def latest(df: DataFrame, value: Column, out: str, keys=KEYS, order=ORDER, bucket_ns: int | None = None) -> DataFrame:
+    """The last value that is not null, up to and with each row: an as-of lookup without a limit on age.
+
+    ``bucket_ns``: looked up within buckets of ``order[0]`` first, then in the buckets before, so that a long stream is spread over many tasks.
+    """
+    if bucket_ns is None:
+        return df.withColumn(out, F.last(value, ignorenulls=True).over(over(keys, order).rowsBetween(Window.unboundedPreceding, 0)))
+    b = df.withColumns({"_bucket": F.floor(F.col(order[0]) / F.lit(bucket_ns)), "_value": value})
+    ends = b.where("_value is not null").groupBy(*keys, "_bucket").agg(F.max_by("_value", F.struct(*order)).alias("_end"))
+    steps = b.groupBy(*keys, "_bucket").count().drop("count").join(ends, [*keys, "_bucket"], "left")
+    before = F.last("_end", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    carried = steps.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bucket").alias("_b"), before.alias("_before"))
+    same = F.col("_bucket").eqNullSafe(F.col("_b"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    near = F.last("_value", ignorenulls=True).over(Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return b.withColumn("_near", near).join(carried, same, "left").withColumn(out, F.coalesce("_near", "_before")).select(*df.columns, out)
 
 
 def gaps(df: DataFrame, keys=KEYS, order=ORDER) -> DataFrame:

@@ -41,6 +41,15 @@ def add_results(df: DataFrame, *obs: Column) -> DataFrame:
     return df.withColumn("results", F.concat("results", F.array_compact(F.array(*obs))))
 
 
+def with_observations(df: DataFrame, *obs: Column) -> DataFrame:
+    """Replace the observations."""
+    return df.withColumn("observations", F.array_compact(F.array(*obs)))
+
+
+def with_results(df: DataFrame, *obs: Column) -> DataFrame:
+    return df.withColumn("results", F.array_compact(F.array(*obs)))
+
+
 def keep(df: DataFrame, condition: Column) -> DataFrame:
     """Null is false, so the condition goes to the scan as it is."""
     return df.where(condition)

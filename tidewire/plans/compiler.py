@@ -107,8 +107,12 @@ def register(spec: type, compile_: Callable) -> None:
     COMPILERS[spec] = compile_
 
 
-def compile_graph(graph: FlowGraph, frames: DataFrame, on_node: Callable[[str, DataFrame], DataFrame] | None = None) -> Compiled:
-    """``on_node(name, df)`` may wrap each node's output, for instance with ``df.observe``."""
+def compile_graph(graph: FlowGraph, frames: DataFrame, on_node: Callable[[str, DataFrame], DataFrame] | None = None, drop_after: dict[str, str] | None = None) -> Compiled:
+    """``on_node(name, df)`` may wrap each node's output, for instance with ``df.observe``.
+
+    ``drop_after``: payload column to the node that reads it last. Columns that only Columns read are pruned without it; Python nodes and ordered scans
+    carry what they are given, so heavy payloads should end here.
+    """
     graph.validate()
     outputs: dict[str, DataFrame] = {}
     taken: list[DataFrame] = []
@@ -126,6 +130,8 @@ def compile_graph(graph: FlowGraph, frames: DataFrame, on_node: Callable[[str, D
             df = COMPILERS[type(spec)](name, spec, df, graph)
         except (ValueError, TypeError, KeyError) as e:
             raise NodeProcessingError(name, type(spec).__name__, e) from e
+        if gone := [c for c, n in (drop_after or {}).items() if n == name]:
+            df = df.drop(*gone)
         outputs[name] = on_node(name, df) if on_node else df
         edges = graph.outgoing(name)
         if not edges:

@@ -291,6 +291,13 @@ def latest_asof(spark, d):
     return x.select("stream_id", "frame_id", F.col("latest_click")["signals"]["value"].alias("click"), F.col("latest_view")["signals"]["value"].alias("view"))
 
 
+@query(f"WITH {EV} SELECT frame_id, last_value(CASE WHEN event_type = 'click' AND k > 90 THEN value END IGNORE NULLS) OVER (ORDER BY t_ns, frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rare FROM ev")
+def latest_one_stream(spark, d):
+    """All events as one stream, looked up in two levels."""
+    e = rows.to_flow(events(spark, d).withColumn("stream_id", F.lit("all")))
+    return ordered.latest(e, F.when((F.col("event_type") == "click") & (F.col("k") > 90), F.col("value")), "rare", bucket_ns=HOUR).select("frame_id", "rare")
+
+
 _FUSE = f"""WITH RECURSIVE {EV}, l AS (SELECT *, last_value(CASE WHEN event_type = 'click' THEN value END IGNORE NULLS) OVER w AS c, last_value(CASE WHEN event_type = 'view' THEN value END IGNORE NULLS) OVER w AS v, row_number() OVER (PARTITION BY stream_id ORDER BY t_ns, frame_id) AS rn
 FROM ev WINDOW w AS (PARTITION BY stream_id ORDER BY t_ns, frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 o AS (SELECT *, c IS NOT NULL AND v IS NOT NULL AS seen, coalesce(c + v > 80.0, false) AS cand FROM l),
