@@ -259,6 +259,15 @@ def test_empty_and_null_input(spark):
     assert ordered.every_nth(null, 1).count() == 1 and null.first().timestamp_ns == 0
 
 
+def test_extract_with_fusion(spark):
+    x = ColumnModule("x", lambda: fn.observation("x", signals=fn.signals(v=F.col("frame_id"))))
+    f = FusionModule("f", ["x"], lambda s: decision(s["x"]["signals"]["v"] >= 1, "on", 0.7), 0.0)
+    out = compile_graph(FlowGraph.from_pipeline([x], f), src.mock_frames(spark, 3)).results.orderBy("frame_id").collect()
+    assert [[o.source for o in r.observations] for r in out] == [["x"]] * 3 and [len(r.results) for r in out] == [0, 1, 1]
+    quiet = S.Extract((x,), f, run_fusion=False)
+    assert compile_graph(FlowGraph().add_node("e", S.Source()).add_node("q", quiet).add_edge("e", "q"), src.mock_frames(spark, 1)).results.first().results == []
+
+
 def test_payload_ends(spark):
     f = src.mock_frames(spark, 2).withColumn("data", F.lit("x"))
     g = FlowGraphBuilder().source().path("p", [scored("a", 0.1)]).filter(lambda: F.lit(True), "f").build()

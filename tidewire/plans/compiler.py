@@ -56,6 +56,14 @@ def _source(n, s, df):
     return df if "observations" in df.columns else rows.to_flow(df, s.default_path_id)
 
 
+def _extract(name, s, df):
+    """Extractors, then the fusion, whose outputs are results where they fire and never observations."""
+    out = run_modules(df, s.extractors, name)
+    if s.fusion is None or not s.run_fusion:
+        return out
+    return s.fusion.apply(out).withColumn("observations", F.filter("observations", lambda o: o["source"] != s.fusion.name))
+
+
 def _same_frames(graph: FlowGraph, node: str, spec: S.Join) -> bool:
     """Whether all the join's paths come from one fan-out with nothing between that drops, adds or batches rows: then each path has each frame once."""
     steady = (S.Modules, S.Extract)
@@ -84,7 +92,7 @@ def _join(node, s, df, graph):
 COMPILERS: dict[type, Callable] = {
     S.Source: lambda n, s, df, g: _source(n, s, df),
     S.Modules: lambda n, s, df, g: run_modules(df, s.modules, n),
-    S.Extract: lambda n, s, df, g: run_modules(df, s.modules(), n),
+    S.Extract: lambda n, s, df, g: _extract(n, s, df),
     S.Filter: lambda n, s, df, g: rows.keep(df, condition(s.condition, df, s.on_error)),
     S.ObservationFilter: lambda n, s, df, g: rows.min_observations(df, s.min_count),
     S.SignalFilter: lambda n, s, df, g: rows.keep(df, rows.any_signal(s.signal, s.comparison, s.threshold)),
