@@ -29,14 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._shared import drop, table
+from ._shared import drop, session, table
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 SAMPLES, BANDS, ROWS = 64, 24, 5
-COMMON, FLOOR = 0.01, 0.5
+COMMON, FLOOR = 0.1, 0.75
 SMALL, AGREE = 2048, 43
-#: Buckets for finding common shingles: at 500 shingles a document, a bucket holds a fifth of the least count that is looked for.
+#: Buckets for finding common shingles: at 500 shingles a document, a bucket holds a fiftieth of the least count that is looked for.
 BUCKETS = 1 << 18
 NULL_ID = -(2**63)
 
@@ -130,7 +130,7 @@ def common_shingles(docs: DataFrame, total: int, n: int = SHINGLE) -> Weights:
     heavy = _text.heavy_buckets(docs.select("text").mapInArrow(count, "chunk int, data binary"), 1, BUCKETS, least)[0]
     if not heavy.any():
         return Weights(np.zeros(0, np.uint64), np.zeros(0))
-    sent = docs.sparkSession.sparkContext.broadcast(heavy)
+    sent = session(docs).sparkContext.broadcast(heavy)
 
     def exact(batches):
         for b in batches:
@@ -216,7 +216,7 @@ def _packed(docs: DataFrame, wanted: DataFrame, weights, n: int) -> DataFrame:
             c.add(0, _text.mix(b.column(0).to_numpy().view(np.uint64).copy()))
         yield from c.rows()
 
-    bitmap = docs.sparkSession.sparkContext.broadcast(_text.heavy_buckets(wanted.mapInArrow(mark, "chunk int, data binary"), 1, BUCKETS * 32, 1)[0])
+    bitmap = session(docs).sparkContext.broadcast(_text.heavy_buckets(wanted.mapInArrow(mark, "chunk int, data binary"), 1, BUCKETS * 32, 1)[0])
 
     def pick(batches):
         for b in batches:
@@ -276,7 +276,7 @@ def _linked(threshold: float):
 
 def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, n: int = SHINGLE, small: int = SMALL) -> DataFrame:
     """(doc_id, component_id, kept) for each row of docs: the class's least id, and whether it is the row's own."""
-    spark = docs.sparkSession
+    spark = session(docs)
     src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     weights = spark.sparkContext.broadcast(common_shingles(src, src.count(), n))
     sketch = table(_sketch(src, weights, n), "sketch")
@@ -312,8 +312,10 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
         many = rows.where(F.col("n") > small).select("g", "band", "rep")
         more = many.join(reps, "rep").select("g", "band", "rep", "w", F.posexplode("bands").alias("next", "v")).where(F.col("next") > F.col("band"))
         rows = table(more.select("rep", "w", F.col("next").alias("band"), F.xxhash64("g", "next", "v").alias("g")), "finer")
+        drop(met)
         if rows.isEmpty():
             break
+    drop(*[t for t in (reps, texts, links) if t is not None])
     out = members
     if labels is not None:
         out = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
