@@ -11,7 +11,7 @@ from tidewire.llm import minhash as _minhash
 from tidewire.llm import mixing as _mixing
 from tidewire.llm import token_ids as _token_ids
 from tidewire.llm import toxicity as _toxicity
-from tidewire.llm._shared import table
+from tidewire.llm._shared import drop, table
 
 
 def toxicity(spark, docs, sf_dir):
@@ -46,6 +46,10 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = table(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

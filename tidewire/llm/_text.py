@@ -6,13 +6,14 @@ can be done on bytes. Hashes are 64-bit: a polynomial over the bytes, modulo 2^6
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once; a longer text makes a slice of its own.
-SLICE = 1 << 21
+SLICE = 1 << 20
 
 _P = 0x9E3779B97F4A7C15
 _PINV = pow(_P, -1, 1 << 64)
@@ -71,6 +72,18 @@ def slices(batch: pa.RecordBatch, col: str = "text") -> Iterator[pa.RecordBatch]
         at = to
 
 
+def word_starts(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes at which words begin, and where each text's begin among them (and the end)."""
+    if not len(buf):
+        return np.zeros(0, np.int64), np.zeros(len(off), np.int64)
+    w = _WORD[buf]
+    before = np.zeros(len(buf), np.uint8)
+    before[1:] = w[:-1]
+    before[off[:-1][off[:-1] < len(buf)]] = 0
+    start = np.flatnonzero(w > before)
+    return start, np.searchsorted(start, off)
+
+
 class Words:
     """Words of a slice of texts: ``h`` their hashes, ``off`` the place of each text's first word (and the end), ``start`` and ``end`` their bytes."""
 
@@ -160,6 +173,22 @@ def distinct(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 CHUNK = 1 << 14
 
 
+def tidy(f):
+    """A function of batches that gives free memory back to the system when its task ends: Python workers live on, next to each other."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # not glibc
+                pass
+
+    return run
+
+
 class BucketCounts:
     """Counts of hashes in a fixed number of buckets, for finding all heavy hitters in bounded memory."""
 
@@ -204,10 +233,14 @@ def unpack(b: bytes, n: int = CHUNK) -> np.ndarray:
     return np.frombuffer(pa.decompress(b[1:], n * np.dtype(kind).itemsize, "zstd", asbytes=True), kind).astype(np.int64)
 
 
-def sum_chunks(rows, chunks: int):
-    """Sum rows (chunk, data) of all partitions: one row for each chunk. Each task streams over its rows and holds the sums of its few chunks."""
+def sum_chunks(rows, chunks: int, finish=pack):
+    """Sum rows (chunk, data) of all partitions: one row for each chunk. Each task streams over its rows and holds the sums of its few chunks.
+
+    ``finish`` makes bytes of a chunk's sums.
+    """
     from ._shared import parts
 
+    @tidy
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for b in batches:
@@ -215,7 +248,7 @@ def sum_chunks(rows, chunks: int):
                 x = unpack(x.as_py())
                 sums[c] = sums[c] + x if c in sums else x
         for c, x in sums.items():
-            yield pa.record_batch({"chunk": pa.array([c], pa.int32()), "data": pa.array([pack(x)], pa.binary())})
+            yield pa.record_batch({"chunk": pa.array([c], pa.int32()), "data": pa.array([finish(x)], pa.binary())})
 
     return rows.repartition(max(1, min(parts(rows.sparkSession), chunks)), "chunk").mapInArrow(add, "chunk int, data binary")
 
@@ -225,13 +258,8 @@ def heavy_buckets(rows, orders: int, buckets: int, least: int) -> np.ndarray:
 
     Only bitmaps (orders * buckets / 8 bytes) come to the driver.
     """
-
-    def mark(batches):
-        for b in batches:
-            yield pa.record_batch({"chunk": b.column(0), "data": pa.array([np.packbits(unpack(x.as_py()) >= least).tobytes() for x in b.column(1)], pa.binary())})
-
     out = np.zeros((orders, buckets // 8), np.uint8)
-    for r in sum_chunks(rows, orders * buckets // CHUNK).mapInArrow(mark, "chunk int, data binary").collect():
+    for r in sum_chunks(rows, orders * buckets // CHUNK, lambda x: np.packbits(x >= least).tobytes()).collect():
         o, c = divmod(r.chunk, buckets // CHUNK)
         out[o, c * CHUNK // 8 : (c + 1) * CHUNK // 8] = np.frombuffer(bytes(r.data), np.uint8)
     return out

@@ -12,11 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _text
 from ._shared import drop, table
 
 LOCAL = 500_000
 
 
+@_text.tidy
 def _unite(batches):
     a, b = [], []
     for x in batches:

@@ -177,6 +177,7 @@ def hits(docs: DataFrame, items: DataFrame, budget: float = BUDGET, least: int =
     for block in _blocks(items, item_id, item_text, least):
         sent = spark.sparkContext.broadcast(block)
 
+        @_text.tidy
         def run(batches, sent=sent):
             m = Matcher(sent.value, budget)
             for batch in batches:

@@ -120,6 +120,7 @@ def common_shingles(docs: DataFrame, total: int, n: int = SHINGLE) -> Weights:
     """Shingles of more than COMMON of all ``total`` documents. ``docs``: (id, text)."""
     least = int(COMMON * total) + 1
 
+    @_text.tidy
     def count(batches):
         counts = _text.BucketCounts(1, BUCKETS)
         for b in batches:
@@ -132,6 +133,7 @@ def common_shingles(docs: DataFrame, total: int, n: int = SHINGLE) -> Weights:
         return Weights(np.zeros(0, np.uint64), np.zeros(0))
     sent = session(docs).sparkContext.broadcast(heavy)
 
+    @_text.tidy
     def exact(batches):
         for b in batches:
             for s in _text.slices(b):
@@ -147,6 +149,7 @@ def common_shingles(docs: DataFrame, total: int, n: int = SHINGLE) -> Weights:
 
 
 def _sketch(docs: DataFrame, weights, n: int) -> DataFrame:
+    @_text.tidy
     def run(batches):
         import xxhash
 
@@ -192,6 +195,7 @@ def similarity(a: pa.Array, b: pa.Array, weights: Weights, n: int = SHINGLE) ->
 def _verified(pairs: DataFrame, texts: DataFrame, weights, threshold: float, n: int) -> DataFrame:
     """The pairs (a, b) whose texts are similar, as a table."""
 
+    @_text.tidy
     def run(batches):
         for b in batches:
             for s in _text.slices(b, "ta"):
@@ -210,6 +214,7 @@ def _packed(docs: DataFrame, wanted: DataFrame, weights, n: int) -> DataFrame:
     Which texts are wanted is looked up in a bitmap of hashed ids, of fixed size, before any text moves; a join then drops the few it let by.
     """
 
+    @_text.tidy
     def mark(batches):
         c = _text.BucketCounts(1, BUCKETS * 32)
         for b in batches:
@@ -218,6 +223,7 @@ def _packed(docs: DataFrame, wanted: DataFrame, weights, n: int) -> DataFrame:
 
     bitmap = session(docs).sparkContext.broadcast(_text.heavy_buckets(wanted.mapInArrow(mark, "chunk int, data binary"), 1, BUCKETS * 32, 1)[0])
 
+    @_text.tidy
     def pick(batches):
         for b in batches:
             b = b.filter(pa.array(_text.in_bitmap(bitmap.value, _text.mix(b.column(0).to_numpy().view(np.uint64).copy()))))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._shared import crc_mod
+from ._shared import crc_mod, session
 from .toxicity import MAX_ROWS, sample
 
 PASSAGE = 64
@@ -130,12 +130,14 @@ def fit_bags(bags: list[tuple[np.ndarray, float]], epochs: int = EPOCHS, seed: i
 def fit(labelled: DataFrame) -> Mil:
     """``labelled`` (at, text, y), a bounded number of rows: passages are described where the texts lie, one task learns."""
 
+    @_text.tidy
     def turn(batches):
         for b in batches:
             for s in _text.slices(b):
                 x, cut = features(s.column("text"))
                 yield pa.record_batch({"at": s.column("at"), "y": s.column("y"), "x": pa.array([x[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary())})
 
+    @_text.tidy
     def train(batches):
         import pickle
 
@@ -158,11 +160,12 @@ def fit(labelled: DataFrame) -> Mil:
 
 def score(docs: DataFrame, model: Mil, text_col: str = "text", out: str = "_score") -> DataFrame:
     """``docs`` with a column of scores, 0 to 1. No row moves."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = session(docs).sparkContext.broadcast(model)
     kept = docs.withColumn(out, F.lit(0.0))
     names, schema = kept.columns, kept.schema
     to = names.index(out)
 
+    @_text.tidy
     def run(batches):
         for batch in batches:
             for s in _text.slices(batch, text_col):

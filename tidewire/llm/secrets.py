@@ -98,8 +98,8 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_
     else:
         judged = labelled.where("is_secret is not null").groupBy(F.col(id_col).alias("_i"), F.col("start").alias("_s")).agg(F.max("is_secret").cast("int").alias("is_secret"))
         known = found.join(judged, found["_id"].eqNullSafe(judged["_i"]) & (found["start"] == judged["_s"])).drop("_i", "_s")
-    #: Each finding's text once, so that copies of a document do not fill the sample.
-    known = known.where("is_secret is not null").withColumn("_at", F.xxhash64("finding", "before")).dropDuplicates(["finding", "before"]).orderBy("_at", "finding", "_id", "start").limit(rows)
+    #: Each finding's text and surroundings once, so that copies of a document do not fill the sample.
+    known = known.where("is_secret is not null").withColumn("_at", F.xxhash64("finding", "before")).dropDuplicates(["finding", "before", "after", "_path", "is_secret"]).orderBy("_at", "finding", "after", "_path", "is_secret").limit(rows)
     sample = table(describe(known).select("is_secret", *FEATURES).coalesce(1), "labelled")
     share = sample.agg(F.avg("is_secret"), F.count("*")).first()
     described = describe(found)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text
-from ._shared import crc_mod, table
+from ._shared import crc_mod, session, table
 
 DEPTH, SHARE, LEAST = 3, 1e-6, 8
 KAPPA, GAIN, GAIN_EACH = 4.0, 12.0, 0.05
@@ -80,6 +80,7 @@ def counts(train: DataFrame) -> tuple[int, int, dict]:
     total = int((n_tokens[0] or 0) + n_tokens[1])
     least = max(LEAST, int(np.ceil(SHARE * total)))
 
+    @_text.tidy
     def bucket(batches):
         c = _text.BucketCounts(DEPTH + 1, BUCKETS)
         for b in batches:
@@ -91,10 +92,11 @@ def counts(train: DataFrame) -> tuple[int, int, dict]:
         yield from c.rows()
 
     heavy = _text.heavy_buckets(train.mapInArrow(bucket, "chunk int, data binary"), DEPTH + 1, BUCKETS, least)
-    sent = train.sparkSession.sparkContext.broadcast(heavy)
+    sent = session(train).sparkContext.broadcast(heavy)
 
     cols = [f"w{i}" for i in range(DEPTH + 1)]  # the last word first; those beyond the length are null
 
+    @_text.tidy
     def exact(batches):
         for b in batches:
             for s in _text.slices(b):
@@ -208,12 +210,13 @@ def _content(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs. Ids with crc32 modulo 5 equal to 1 are held out."""
-    spark = docs.sparkSession
+    spark = session(docs)
     src = _content(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
     total, least, grams = counts(src.where("train").select("text"))
     words = spark.sparkContext.broadcast(_sorted(_u([w for (w,) in grams[1]]), np.array(list(grams[1].values()), np.int64)))
 
+    @_text.tidy
     def base(batches):
         keys, c = words.value
         logs = np.log10(c + 0.5)
@@ -246,6 +249,7 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     norm = float(np.log10(total + 0.5 * (vocabulary + 1)))
     tree = spark.sparkContext.broadcast(Tree(total, vocabulary, grams))
 
+    @_text.tidy
     def contexts(batches):
         for b in batches:
             for s in _text.slices(b):

@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _text
-from ._shared import drop, new_path, parts, table
+from ._shared import drop, new_path, parts, session, table
 
 #: Tokens in a block, at most one document more.
 BLOCK = 1 << 18
 #: Words whose ids a Python worker remembers; if there are more, the half that is met most stays.
-CACHE = 1_000_000
+CACHE = 300_000
 END_ID = 1
 
 _workers: dict[str, Encoder] = {}
@@ -186,6 +186,7 @@ def _counts(ids: DataFrame, vocab: int, kind: np.dtype) -> np.ndarray:
     """Counts of all ids over the corpus; ``vocab`` numbers come to the driver."""
     size = -(-vocab // _text.CHUNK) * _text.CHUNK
 
+    @_text.tidy
     def count(batches):
         n = np.zeros(size, np.int64)
         for b in batches:
@@ -202,12 +203,13 @@ def _counts(ids: DataFrame, vocab: int, kind: np.dtype) -> np.ndarray:
 
 def write(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Encode every text and write the files; returns their folder. ``tokenizer`` is a file that every machine has."""
-    spark = docs.sparkSession
+    spark = session(docs)
     path = path or new_path(spark, "tokens")
     encoder = Encoder.of(tokenizer)
     vocab, kind = encoder.tokenizer.get_vocab_size(), encoder.kind
     end = np.array([end_id], kind).tobytes()
 
+    @_text.tidy
     def encode(batches):
         e = Encoder.of(tokenizer)
         for batch in batches:
@@ -223,6 +225,7 @@ def write(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int
     rank[by_rank] = np.arange(vocab, dtype=np.uint32)
     sent = spark.sparkContext.broadcast(rank)
 
+    @_text.tidy
     def blocks(batches):
         from pyspark import TaskContext
 
@@ -265,6 +268,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     sent = spark.sparkContext.broadcast(ranks["id"].to_numpy(np.uint32))
     blocks = spark.read.parquet(f"{path}/blocks")
 
+    @_text.tidy
     def decode(batches):
         for b in batches:
             for r in b.to_pylist():
@@ -292,7 +296,7 @@ def token_ids(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    return digest(read(docs.sparkSession, write(docs, tokenizer, id_col=id_col, text_col=text_col)))
+    return digest(read(session(docs), write(docs, tokenizer, id_col=id_col, text_col=text_col)))
 
 
 def op9_token_ids(spark, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._shared import crc_mod
+from ._shared import crc_mod, session
 
 BITS = 20
 #: Bound on the rows fitted on: those with the lowest hash of their id.
@@ -57,6 +57,7 @@ def fit(labelled: DataFrame, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarr
     Rows are turned to features where they lie; one task goes over them in the order of their id's hash.
     """
 
+    @_text.tidy
     def turn(batches):
         for b in batches:
             for s in _text.slices(b):
@@ -66,6 +67,7 @@ def fit(labelled: DataFrame, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarr
                 cut = np.searchsorted(d, np.arange(s.num_rows + 1))
                 yield pa.record_batch({"at": s.column("at"), "y": s.column("y"), "f": pa.array([h[a:b].astype(np.int32).tobytes() for a, b in zip(cut, cut[1:])], pa.binary())})
 
+    @_text.tidy
     def train(batches):
         model, rows, size = Ftrl(), [], 0
         for b in batches:
@@ -102,11 +104,12 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, use, rows: int = MAX_
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col: str = "text", out: str = "_score") -> DataFrame:
     """``docs`` with a column of scores, 0 to 1. No row moves."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = session(docs).sparkContext.broadcast(model)
     kept = docs.withColumn(out, F.lit(0.0))
     names, schema = kept.columns, kept.schema
     to = names.index(out)
 
+    @_text.tidy
     def run(batches):
         i, w, b = sent.value
         table = np.zeros(2**BITS)
