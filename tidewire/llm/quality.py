@@ -115,6 +115,7 @@ class Mil:
 def fit_bags(bags: list[tuple[np.ndarray, float]], epochs: int = EPOCHS, seed: int = 7) -> Mil:
     model = Mil(seed)
     if not bags:
+        model.p["c"][:] = 0
         return model
     every = np.concatenate([x for x, _ in bags])
     model.mean, model.std = every.mean(0), every.std(0) + 1e-2
@@ -154,7 +155,11 @@ def fit(labelled: DataFrame) -> Mil:
     import pickle
 
     model = Mil()
-    model.__dict__.update(pickle.loads(bytes(labelled.mapInArrow(turn, "at bigint, y double, x binary").repartition(1).sortWithinPartitions("at", "y", "x").mapInArrow(train, "model binary").first()[0])))
+    found = labelled.mapInArrow(turn, "at bigint, y double, x binary").repartition(1).sortWithinPartitions("at", "y", "x").mapInArrow(train, "model binary").first()
+    if found is None:  # nothing to learn from: every score is 0.5
+        model.p["c"][:] = 0
+    else:
+        model.__dict__.update(pickle.loads(bytes(found[0])))
     return model
 
 

@@ -83,6 +83,8 @@ def fit(labelled: DataFrame, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarr
         yield pa.record_batch({"i": pa.array([i.astype(np.int32).tobytes()], pa.binary()), "w": pa.array([w[i].tobytes()], pa.binary()), "b": pa.array([float(w[-1])])})
 
     r = labelled.select("at", "text", "y").mapInArrow(turn, "at bigint, y double, f binary").repartition(1).sortWithinPartitions("at", "y", "f").mapInArrow(train, "i binary, w binary, b double").first()
+    if r is None:  # nothing to learn from: every score is 0.5
+        return np.zeros(0, np.int32), np.zeros(0), 0.0
     return np.frombuffer(bytes(r.i), np.int32), np.frombuffer(bytes(r.w)), r.b
 
 
