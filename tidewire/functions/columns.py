@@ -146,11 +146,13 @@ def to_message(obs: Column) -> Column:
 
 
 def from_message(message: Column) -> Column:
-    """JSON to an observation; null if it is no JSON object with a source."""
-    o = F.from_json(message, OBS, {"mode": "PERMISSIVE"})
-    empty = F.expr("map()")
-    full = observation(o["source"], o["frame_id"], o["t_ns"], F.coalesce(o["signals"], empty.cast("map<string,double>")), o["data"], F.coalesce(o["metadata"], empty.cast("map<string,string>")), o["timing"], o["trigger"])
-    return F.when(o["source"].isNotNull(), full)
+    """JSON to an observation; null if it is no JSON object with a source. The message is parsed once, then its fields are taken."""
+
+    def full(o):
+        signals_, metadata = F.coalesce(o["signals"], F.expr("cast(map() as map<string,double>)")), F.coalesce(o["metadata"], F.expr("cast(map() as map<string,string>)"))
+        return F.when(o["source"].isNotNull(), observation(o["source"], o["frame_id"], o["t_ns"], signals_, o["data"], metadata, o["timing"], o["trigger"]))
+
+    return F.get(F.transform(F.array(F.from_json(message, OBS, {"mode": "PERMISSIVE"})), full), F.lit(0))
 
 
 def header(message: Column) -> Column:
