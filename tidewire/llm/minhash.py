@@ -286,7 +286,8 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     weights = spark.sparkContext.broadcast(common_shingles(src, src.count(), n))
     sketch = table(_sketch(src, weights, n), "sketch")
-    reps = sketch.groupBy("digest").agg(F.min("id").alias("rep"))
+    #: A table, so that the join has an exchange on either side and Spark may split the rows of a text that a third of the corpus is.
+    reps = table(sketch.groupBy("digest").agg(F.min("id").alias("rep")), "first")
     members = table(sketch.select("id", "digest").join(reps, "digest").select("id", "rep"), "members")
     reps = table(sketch.join(reps, (sketch.digest == reps.digest) & (sketch.id == reps.rep)).where("bands is not null").select("rep", "w", "bands", "samples").dropDuplicates(["rep", "w"]), "reps")
     drop(sketch)
