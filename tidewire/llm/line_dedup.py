@@ -40,7 +40,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select("_id", "_th", "_pos", F.col("_h.a").alias("_a"), F.col("_h.b").alias("_b")),
         "lines",
     )
+    #: A table too, so that the join has an exchange on either side and Spark may split the rows of a line that is everywhere.
     common = lines.groupBy("_a", "_b").agg(F.countDistinct("_id").alias("_n"), F.max("_id").alias("_top")).where(F.col("_n") >= min_docs).drop("_n")
+    common = table(common, "common")
     gone = (
         lines.join(common, ["_a", "_b"]).where(F.col("_id") != F.col("_top"))
         .groupBy("_id", "_th").agg(F.sort_array(F.collect_set("_pos")).alias("_gone"))
