@@ -148,6 +148,17 @@ def test_near_dups_against_all_pairs(spark, monkeypatch, small, least):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_near_dups_of_large_buckets_against_all_pairs(spark, monkeypatch):
+    """Buckets over ``small`` are compared as whole as others."""
+    monkeypatch.setattr(minhash, "COMMON", 1.0)
+    texts = planted(1) | {1000 + i: t for i, t in planted(9).items()}
+    want = brute_classes(texts)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    classes = [{r.doc_id: r.component_id for r in minhash.near_dups(docs, small=k).collect()} for k in (minhash.SMALL, 4)]
+    assert classes[0] == classes[1]
+    assert sum(want[i] != c for i, c in classes[1].items()) <= 0.005 * len(texts)
+
+
 def test_common_shingles_weigh_less(spark):
     shared = "a passage that very many of them share"
     docs = spark.createDataFrame([(i, f"{shared} {i}") for i in range(300)], "id long, text string")

@@ -12,12 +12,11 @@ Texts that are equal are one class before anything else, null and empty ones too
 - each member of a band's bucket is compared with the bucket's least id, not with all others;
 - where the members then are not all of one component, a task compares members of different components, one against the others at a time:
   sizes first, then samples (``AGREE`` or more must agree), then shingles; it unites what it links and gives one link for each union, so neither pairs
-  nor links of a group are listed. So is done with buckets of up to ``SMALL`` members; larger ones are first parted by agreement on one more band,
-  and so on until none is left.
+  nor links of a group are listed. A bucket of up to ``SMALL`` members is one task's work. A larger one is dealt into units of about SMALL, and
+  each two units are one task's work, but for units of the same component: no pair of different components is left out.
 
 Candidates are verified on whole texts; those of similarity ``THRESHOLD`` or more are links. A pair at the threshold agrees on a band with
-probability 0.9995 or so (the mean of 1 - (1 - p^5)^24 over p = m / 64, m binomial with mean 0.8 * 64), on a second one too with 0.997, and on AGREE
-samples or more with 0.99. A link can be missed only if all of its pair's ways are; most pairs are also held together by others. Every document belongs to the component of its links; its class is the least id.
+probability 0.9995 or so (the mean of 1 - (1 - p^5)^24 over p = m / 64, m binomial with mean 0.8 * 64), and on AGREE samples or more with 0.99. A link can be missed only if all of its pair's ways are; most pairs are also held together by others. Every document belongs to the component of its links; its class is the least id.
 Rows that repeat an id are the same document; a null id is a document before all others.
 """
 
@@ -241,14 +240,37 @@ def _unpacked(b: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b, np.uint32, k), np.frombuffer(pa.decompress(b[4 * k : -4], 4 * k, "zstd", asbytes=True), np.float32)
 
 
+def _dealt(rows: DataFrame, small: int) -> DataFrame:
+    """Members (g, band, rep, w, n, component) of buckets as (t, side, band, rep, w, component): a group ``t`` is a bucket of up to ``small`` members, or of a larger one two units, side 0 and side 1, or one alone.
+
+    A component of more than ``small`` members has units of its own, by hash of the member; the others share units, by hash of the component.
+    Units of one component are not dealt together. So a bucket that is mostly one component makes rows in proportion to its size.
+    """
+    fits = rows.where(F.col("n") <= small).select(F.col("g").alias("t"), F.lit(0).alias("side"), "band", "rep", "w", "component")
+    many = rows.where(F.col("n") > small)
+    sizes = table(many.groupBy("g", "component").agg(F.count("*").alias("c")), "sizes")
+    rest = table(sizes.groupBy("g").agg(F.sum(F.when(F.col("c") <= small, F.col("c")).otherwise(0)).alias("rest")), "rest")
+    big = F.col("c") > small
+    of = lambda x, n: F.pmod(F.xxhash64(x), F.greatest(F.ceil(F.col(n) / small), F.lit(1)))
+    unit = F.struct(big.alias("big"), F.when(big, F.col("component")).otherwise(0).alias("of"), F.when(big, of("rep", "c")).otherwise(of("component", "rest")).alias("i"))
+    many = table(many.join(sizes, ["g", "component"]).join(rest, "g").select("g", unit.alias("u"), "band", "rep", "w", "component"), "units")
+    units = table(many.select("g", "u").distinct(), "unit")
+    two = units.withColumnRenamed("u", "x").join(units.withColumnRenamed("u", "y"), "g").where("x <= y and not (x.big and y.big and x.of = y.of)")
+    two = table(two.select("g", "x", "y", F.xxhash64("g", "x", "y").alias("t")), "pairs")
+    of_unit = two.select("g", "t", F.lit(0).alias("side"), F.col("x").alias("u")).union(two.where("x <> y").select("g", "t", F.lit(1), "y"))
+    return fits.union(many.join(of_unit, ["g", "u"]).select("t", "side", "band", "rep", "w", "component"))
+
+
 def _linked(threshold: float):
-    """Of one bucket's members, links (a, b) that unite components; a pair is compared in its first common band only."""
+    """Of one group's members, links (a, b) that unite components; a pair is compared in its first common band only. Where there are two sides, only members of different ones are compared."""
 
     def run(t):
         t = t.combine_chunks()
         rep, w = t["rep"].to_numpy(), t["w"].to_numpy()
         _, comp = np.unique(t["component"].to_numpy(), return_inverse=True)
         band = t["band"][0].as_py()
+        side = t["side"].to_numpy()
+        apart = side.any()
         b = t["bands"].combine_chunks().flatten().to_numpy().reshape(len(rep), BANDS)[:, :band]
         raw = np.stack([np.frombuffer(x, np.uint32) for x in t["samples"].to_pylist()])
         packs = [_unpacked(x) for x in t["pack"].to_pylist()]
@@ -263,6 +285,8 @@ def _linked(threshold: float):
             other = other[np.minimum(w[other], w[i]) >= np.maximum(w[other], w[i]) * (threshold - 1e-6)]
             other = other[(raw[other] == raw[i]).sum(1) >= AGREE]
             other = other[~(b[other] == b[i]).any(1)]
+            if apart:
+                other = other[side[other] != side[i]]
             if not len(other):
                 continue
             own = slice(cut[i], cut[i + 1])
@@ -294,34 +318,24 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
 
     rows = reps.select("rep", "w", F.posexplode("bands").alias("band", "v")).select("rep", "w", "band", F.xxhash64("band", "v").alias("g"))
     links = labels = texts = None
-    while True:
-        size = rows.groupBy("g").agg(F.min(F.struct("rep", "w")).alias("lead"), F.count("*").alias("n")).where("n > 1")
-        met = table(rows.join(size, "g"), "buckets")
-        if met.isEmpty():
-            break
-        if texts is None:
-            texts = table(_packed(src, table(met.select(F.col("rep").alias("id")).distinct(), "wanted"), weights, n), "texts")
+    size = rows.groupBy("g").agg(F.min(F.struct("rep", "w")).alias("lead"), F.count("*").alias("n")).where("n > 1")
+    met = table(rows.join(size, "g"), "buckets")
+    if not met.isEmpty():
+        texts = table(_packed(src, table(met.select(F.col("rep").alias("id")).distinct(), "wanted"), weights, n), "texts")
         fits = F.least("wa", "w") >= F.greatest("wa", "w") * (threshold - 1e-6)  # no other pair can be similar enough
         star = met.select(F.col("lead.rep").alias("a"), F.col("lead.w").alias("wa"), F.col("rep").alias("b"), "w").where(F.col("a") < F.col("b")).where(fits)
-        new = _verified(star.select("a", "b").distinct(), texts, weights, threshold, n)
-        links = new if links is None else table(links.union(new), "links")
+        links = _verified(star.select("a", "b").distinct(), texts, weights, threshold, n)
         labels = components(links)
 
         rows = met.select("g", "band", "rep", "w", "n").join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         mixed = rows.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("g")
         rows = table(rows.join(mixed, "g"), "mixed")
-        near = rows.where(F.col("n") <= small).select("g", "band", "rep", "w", "component")
+        drop(met)
         members_ = reps.select("rep", "w", "bands", "samples").join(texts.select(F.col("id").alias("rep"), "pack"), "rep")
-        new = _verified(near.join(members_, ["rep", "w"]).groupBy("g").applyInArrow(_linked(threshold), "a bigint, b bigint").distinct(), texts, weights, threshold, n)
+        new = _verified(_dealt(rows, small).join(members_, ["rep", "w"]).groupBy("t").applyInArrow(_linked(threshold), "a bigint, b bigint").distinct(), texts, weights, threshold, n)
         if not new.isEmpty():
             links = table(links.union(new), "links")
             labels = components(links)
-        many = rows.where(F.col("n") > small).select("g", "band", "rep")
-        more = many.join(reps, "rep").select("g", "band", "rep", "w", F.posexplode("bands").alias("next", "v")).where(F.col("next") > F.col("band"))
-        rows = table(more.select("rep", "w", F.col("next").alias("band"), F.xxhash64("g", "next", "v").alias("g")), "finer")
-        drop(met)
-        if rows.isEmpty():
-            break
     drop(*[t for t in (reps, texts, links) if t is not None])
     out = members
     if labels is not None:
