@@ -135,6 +135,14 @@ def test_similarity_is_weighted_jaccard():
     assert got.tolist() == pytest.approx([3 / 5, 1.0, 0.0, 1.0])
 
 
+def test_a_pair_of_few_equal_samples_is_compared():
+    h = np.arange(1, 101, dtype=np.uint32)
+    pack = lambda x: x.tobytes() + pa.compress(np.ones(len(x), np.float32).tobytes(), "zstd", asbytes=True) + np.uint32(len(x)).tobytes()
+    few = [bytes(256), b"".join(np.uint32(i < 24).tobytes() for i in range(64))]  # 40 of 64 samples agree
+    rows = {"rep": [1, 2], "w": [90.0, 90.0], "component": [1, 2], "band": [0, 0], "side": [0, 0], "bands": [[7] * minhash.BANDS] * 2, "samples": few, "pack": [pack(h[:90]), pack(h[8:98])]}
+    assert minhash._linked(0.8)(pa.table(rows)).to_pylist() == [{"a": 1, "b": 2}]
+
+
 def test_rake_meets_marginals():
     cells = np.array([100.0, 20, 5, 300, 40, 7, 9, 1])
     at = [np.array([0, 0, 0, 0, 1, 1, 1, 1]), np.array([0, 1] * 4), np.array([0, 0, 1, 1] * 2)]

@@ -11,12 +11,12 @@ Texts that are equal are one class before anything else, null and empty ones too
 
 - each member of a band's bucket is compared with the bucket's least id, not with all others;
 - where the members then are not all of one component, a task compares members of different components, one against the others at a time:
-  sizes first, then samples (``AGREE`` or more must agree), then shingles; it unites what it links and gives one link for each union, so neither pairs
+  sizes first, then shingles; it unites what it links and gives one link for each union, so neither pairs
   nor links of a group are listed. A bucket of up to ``SMALL`` members is one task's work. A larger one is dealt into units of about SMALL, and
   each two units are one task's work, but for units of the same component: no pair of different components is left out.
 
 Candidates are verified on whole texts; those of similarity ``THRESHOLD`` or more are links. A pair at the threshold agrees on a band with
-probability 0.9995 or so (the mean of 1 - (1 - p^5)^24 over p = m / 64, m binomial with mean 0.8 * 64), and on AGREE samples or more with 0.99. A link can be missed only if all of its pair's ways are; most pairs are also held together by others. Every document belongs to the component of its links; its class is the least id.
+probability 0.9995 or so (the mean of 1 - (1 - p^5)^24 over p = m / 64, m binomial with mean 0.8 * 64). A link can be missed only if all of its pair's ways are; most pairs are also held together by others. Every document belongs to the component of its links; its class is the least id.
 Rows that repeat an id are the same document; a null id is a document before all others.
 """
 
@@ -34,7 +34,7 @@ from .components import components
 SHINGLE, THRESHOLD = 5, 0.8
 SAMPLES, BANDS, ROWS = 64, 24, 5
 COMMON, FLOOR = 0.1, 0.75
-SMALL, AGREE = 2048, 43
+SMALL = 2048
 #: Buckets for finding common shingles: at 500 shingles a document, a bucket holds a fiftieth of the least count that is looked for.
 BUCKETS = 1 << 18
 NULL_ID = -(2**63)
@@ -159,7 +159,6 @@ def _sketch(docs: DataFrame, weights, n: int) -> DataFrame:
                 digest = [xxhash.xxh128_digest(raw[i:j]) for i, j in zip(at, at[1:])]
                 found = np.flatnonzero(np.diff(off))
                 out: list = [None] * s.num_rows
-                raw_samples: list = [None] * s.num_rows
                 total = np.zeros(s.num_rows)
                 first = 0
                 while first < len(found):  # of few shingles at a time, which stay in the cache
@@ -168,12 +167,12 @@ def _sketch(docs: DataFrame, weights, n: int) -> DataFrame:
                     mins = samples(h[lo:hi], lnw[lo:hi], off[found[first:last]] - lo)
                     mine = bands(mins)
                     total[found[first:last]] = np.add.reduceat(np.exp(lnw[lo:hi], dtype=np.float64), off[found[first:last]] - lo)
-                    for i, x, m in zip(found[first:last], mine, mins):
-                        out[i], raw_samples[i] = x, m.tobytes()
+                    for i, x in zip(found[first:last], mine):
+                        out[i] = x
                     first = last
-                yield pa.record_batch({"id": s.column("id"), "digest": pa.array(digest, pa.binary()), "w": pa.array(total), "bands": pa.array(out, pa.list_(pa.int64())), "samples": pa.array(raw_samples, pa.binary())})
+                yield pa.record_batch({"id": s.column("id"), "digest": pa.array(digest, pa.binary()), "w": pa.array(total), "bands": pa.array(out, pa.list_(pa.int64()))})
 
-    return docs.mapInArrow(run, "id bigint, digest binary, w double, bands array<bigint>, samples binary")
+    return docs.mapInArrow(run, "id bigint, digest binary, w double, bands array<bigint>")
 
 
 def similarity(a: pa.Array, b: pa.Array, weights: Weights, n: int = SHINGLE) -> np.ndarray:
@@ -272,7 +271,6 @@ def _linked(threshold: float):
         side = t["side"].to_numpy()
         apart = side.any()
         b = t["bands"].combine_chunks().flatten().to_numpy().reshape(len(rep), BANDS)[:, :band]
-        raw = np.stack([np.frombuffer(x, np.uint32) for x in t["samples"].to_pylist()])
         packs = [_unpacked(x) for x in t["pack"].to_pylist()]
         ids, at = np.unique(np.concatenate([h for h, _ in packs]), return_inverse=True)
         weight = np.concatenate([x for _, x in packs])
@@ -283,7 +281,6 @@ def _linked(threshold: float):
         for i in range(len(rep)):
             other = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
             other = other[np.minimum(w[other], w[i]) >= np.maximum(w[other], w[i]) * (threshold - 1e-6)]
-            other = other[(raw[other] == raw[i]).sum(1) >= AGREE]
             other = other[~(b[other] == b[i]).any(1)]
             if apart:
                 other = other[side[other] != side[i]]
@@ -313,7 +310,7 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     #: A table, so that the join has an exchange on either side and Spark may split the rows of a text that a third of the corpus is.
     reps = table(sketch.groupBy("digest").agg(F.min("id").alias("rep")), "first")
     members = table(sketch.select("id", "digest").join(reps, "digest").select("id", "rep"), "members")
-    reps = table(sketch.join(reps, (sketch.digest == reps.digest) & (sketch.id == reps.rep)).where("bands is not null").select("rep", "w", "bands", "samples").dropDuplicates(["rep", "w"]), "reps")
+    reps = table(sketch.join(reps, (sketch.digest == reps.digest) & (sketch.id == reps.rep)).where("bands is not null").select("rep", "w", "bands").dropDuplicates(["rep", "w"]), "reps")
     drop(sketch)
 
     rows = reps.select("rep", "w", F.posexplode("bands").alias("band", "v")).select("rep", "w", "band", F.xxhash64("band", "v").alias("g"))
@@ -331,7 +328,7 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
         mixed = rows.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("g")
         rows = table(rows.join(mixed, "g"), "mixed")
         drop(met)
-        members_ = reps.select("rep", "w", "bands", "samples").join(texts.select(F.col("id").alias("rep"), "pack"), "rep")
+        members_ = reps.select("rep", "w", "bands").join(texts.select(F.col("id").alias("rep"), "pack"), "rep")
         new = _verified(_dealt(rows, small).join(members_, ["rep", "w"]).groupBy("t").applyInArrow(_linked(threshold), "a bigint, b bigint").distinct(), texts, weights, threshold, n)
         if not new.isEmpty():
             links = table(links.union(new), "links")
