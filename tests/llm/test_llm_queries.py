@@ -231,6 +231,13 @@ def test_decontamination(spark, odd, none):
     assert decontamination.decontaminate(none, bench).count() == 0 and decontamination.decontaminate(docs, bench.limit(0)).count() == 5
 
 
+def test_short_items_are_found_as_whole_words(spark):
+    bench = spark.createDataFrame([(1, "Forty-two!"), (2, "?!"), (3, None), (4, "x")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "forty two"), (2, "It is FORTY, two."), (3, "forty twofold"), (4, "aforty two"), (5, "forty tow"), (6, None), (7, "")], "doc_id long, text string")
+    got = {r.doc_id: [(h.id, h.d) for h in r._hits] for r in decontamination.hits(docs, bench).collect()}
+    assert got == {1: [(1, 0)], 2: [(1, 0)]} | {i: [] for i in range(3, 8)}
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "BLOCK_CHARS", 50)
     r = random.Random(6)

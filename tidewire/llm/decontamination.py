@@ -5,8 +5,8 @@ some part of the text is within k = floor(``budget`` * m) edits of it. Each item
 text unchanged, and not further than k from its place. One automaton finds all pieces in one pass of each whole text; around the hits, and
 nowhere else, the distance is worked out, if the part has enough of the item's GRAM-letter strings: an edit destroys GRAM of them at most.
 
-Items whose normal form is under ``least`` characters (null and empty ones too) are left out, as anything would match. Null and empty texts
-match nothing. Items that repeat an id or a text each count. The automaton is sent to the executors: items are worked on in blocks of at most
+Items whose normal form is under ``least`` characters occur only where they are whole words of the text, unchanged, as anything would match
+otherwise. Items without a letter or digit (null and empty ones too) and null and empty texts match nothing. Items that repeat an id or a text each count. The automaton is sent to the executors: items are worked on in blocks of at most
 ``BLOCK_CHARS`` normalised characters, one pass of the corpus to a block, so that what is sent is bounded whatever the items.
 """
 
@@ -98,15 +98,16 @@ def _grams(t: str) -> set[str]:
 
 
 class Matcher:
-    def __init__(self, items: list[tuple], budget: float):
+    def __init__(self, items: list[tuple], budget: float, least: int = 0):
         import ahocorasick
 
-        self.items, self.k = [t for _, t in items], [int(budget * len(t)) for _, t in items]
+        self.items, self.short = [t for _, t in items], [len(t) < least for _, t in items]
+        self.k = [0 if short else int(budget * len(t)) for t, short in zip(self.items, self.short)]
         self.ids = [i for i, _ in items]
         self.grams = [_grams(t) for t in self.items]
         places: dict[str, list[tuple[int, int]]] = {}
         for n, t in enumerate(self.items):
-            for at, p in pieces(t, budget):
+            for at, p in [(0, t)] if self.short[n] else pieces(t, budget):
                 places.setdefault(p, []).append((n, at))
         self.automaton = ahocorasick.Automaton()
         for p, where in places.items():
@@ -119,16 +120,21 @@ class Matcher:
         if not len(self.automaton):
             return []
         spans: dict[int, list[tuple[int, int]]] = {}
+        words = set()  # short items
         for end, (size, where) in self.automaton.iter(text):
             for n, at in where:
                 start = end + 1 - size - at  # where the item would begin
+                if self.short[n]:
+                    if text[start - 1 : start] in ("", " ") and text[end + 1 : end + 2] in ("", " "):
+                        words.add(n)
+                    continue
                 lo, hi = max(0, start - self.k[n]), min(len(text), start + len(self.items[n]) + self.k[n])
                 mine = spans.setdefault(n, [])
                 if mine and lo <= mine[-1][1] and lo >= mine[-1][0]:
                     mine[-1] = (mine[-1][0], max(hi, mine[-1][1]))
                 else:
                     mine.append((lo, hi))
-        out = []
+        out = [(n, 0) for n in words]
         for n, mine in spans.items():
             best = self.k[n] + 1
             for lo, hi in mine:
@@ -143,14 +149,14 @@ class Matcher:
         return out
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, least: int):
+def _blocks(items: DataFrame, id_col: str, text_col: str):
     """Lists of (id, normalised text) of at most BLOCK_CHARS characters, or one item."""
     block, size = [], 0
     rows = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).orderBy("id", "text")
     few = (items.agg(F.sum(F.length(text_col))).first()[0] or 0) <= BLOCK_CHARS
     for r in rows.collect() if few else rows.toLocalIterator():
         t = normalise(r.text)
-        if len(t) < least:
+        if not t:
             continue
         if block and size + len(t) > BLOCK_CHARS:
             yield block
@@ -174,12 +180,12 @@ def hits(docs: DataFrame, items: DataFrame, budget: float = BUDGET, least: int =
     names, schema = out.columns, out.schema
     at, to = names.index(text_col), names.index("_hits")
 
-    for block in _blocks(items, item_id, item_text, least):
+    for block in _blocks(items, item_id, item_text):
         sent = spark.sparkContext.broadcast(block)
 
         @_text.tidy
         def run(batches, sent=sent):
-            m = Matcher(sent.value, budget)
+            m = Matcher(sent.value, budget, least)
             for batch in batches:
                 for b in _text.slices(batch, text_col):
                     found = [x + [{"id": m.ids[n], "d": d} for n, d in m.find(t)] for x, t in zip(b.column(to).to_pylist(), normalise_all(b.column(at)))]
