@@ -27,6 +27,32 @@ def test_words_are_those_of_a_pattern(texts):
     assert len(set(by.values())) == len(by)
 
 
+def thue_morse(letters=2048):
+    """Two words that a polynomial modulo 2^64 can't tell apart."""
+    a, b = "a", "b"
+    while len(a) < letters:
+        a, b = a + b, b + a
+    return a, b
+
+
+@settings(deadline=None, max_examples=40)
+@given(st.lists(st.sampled_from(["a", "b" * 8, "c" * 9, "d" * 200, "d" * 199 + "e", "f" * 300, "f" * 299 + "g", *thue_morse()]), min_size=1, max_size=30), st.booleans())
+def test_different_words_are_told_apart(words, poor):
+    w = _text.Words(pa.array([" ".join(words)]))
+    if poor:  # right whatever the hashes
+        w.h = w.h & np.uint64(1)
+        w.h[np.array([len(x) for x in words]) <= 8] = np.array([hash(x) & 0xFFFF for x in words if len(x) <= 8], np.uint64) + np.uint64(9)
+    first, which = w.unique()
+    assert [w.bytes(first)[k].decode() for k in which] == words and len(first) == len(set(words))
+
+
+def test_encoder_tells_words_of_equal_polynomials_apart(encoder):
+    a, b = thue_morse()
+    ids, off = encoder.encode(pa.array([a, b, f"{b} {a}"]))
+    for k, t in enumerate([a, b, f"{b} {a}"]):
+        assert ids[off[k] : off[k + 1]].tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
+
+
 @settings(deadline=None, max_examples=40)
 @given(TEXTS, st.integers(1, 4), st.integers(0, 1))
 def test_grams(texts, n, skip):

@@ -10,14 +10,33 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. It is read from the session; only where it is unset (tests on one machine) a temporary one is set."""
+    """The folder all executors share, read from the session. Unset, it is an error, but for a session of one machine (tests), which gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidewire-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """For each name, one that no column of ``df`` has: the caller's columns may be called anything."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def same_columns(df: DataFrame) -> list:
+    """All columns of ``df`` as Columns, whatever their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 #: Rows that cross to Python at once, where the session leaves Spark's default: texts may be long, and a batch is held whole on either side.
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 

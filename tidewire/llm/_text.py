@@ -1,7 +1,8 @@
 """Vectorised text hashing on Arrow buffers: words, word windows, sums of arrays over partitions.
 
 A word is a run of bytes other than [\\x20\\x09-\\x0D]. In UTF-8 these bytes stand only for themselves, so the work
-can be done on bytes. Hashes are 64-bit: a polynomial over the bytes, modulo 2^64, then a finaliser.
+can be done on bytes. Hashes are 64-bit: words of up to 8 bytes are told apart surely among those of their length; longer ones go through two
+mixing chains, eight bytes at a time, and those over LONG bytes through XXH3. ``Words.unique`` compares bytes, so it is right whatever hashes do.
 """
 
 from __future__ import annotations
@@ -11,12 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes of text worked on at once; a longer text makes a slice of its own.
 SLICE = 1 << 20
 
-_P = 0x9E3779B97F4A7C15
-_PINV = pow(_P, -1, 1 << 64)
 _WORD = np.ones(256, np.uint8)
 _WORD[[9, 10, 11, 12, 13, 32]] = 0
 LOWER = np.arange(256, dtype=np.uint8)
@@ -26,7 +26,10 @@ MARKS = ",.!?;:|#$%&*"
 _KIND = np.zeros(256, np.uint8)
 _KIND[65:91] = _KIND[97:123] = 1
 _KIND[[ord(c) for c in MARKS]] = 2
-_powers: list[np.ndarray] = [np.ones(0, np.uint64), np.ones(0, np.uint64)]
+#: The lowest k bytes of a number, k = 0 to 8.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words of more bytes are hashed one by one.
+LONG = 256
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -39,13 +42,31 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def powers(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, p in enumerate((_P, _PINV)):
-            x = np.full(max(n, SLICE + 4096), p, np.uint64)
-            x[0] = 1
-            _powers[k] = np.multiply.accumulate(x)
-    return _powers
+def eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on as a number, the first lowest; zeros follow the last."""
+    return np.ndarray(len(buf) + 1, "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]), strides=(1,))
+
+
+def hash_words(buf: np.ndarray, eight: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words at ``start``, of ``size`` bytes."""
+    first = eight[start] & _LOW[np.minimum(size, 8)]
+    h = mix(first ^ mix(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    more = np.flatnonzero((size > 8) & (size <= LONG))
+    if len(more):
+        more = more[np.argsort(-size[more], kind="stable")]
+        a, b, left, at = h[more], mix(first[more] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1)), size[more] - 8, start[more] + 8
+        n = len(more)
+        while n:
+            v = eight[at[:n]] & _LOW[np.minimum(left[:n], 8)]
+            a[:n] = mix(a[:n] ^ v)
+            b[:n] = mix(b[:n] * np.uint64(0xA0761D6478BD642F) + v)
+            left[:n] -= 8
+            at[:n] += 8
+            n = int(np.searchsorted(-left[:n], 0))
+        h[more] = mix(a ^ (b << np.uint64(32) | b >> np.uint64(32)))
+    for i in np.flatnonzero(size > LONG):
+        h[i] = xxhash.xxh3_64_intdigest(buf[start[i] : start[i] + size[i]])
+    return h
 
 
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -111,16 +132,41 @@ class Words:
         after[cut - 1] = 0
         self.start = np.flatnonzero(w > before)
         self.end = np.flatnonzero(w > after) + 1
-        p, inv = powers(n + 1)
-        s = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * p[:n], out=s[1:])
-        self.h = mix((s[self.end] - s[self.start]) * inv[self.start])
+        self.h = hash_words(self.buf, eights(self.buf), self.start, self.end - self.start)
         self.off = np.searchsorted(self.start, off)
 
     @property
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.off) - 1), np.diff(self.off))
 
+    def unique(self) -> tuple[np.ndarray, np.ndarray]:
+        """The place of one occurrence of each different word, and for each word the number of its like among these. Bytes are compared."""
+        if not len(self.h):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        _, first, which = np.unique(self.h, return_index=True, return_inverse=True)
+        size, eight = self.end - self.start, eights(self.buf)
+        other = first[which]
+        same = bool((size == size[other]).all())
+        todo, at = np.flatnonzero((size > 8) & (size <= LONG)), 0  # equal hashes of shorter words of one length are equal words
+        while same and len(todo):
+            low = _LOW[np.minimum(size[todo] - at, 8)]
+            same = bool(((eight[self.start[todo] + at] ^ eight[self.start[other[todo]] + at]) & low == 0).all())
+            at += 8
+            todo = todo[size[todo] > at]
+        for i in np.flatnonzero(size > LONG) if same else ():
+            j = other[i]
+            same = same and np.array_equal(self.buf[self.start[i] : self.end[i]], self.buf[self.start[j] : self.end[j]])
+        if same:
+            return first, which
+        place: dict[bytes, int] = {}
+        which = np.array([place.setdefault(x, len(place)) for x in self.bytes(slice(None))], np.int64)
+        return np.unique(which, return_index=True)[1], which
+
+    def bytes(self, which) -> list[bytes]:
+        """The words at these places."""
+        raw = self.buf.tobytes()
+        return [raw[i:j] for i, j in zip(self.start[which].tolist(), self.end[which].tolist())]
+
     def grams(self, n: int, skip: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of n words in order (``skip`` words left out before the last), and the text of each."""
         return grams(self.h, self.doc, n, skip)

@@ -27,6 +27,8 @@ from ._shared import drop, new_path, parts, session, table
 BLOCK = 1 << 18
 #: Words whose ids a Python worker remembers; if there are more, the half that is met most stays.
 CACHE = 300_000
+#: Bytes of such words, or all are forgotten: some may be very long.
+CACHE_BYTES = 16 << 20
 END_ID = 1
 
 _workers: dict[str, Encoder] = {}
@@ -53,7 +55,7 @@ class Encoder:
     """A tokenizer with a cache of words.
 
     Where the tokenizer never joins what white space, or a letter meeting a mark, parts (its file says so), words are encoded one by one,
-    each new word once: a text's ids are its words' ids in order. Words are told apart by 64-bit hashes. A text that holds an added token's string
+    each new word once: a text's ids are its words' ids in order. Words are told apart by their bytes. A text that holds an added token's string
     is encoded whole.
     """
 
@@ -84,14 +86,16 @@ class Encoder:
     def _forget(self, keep: np.ndarray) -> None:
         """Keep these rows of the cache only."""
         if not len(keep):
-            self.rows: dict[int, int] = {}
-            self.at, self.size, self.hits, self.hash = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            self.words: list[bytes] = []
+            self.at, self.size, self.hits = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
             self.pool = np.zeros(0, self.kind)
-            return
-        size = self.size[keep]
-        self.pool = self.pool[_ranges(self.at[keep], size)]
-        self.at, self.size, self.hits, self.hash = np.cumsum(size) - size, size, self.hits[keep] // 2, self.hash[keep]
-        self.rows = dict(zip(self.hash.tolist(), range(len(keep))))
+        else:
+            size = self.size[keep]
+            self.pool = self.pool[_ranges(self.at[keep], size)]
+            self.at, self.size, self.hits = np.cumsum(size) - size, size, self.hits[keep] // 2
+            self.words = [self.words[i] for i in keep.tolist()]
+        self.rows = dict(zip(self.words, range(len(keep))))
+        self.held = sum(map(len, self.words))
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -119,23 +123,28 @@ class Encoder:
             return np.concatenate(ids), np.append(0, np.cumsum([len(x) for x in ids]))
         #: Lower case first merges words, but for letters that a combining mark could join.
         w = _text.Words(col, lower=not (b"\xcc" in b or b"\xcd" in b), part=True)
-        h, first, which = np.unique(w.h, return_index=True, return_inverse=True)
-        if len(self.rows) + len(h) > CACHE and len(self.rows):
+        first, which = w.unique()
+        words = w.bytes(first)
+        if len(self.rows) + len(words) > CACHE or self.held > CACHE_BYTES:
             most = np.argsort(-self.hits, kind="stable")[: CACHE // 2]
             self._forget(np.sort(most[self.hits[most] > 0]))
-        row = np.array([self.rows.get(k, -1) for k in h.tolist()], np.int64)
+            if self.held > CACHE_BYTES // 2:
+                self._forget(np.zeros(0, np.int64))
+        row = np.array([self.rows.get(x, -1) for x in words], np.int64)
         new = np.flatnonzero(row < 0)
         if len(new):
-            low = w.buf.tobytes()
-            ids = self._words([low[i:j].decode("utf-8", "replace") for i, j in zip(w.start[first[new]].tolist(), w.end[first[new]].tolist())])
+            fresh = [words[i] for i in new.tolist()]
+            ids = self._words([x.decode("utf-8", "replace") for x in fresh])
             size = np.array([len(x) for x in ids], np.int64)
             row[new] = len(self.size) + np.arange(len(new))
-            self.rows.update(zip(h[new].tolist(), row[new].tolist()))
+            self.rows.update(zip(fresh, row[new].tolist()))
+            self.words += fresh
+            self.held += sum(map(len, fresh))
             self.at = np.concatenate([self.at, len(self.pool) + np.cumsum(size) - size])
             self.pool = np.concatenate([self.pool, *ids])
-            self.size, self.hash = np.concatenate([self.size, size]), np.concatenate([self.hash, h[new]])
+            self.size = np.concatenate([self.size, size])
             self.hits = np.concatenate([self.hits, np.zeros(len(new), np.int64)])
-        self.hits[row] += np.bincount(which, minlength=len(h)) - 1  # a word met once only is forgotten first
+        self.hits[row] += np.bincount(which, minlength=len(words)) - 1  # a word met once only is forgotten first
         mine = row[which]
         size = self.size[mine]
         ends = np.append(0, np.cumsum(size))
