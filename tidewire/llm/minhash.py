@@ -1,10 +1,10 @@
 """MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard similarity.
 
-A text's shingles are its windows of ``SHINGLE`` words (runs other than [\\x20\\x09-\\x0D], ASCII case folded); a text of fewer words is one
-window. A shingle weighs (1 + ln tf) * idf. idf is 1 for shingles in at most ``COMMON`` of all documents and falls with ln(N / df) beyond,
-to ``FLOOR``: passages that a large part of the corpus shares count less, while copies in ordinary numbers are compared at full weight. Only
-shingles over COMMON need be known everywhere; there are at most (mean shingles of a document) / COMMON of them, whatever the corpus, so
-they are sent to the executors. They are found exactly: counts in hashed buckets first, then true counts of what is in heavy buckets.
+A text's shingles are its windows of ``SHINGLE`` words (runs other than [\x20\x09-\x0D], ASCII case folded); a text of fewer words is one
+window. A shingle weighs (1 + ln tf) * idf, idf = ln(1 + N / df), N and df counted over all documents; df counts as COMMON * N at least, so that
+idf is ln(1 + 1 / COMMON) at most. So only the counts of shingles in more than COMMON of the documents need be known everywhere; there are at
+most (mean shingles of a document) / COMMON of them, whatever the corpus, and they are sent to the executors. They are found exactly: counts in
+hashed buckets first, then true counts of what is in heavy buckets.
 
 Texts that are equal are one class before anything else, null and empty ones too. For the rest, each of SAMPLES samples is the least
 ``a`` of Ioffe's scheme, whose value stands for its (shingle, t). A band is a fixed choice of ROWS of them. Documents that agree on a band are candidates:
@@ -28,15 +28,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._shared import drop, session, table
+from ._shared import drop, fresh, session, table
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 SAMPLES, BANDS, ROWS = 64, 24, 5
-COMMON, FLOOR = 0.1, 0.75
+COMMON = 1e-3
 SMALL = 2048
-#: Buckets for finding common shingles: at 500 shingles a document, a bucket holds a fiftieth of the least count that is looked for.
-BUCKETS = 1 << 18
+#: Buckets for finding common shingles: at 500 shingles a document, a bucket holds an eighth of the least count that is looked for.
+BUCKETS = 1 << 22
+#: Bits of the map of the ids whose texts are wanted.
+MARKS = 1 << 23
 NULL_ID = -(2**63)
 
 _U = (np.arange(65536) + 0.5) / 65536
@@ -84,7 +86,7 @@ def bands(mins: np.ndarray) -> np.ndarray:
 
 
 class Weights:
-    """ln idf of common shingles, by search among sorted hashes; all others have 0."""
+    """ln of common shingles' idf over the largest idf, by search among sorted hashes; all others have 0."""
 
     def __init__(self, hashes: np.ndarray, lnidf: np.ndarray):
         order = np.argsort(hashes)
@@ -144,7 +146,7 @@ def common_shingles(docs: DataFrame, total: int, n: int = SHINGLE) -> Weights:
 
     rows = docs.select("text").mapInArrow(exact, "h bigint, df bigint").groupBy("h").agg(F.sum("df").alias("df")).where(F.col("df") >= least).toArrow()
     h, df = rows["h"].to_numpy().view(np.uint64), rows["df"].to_numpy()
-    return Weights(h, np.log(np.clip(np.log(total / df) / np.log(1 / COMMON), FLOOR, 1)))
+    return Weights(h, np.log(np.log1p(total / df) / np.log1p(1 / COMMON)))
 
 
 def _sketch(docs: DataFrame, weights, n: int) -> DataFrame:
@@ -214,12 +216,12 @@ def _packed(docs: DataFrame, wanted: DataFrame, weights, n: int) -> DataFrame:
 
     @_text.tidy
     def mark(batches):
-        c = _text.BucketCounts(1, BUCKETS * 32)
+        c = _text.BucketCounts(1, MARKS)
         for b in batches:
             c.add(0, _text.mix(b.column(0).to_numpy().view(np.uint64).copy()))
         yield from c.rows()
 
-    bitmap = session(docs).sparkContext.broadcast(_text.heavy_buckets(wanted.mapInArrow(mark, "chunk int, data binary"), 1, BUCKETS * 32, 1)[0])
+    bitmap = session(docs).sparkContext.broadcast(_text.heavy_buckets(wanted.mapInArrow(mark, "chunk int, data binary"), 1, MARKS, 1)[0])
 
     @_text.tidy
     def pick(batches):
@@ -344,8 +346,9 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs with the least id of their class, all columns as they are."""
-    found = near_dups(docs, id_col, text_col, **options).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(found, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)) == F.col("_kept_id"), "left_semi")
+    (name,) = fresh(docs, "_kept_id")
+    found = near_dups(docs, id_col, text_col, **options).where("kept").select(F.col("doc_id").alias(name))
+    return docs.join(found, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)) == F.col(name), "left_semi")
 
 
 def op2_minhash_dedup(spark, sf_dir: str) -> DataFrame:
