@@ -1,13 +1,18 @@
 """Embedding near-dedup: hierarchical navigable small-world graphs per shard; every shard is queried.
 
 Vectors are compared only if their labels are equal and not null, by cosine in double precision; those that are null, empty, zero or hold null or
-non-finite components link with nothing. Equal vectors are one point of the graphs, with a count. Points of a label (and length) are dealt to
-shards of about SHARD_ROWS by hash; each shard's graph is built by one task and kept as a table. Then each shard of a label is searched
-for all of the label's points, in blocks. A search keeps a beam; if the beam holds hits only, it is doubled for those queries, and if an audit
-of AUDIT queries by brute force over the shard finds less than RECALL of the links, for all, until it holds the whole shard. Hits are verified
-in double precision. A task unites what its hits link and gives only (id, root), so no list of pairs leaves it.
-
-Rows that repeat a vec_id are scored alike: links are counted between rows' vectors; null ids are before all others.
+non-finite components link with nothing. Equal vectors are one point of the graphs, with a count. Points of a label (and length) are dealt by hash to
+shards of about SHARD_ROWS, and of SHARD_NUMBERS components at most, so that what a task holds is bounded whatever the length. Each shard's graph is
+built by one task and kept as a table. Then each shard of a label is searched for all of the label's points, in blocks.
+
+A search keeps a beam. Audits widen it: of AUDIT queries of the block those that brute force finds links for are searched, and then as many
+of those that the search found links for are held against brute force; where the mean of the queries' own recalls is under RECALL, the beam is doubled
+for all, until it holds the whole shard. A query whose beam holds hits only has more of them than the beam: it is compared with the whole
+shard, in products of bounded size. Hits are verified in double precision, counted and united as each batch of queries ends: neither a task
+nor what leaves it holds the pairs of a group.
+
+Rows that repeat a vec_id are scored alike: links are counted between rows' vectors; null ids are before all others. Columns other than the three
+named are not read.
 """
 
 from __future__ import annotations
@@ -19,13 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import table
+from ._shared import drop, table
 from .components import components
 
 THRESHOLD = 0.93
-SHARD_ROWS = 1 << 16
+SHARD_ROWS, SHARD_NUMBERS = 1 << 16, 1 << 22
 LINKS, BEAM, BATCH, EXPAND = 12, 48, 256, 4
-AUDIT, RECALL = 64, 0.995
+AUDIT, RECALL = 256, 0.995
+#: Similarities that a product with a whole shard holds at once.
+PRODUCT = 1 << 22
+#: Links held before they are united.
+HELD = 1 << 20
 NULL_ID = -(2**63)
 
 
@@ -47,6 +56,17 @@ class Graph:
             done, batch = to, min(BATCH, 2 * batch)
         self._reach()
 
+    def parts(self) -> dict:
+        """All but the points."""
+        return {k: v for k, v in self.__dict__.items() if k != "x"}
+
+    @classmethod
+    def of(cls, parts: dict, x: np.ndarray) -> Graph:
+        """The graph of these parts over the points that it was made from."""
+        graph = cls.__new__(cls)
+        graph.__dict__.update(parts, x=np.ascontiguousarray(x[parts["order"]], np.float32))
+        return graph
+
     def _reach(self) -> None:
         """Points that no walk from the entry comes to get a link from their nearest neighbour that one does."""
         n = len(self.x)
@@ -200,24 +220,16 @@ class Graph:
             open_[active] &= sim[active] > -1.5
         return ids, sim
 
-    def near(self, q: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, point) of all points found with similarity ``least`` or more. A beam that holds hits only is doubled."""
-        out_q, out_p = [], []
-        for a in range(0, len(q), BATCH):
-            todo, width = np.arange(a, min(len(q), a + BATCH)), beam
-            at = np.zeros((len(todo), 1), np.int64)
-            for k in range(len(self.adj) - 1, 0, -1):
-                at = self.search(q[todo], at, 1, k, self.size[k])[0]
-            while len(todo):
-                width = min(width, len(self.x))
-                ids, sim = self.search(q[todo], at, width, 0, len(self.x))
-                hit = sim >= least
-                full = hit.all(1) & (width < len(self.x))
-                r, c = np.nonzero(hit & ~full[:, None])
-                out_q.append(todo[r])
-                out_p.append(ids[r, c])
-                todo, at, width = todo[full], at[full], 2 * width
-        return (np.concatenate(out_q), np.concatenate(out_p)) if out_q else (np.zeros(0, int), np.zeros(0, int))
+    def near(self, q: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, point) of all points found with similarity ``least`` or more, for a batch of queries, and the queries whose beam holds such points only."""
+        at, width = np.zeros((len(q), 1), np.int64), min(beam, len(self.x))
+        for k in range(len(self.adj) - 1, 0, -1):
+            at = self.search(q, at, 1, k, self.size[k])[0]
+        ids, sim = self.search(q, at, width, 0, len(self.x))
+        hit = sim >= least
+        full = hit.all(1) & (width < len(self.x))
+        a, c = np.nonzero(hit & ~full[:, None])
+        return a, ids[a, c], np.flatnonzero(full)
 
 
 def _unit(col: pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -245,42 +257,114 @@ class Roots:
             self.up = m
 
 
+class Links:
+    """Counts of each query's links and, if ``roots`` are given, the union of what is linked. ``q`` and ``p``: places of queries and points among the roots."""
+
+    def __init__(self, q_ids: np.ndarray, ids: np.ndarray, counts: np.ndarray, roots: Roots | None = None):
+        self.q_ids, self.ids, self.counts, self.roots = q_ids, ids, counts, roots
+        self.n = np.zeros(len(q_ids), np.int64)
+        self.own = np.minimum(np.searchsorted(ids, q_ids), len(ids) - 1)  # ``ids`` are in order
+        self.mine = ids[self.own] == q_ids
+        if roots is not None:
+            self.q, self.p = np.searchsorted(roots.ids, q_ids), np.searchsorted(roots.ids, ids)
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def pairs(self, a: np.ndarray, p: np.ndarray) -> None:
+        other = self.q_ids[a] != self.ids[p]
+        a, p = a[other], p[other]
+        self.n += np.bincount(a, self.counts[p], len(self.n)).astype(np.int64)
+        self._unite(a, p)
+
+    def matrix(self, rows: np.ndarray, hit: np.ndarray) -> None:
+        """Rows' hits among all points."""
+        k = np.flatnonzero(self.mine[rows])
+        hit[k, self.own[rows[k]]] = False
+        self.n[rows] += (hit.astype(np.float64) @ self.counts.astype(np.float64)).astype(np.int64)
+        if self.roots is not None:  # only what isn't united yet
+            self.done()
+            up = self.roots.up
+            a, p = np.nonzero(hit & (up[self.p][None, :] != up[self.q[rows]][:, None]))
+            self._unite(rows[a], p)
+            self.done()
+
+    def _unite(self, a: np.ndarray, p: np.ndarray) -> None:
+        if self.roots is not None and len(a):
+            self.held.append((self.q[a], self.p[p]))
+            self.size += len(a)
+            if self.size > HELD:
+                self.done()
+
+    def done(self) -> None:
+        if self.held:
+            self.roots.unite(*map(np.concatenate, zip(*self.held)))
+            self.held, self.size = [], 0
+
+
+class Search:
+    """Searches of one shard. ``points`` are unit vectors in double precision, in the order of their ``ids``."""
+
+    def __init__(self, graph: Graph, points: np.ndarray, ids: np.ndarray, counts: np.ndarray, threshold: float = THRESHOLD, beam: int = BEAM):
+        self.graph, self.points, self.ids, self.counts, self.threshold, self.beam = graph, points, ids, counts, threshold, beam
+        self.single = points.astype(np.float32)
+
+    def every(self, q: np.ndarray, rows: np.ndarray, to: Links) -> None:
+        """Hits of these queries by brute force, in pieces: in single precision, and in double where that can't tell."""
+        step = max(1, PRODUCT // max(1, len(self.points)))
+        for i in range(0, len(rows), step):
+            mine = rows[i : i + step]
+            sim = q[mine].astype(np.float32) @ self.single.T
+            hit = sim >= self.threshold
+            a, p = np.nonzero(np.abs(sim - np.float32(self.threshold)) < 1e-4)
+            for j in range(0, len(a), 1 << 16):
+                x, y = a[j : j + (1 << 16)], p[j : j + (1 << 16)]
+                hit[x, y] = np.einsum("ij,ij->i", q[mine[x]], self.points[y]) >= self.threshold
+            to.matrix(mine, hit)
+
+    def hits(self, q: np.ndarray, to: Links) -> None:
+        """All verified hits of all queries, in pieces of bounded size."""
+        if self.beam >= len(self.points):
+            self.every(q, np.arange(len(q)), to)
+            return
+        for i in range(0, len(q), BATCH):
+            mine = q[i : i + BATCH]
+            a, p, many = self.graph.near(mine.astype(np.float32), self.threshold - 1e-3, self.beam)
+            p = self.graph.order[p]
+            ok = np.einsum("ij,ij->i", mine[a], self.points[p]) >= self.threshold
+            to.pairs(a[ok] + i, p[ok])
+            self.every(q, many + i, to)
+
+    def widen(self, q: np.ndarray, q_ids: np.ndarray) -> None:
+        """Double the beam until the queries' own recalls are RECALL or more in the mean; queries without links don't count."""
+        true = Links(q_ids, self.ids, self.counts)
+        self.every(q, np.arange(len(q)), true)
+        some = np.flatnonzero(true.n)
+        while self.beam < len(self.points) and len(some):
+            found = Links(q_ids[some], self.ids, self.counts)
+            self.hits(q[some], found)
+            if (found.n / true.n[some]).mean() >= RECALL:
+                break
+            self.beam *= 2
+
+
 def search_shard(graph: Graph, points: np.ndarray, ids: np.ndarray, counts: np.ndarray, q: np.ndarray, q_ids: np.ndarray, threshold: float = THRESHOLD, beam: int = BEAM):
-    """Links of each query within the shard, and (id, root) of all that is linked. ``points`` and ``q`` are unit vectors in double precision."""
-    order = graph.order
-
-    def exact(a, p):
-        ok = np.zeros(len(a), bool)
-        for i in range(0, len(a), 1 << 16):
-            s = slice(i, i + (1 << 16))
-            ok[s] = np.einsum("ij,ij->i", q[a[s]], points[p[s]]) >= threshold
-        return a[ok], p[ok]
-
-    audit = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
-    true = q[audit] @ points.T >= threshold
-    q32 = q.astype(np.float32)
+    """Links of each query within the shard, and (id, root) of all that is linked. ``ids`` are in order, ``points`` and ``q`` unit vectors in double precision."""
+    s = Search(graph, points, ids, counts, threshold, beam)
+    few = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
+    s.widen(q[few], q_ids[few])
+    roots = Roots(np.unique(np.concatenate([q_ids, ids])))
     while True:
-        a, p = graph.near(q32, threshold - 1e-3, beam)
-        a, p = exact(a, order[p])
-        found = np.zeros(true.shape, bool)
-        of = np.searchsorted(audit, a)
-        of = np.minimum(of, len(audit) - 1)
-        mine = audit[of] == a
-        found[of[mine], p[mine]] = True
-        if (found & true).sum() >= RECALL * true.sum() or beam >= len(points):
+        was, found = s.beam, Links(q_ids, ids, counts, roots)
+        s.hits(q, found)
+        found.done()
+        linked = np.flatnonzero(found.n)
+        if len(linked) > AUDIT:
+            linked = linked[np.linspace(0, len(linked) - 1, AUDIT).astype(int)]
+        s.widen(q[linked], q_ids[linked])
+        if s.beam == was:
             break
-        beam *= 2
-    if beam >= len(points) and (found & true).sum() < true.sum():  # parts of the graph cannot be reached: compare all, in blocks
-        blocks = [np.nonzero(q[i : i + 256] @ points.T >= threshold) for i in range(0, len(q), 256)]
-        a = np.concatenate([x + 256 * i for i, (x, _) in enumerate(blocks)])
-        p = np.concatenate([y for _, y in blocks])
-    other = q_ids[a] != ids[p]
-    a, p = a[other], p[other]
-    links = np.bincount(a, counts[p], len(q)).astype(np.int64)
-    every = np.unique(np.concatenate([q_ids[a], ids[p]]))
-    roots = Roots(every)
-    roots.unite(np.searchsorted(every, q_ids[a]), np.searchsorted(every, ids[p]))
-    return links, every, every[roots.up]
+    some = np.flatnonzero(np.bincount(roots.up, minlength=len(roots.up))[roots.up] > 1)  # of a component of two or more
+    return found.n, roots.ids[some], roots.ids[roots.up[some]]
 
 
 def embedding_dups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -292,15 +376,16 @@ def embedding_dups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     src = table(src.withColumn("_ok", F.coalesce(good, F.lit(False))), "vectors")
     valid = src.where("_ok").withColumn("_dim", F.size("_e"))
     points = valid.groupBy("_l", "_dim", "_e").agg(F.min("_id").alias("rep"), F.count("*").alias("n"))
-    points = table(points, "points")
-    dealt = points.groupBy("_l", "_dim").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))
+    points = first = table(points, "points")
+    rows = F.greatest(F.least(F.lit(shard_rows), F.floor(F.lit(SHARD_NUMBERS) / F.col("_dim"))), F.lit(1))
+    dealt = points.groupBy("_l", "_dim").agg(F.ceil(F.count("*") / F.first(rows)).cast("int").alias("shards"))
     points = table(points.join(dealt, ["_l", "_dim"]).withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int")), "points")
 
     def build(key, t):
         x = _unit(t["_e"], key[1].as_py())
         order = np.argsort(t["rep"].to_numpy(), kind="stable")
         x, ids, n = x[order], t["rep"].to_numpy()[order], t["n"].to_numpy()[order]
-        return pa.table({"_l": [key[0].as_py()], "_dim": pa.array([key[1].as_py()], pa.int32()), "shard": pa.array([key[2].as_py()], pa.int32()), "graph": pa.array([pickle.dumps((Graph(x), x, ids, n))], pa.binary())})
+        return pa.table({"_l": [key[0].as_py()], "_dim": pa.array([key[1].as_py()], pa.int32()), "shard": pa.array([key[2].as_py()], pa.int32()), "graph": pa.array([pickle.dumps((Graph(x).parts(), x, ids, n))], pa.binary())})
 
     graphs = table(points.groupBy("_l", "_dim", "shard").applyInArrow(build, "_l string, _dim int, shard int, graph binary"), "graphs")
     #: Blocks of queries are dealt like shards: each block of a label meets each of its shards.
@@ -310,7 +395,8 @@ def embedding_dups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     def ask(key, t, g):
         if not t.num_rows or not g.num_rows:
             return pa.table({"id": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
-        graph, x, ids, n = pickle.loads(g["graph"][0].as_py())
+        kept, x, ids, n = pickle.loads(g["graph"][0].as_py())
+        graph = Graph.of(kept, x)
         q_ids = t["rep"].to_numpy()
         links, every, root = search_shard(graph, x, ids, n, _unit(t["_e"], key[1].as_py()), q_ids, threshold)
         return pa.table({"id": np.concatenate([q_ids, every]), "links": np.concatenate([links, np.zeros(len(every), np.int64)]), "root": np.concatenate([q_ids, root])})
@@ -320,6 +406,9 @@ def embedding_dups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     labels = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     by_point = points.select("_l", "_e", "rep", "n").join(found.groupBy("id").agg(F.sum("links").alias("links")), F.col("rep") == F.col("id"), "left").drop("id")
     by_point = by_point.join(labels, F.col("rep") == F.col("id"), "left").select("_l", "_e", "rep", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    #: Written, so that what it was made from can go.
+    by_point = table(by_point, "by_point")
+    drop(first, points, graphs, found)
     ok = src.where("_ok").join(by_point, ["_l", "_e"]).select("_id", "n_links", "component_id")
     rest = src.where("not _ok").select("_id", F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id"))
     return ok.unionByName(rest).select(F.col("_id").alias("vec_id"), "n_links", "component_id", (F.col("_id") == F.col("component_id")).alias("kept"))
