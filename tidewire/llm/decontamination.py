@@ -6,13 +6,16 @@ text unchanged, and not further than k from its place. One automaton finds all p
 nowhere else, the distance is worked out, if the part has enough of the item's GRAM-letter strings: an edit destroys GRAM of them at most.
 
 Items whose normal form is under ``least`` characters occur only where they are whole words of the text, unchanged, as anything would match
-otherwise. Items without a letter or digit (null and empty ones too) and null and empty texts match nothing. Items that repeat an id or a text each count. The automaton is sent to the executors: items are worked on in blocks of at most
-``BLOCK_CHARS`` normalised characters, one pass of the corpus to a block, so that what is sent is bounded whatever the items.
+otherwise. Items without a letter or digit (null and empty ones too) and null and empty texts match nothing. Items that repeat an id or a text each count. Items are worked on in blocks of at most
+``BLOCK_CHARS`` normalised characters, one pass of the corpus to a block, so that what is sent to executors and held by a task is bounded whatever the items.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._shared import session
+from ._shared import drop, fresh, same_columns, session, table
 
 BUDGET, LEAST, GRAM = 0.08, 30, 5
 #: Normalised characters of items in one automaton.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_000_000
 _OTHER = re.compile(r"[\W_]+")
 
 
@@ -104,7 +107,6 @@ class Matcher:
         self.items, self.short = [t for _, t in items], [len(t) < least for _, t in items]
         self.k = [0 if short else int(budget * len(t)) for t, short in zip(self.items, self.short)]
         self.ids = [i for i, _ in items]
-        self.grams = [_grams(t) for t in self.items]
         places: dict[str, list[tuple[int, int]]] = {}
         for n, t in enumerate(self.items):
             for at, p in [(0, t)] if self.short[n] else pieces(t, budget):
@@ -142,7 +144,8 @@ class Matcher:
                 if self.items[n] in part:
                     best = 0
                     break
-                if len(self.grams[n] & _grams(part)) >= len(self.grams[n]) - GRAM * self.k[n]:
+                grams = _grams(self.items[n])
+                if len(grams & _grams(part)) >= len(grams) - GRAM * self.k[n]:
                     best = min(best, myers(self.items[n], part, self.k[n]))
             if best <= self.k[n]:
                 out.append((n, best))
@@ -150,7 +153,7 @@ class Matcher:
 
 
 def _blocks(items: DataFrame, id_col: str, text_col: str):
-    """Lists of (id, normalised text) of at most BLOCK_CHARS characters, or one item."""
+    """Lists of (id, normalised text) of at most BLOCK_CHARS characters, or one item. The driver holds one at a time."""
     block, size = [], 0
     rows = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).orderBy("id", "text")
     few = (items.agg(F.sum(F.length(text_col))).first()[0] or 0) <= BLOCK_CHARS
@@ -169,33 +172,62 @@ def _blocks(items: DataFrame, id_col: str, text_col: str):
 
 def decontaminate(docs: DataFrame, items: DataFrame, budget: float = BUDGET, least: int = LEAST, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` in which no item occurs, all columns as they are."""
-    return hits(docs, items, budget, least, text_col).where(F.size("_hits") == 0).select(*[f"`{c}`" for c in docs.columns])
+    (out,) = fresh(docs, "_hits")
+    return hits(docs, items, budget, least, text_col, out=out).where(F.size(out) == 0).select(*same_columns(docs))
 
 
-def hits(docs: DataFrame, items: DataFrame, budget: float = BUDGET, least: int = LEAST, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``docs`` with a column _hits, array of (id, d): each item that occurs in the row's text and its least distance, in order of id. No row is shuffled."""
+#: The matcher of the block that this Python worker met last, by the block's name.
+_last: dict[str, Matcher] = {}
+
+
+def _matcher(name: str, block: list[tuple], budget: float, least: int) -> Matcher:
+    if name not in _last:
+        _last.clear()
+        _last[name] = Matcher(block, budget, least)
+    return _last[name]
+
+
+def hits(docs: DataFrame, items: DataFrame, budget: float = BUDGET, least: int = LEAST, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", out: str = "_hits") -> DataFrame:
+    """``docs`` with a column ``out`` (one of that name is replaced), array of (id, d): each item that occurs in the row's text and its least distance, in order of id.
+
+    Items of one block are looked for where the rows are; no row is shuffled. Of more blocks each is a pass of its own, so that a task never holds
+    two; a pass writes what it found by the text's SHA-256, and the rows then meet that.
+    """
     spark = session(docs)
-    kind = items.schema[item_id].dataType.simpleString()
-    out = docs.withColumn("_hits", F.expr(f"cast(array() as array<struct<id: {kind}, d: int>>)"))
-    names, schema = out.columns, out.schema
-    at, to = names.index(text_col), names.index("_hits")
+    kind = f"array<struct<id: {items.schema[item_id].dataType.simpleString()}, d: int>>"
+    nothing = F.expr(f"cast(array() as {kind})")
 
-    for block in _blocks(items, item_id, item_text):
-        sent = spark.sparkContext.broadcast(block)
+    def found_in(rows: DataFrame, block: list[tuple], keep_all: bool) -> DataFrame:
+        """``rows``, the last column of which takes what was found; only those with a hit unless ``keep_all``."""
+        sent, name, names = spark.sparkContext.broadcast(block), uuid.uuid4().hex, rows.columns
+        at = names.index(text_col)
 
         @_text.tidy
-        def run(batches, sent=sent):
-            m = Matcher(sent.value, budget, least)
+        def run(batches):
+            m = _matcher(name, sent.value, budget, least)
             for batch in batches:
                 for b in _text.slices(batch, text_col):
-                    found = [x + [{"id": m.ids[n], "d": d} for n, d in m.find(t)] for x, t in zip(b.column(to).to_pylist(), normalise_all(b.column(at)))]
-                    cols = [*b.columns]
-                    cols[to] = pa.array(found, b.column(to).type)
-                    yield pa.RecordBatch.from_arrays(cols, names)
-
-        out = out.mapInArrow(run, schema)
-    best = F.array_sort("_hits")
-    return out.withColumn("_hits", F.filter(best, lambda x, i: (i == 0) | ~x["id"].eqNullSafe(F.get(best, i - 1)["id"])))
+                    found = [[{"id": m.ids[n], "d": d} for n, d in m.find(t)] for t in normalise_all(b.column(at))]
+                    b = pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, b.column(len(names) - 1).type)], names)
+                    yield b if keep_all else b.filter(pa.array([bool(x) for x in found]))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    blocks = _blocks(items, item_id, item_text)
+    first, second = next(blocks, None), next(blocks, None)
+    if second is None:
+        found = docs.drop(out).withColumn(out, nothing)
+        found = found_in(found, first, True) if first else found
+    else:
+        key, mine = fresh(docs, "_sha", "_found")
+        sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
+        texts = docs.select(sha.alias(key), F.col(text_col)).withColumn(mine, nothing)
+        passes = [table(found_in(texts, block, False).select(key, mine).dropDuplicates([key]), "hits") for block in itertools.chain((first, second), blocks)]
+        of_text = table(functools.reduce(DataFrame.union, passes).groupBy(key).agg(F.flatten(F.collect_list(mine)).alias(mine)), "hits")
+        drop(*passes)
+        found = docs.drop(out).withColumn(key, sha).join(of_text, key, "left").select(*same_columns(docs.drop(out)), F.coalesce(mine, nothing).alias(out))
+    best = F.array_sort(out)
+    return found.withColumn(out, F.filter(best, lambda x, i: (i == 0) | ~x["id"].eqNullSafe(F.get(best, i - 1)["id"])))
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:
