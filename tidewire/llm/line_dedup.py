@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import table
+from ._shared import fresh, same_columns, table
 
 WS = " \t\n\x0b\f\r"
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -22,12 +22,13 @@ def key(line):
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``docs`` with ``text_col`` replaced by the kept text, and n_lines, n_dropped (columns of these names are replaced).
+    """``docs`` with ``text_col`` replaced by the kept text, and n_lines, n_dropped (columns of these names are replaced); all other columns as they are.
 
     A key found in very many documents is counted in two steps, (key, id) first, and met again by a join that Spark may split.
     """
+    key_id, key_text, split, dropped = fresh(docs, "_id", "_th", "_lines", "_gone")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), "_th": F.xxhash64(text), "_lines": F.split(text, "\n", -1)})
+    rows = docs.withColumns({key_id: F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), key_text: F.xxhash64(text), split: F.split(text, "\n", -1)})
 
     def hashed(line):
         k = key(line)
@@ -35,25 +36,23 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     #: Written once, as both the counting and the join read it: hashes, ids and positions only.
     lines = table(
-        rows.select("_id", "_th", F.posexplode(F.transform("_lines", hashed)).alias("_pos", "_h"))
-        .where(F.col("_h").isNotNull())
-        .select("_id", "_th", "_pos", F.col("_h.a").alias("_a"), F.col("_h.b").alias("_b")),
+        rows.select(F.col(key_id).alias("i"), F.col(key_text).alias("t"), F.posexplode(F.transform(split, hashed)).alias("pos", "h"))
+        .where(F.col("h").isNotNull())
+        .select("i", "t", "pos", "h.a", "h.b"),
         "lines",
     )
     #: A table too, so that the join has an exchange on either side and Spark may split the rows of a line that is everywhere.
-    common = lines.groupBy("_a", "_b").agg(F.countDistinct("_id").alias("_n"), F.max("_id").alias("_top")).where(F.col("_n") >= min_docs).drop("_n")
+    common = lines.groupBy("a", "b").agg(F.countDistinct("i").alias("n"), F.max("i").alias("top")).where(F.col("n") >= min_docs).drop("n")
     common = table(common, "common")
-    gone = (
-        lines.join(common, ["_a", "_b"]).where(F.col("_id") != F.col("_top"))
-        .groupBy("_id", "_th").agg(F.sort_array(F.collect_set("_pos")).alias("_gone"))
-    )
-    met = rows.drop(text_col).join(gone, ["_id", "_th"], "left").withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))
+    gone = lines.join(common, ["a", "b"]).where("i <> top").groupBy("i", "t").agg(F.sort_array(F.collect_set("pos")).alias(dropped)).withColumnsRenamed({"i": key_id, "t": key_text})
+    met = rows.drop(text_col).join(gone, [key_id, key_text], "left").withColumn(dropped, F.coalesce(dropped, F.array().cast("array<int>")))
     #: Runs of kept lines lie between dropped positions; cutting them is linear in the lines.
-    starts = F.concat(F.array(F.lit(0)), F.transform("_gone", lambda p: p + 1))
-    ends = F.concat(F.col("_gone"), F.array(F.size("_lines")))
-    runs = F.zip_with(starts, ends, lambda a, b: F.slice(F.col("_lines"), a + 1, b - a))
-    out = met.withColumns({text_col: F.array_join(F.flatten(runs), "\n"), "n_lines": F.size("_lines").cast("long"), "n_dropped": F.size("_gone").cast("long")})
-    return out.select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
+    starts = F.concat(F.array(F.lit(0)), F.transform(dropped, lambda p: p + 1))
+    ends = F.concat(F.col(dropped), F.array(F.size(split)))
+    runs = F.zip_with(starts, ends, lambda a, b: F.slice(F.col(split), a + 1, b - a))
+    out = met.withColumns({text_col: F.array_join(F.flatten(runs), "\n"), "n_lines": F.size(split).cast("long"), "n_dropped": F.size(dropped).cast("long")})
+    kept = docs.drop("n_lines", "n_dropped")
+    return out.select(*same_columns(kept), "n_lines", "n_dropped")
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -128,7 +128,7 @@ def fit_bags(bags: list[tuple[np.ndarray, float]], epochs: int = EPOCHS, seed: i
     return model
 
 
-def fit(labelled: DataFrame) -> Mil:
+def fit(labelled: DataFrame, passages: int = MAX_PASSAGES) -> Mil:
     """``labelled`` (at, text, y), a bounded number of rows: passages are described where the texts lie, one task learns."""
 
     @_text.tidy
@@ -145,8 +145,8 @@ def fit(labelled: DataFrame) -> Mil:
         bags, size = [], 0
         for b in batches:
             for y, x in zip(b.column(1).to_pylist(), b.column(2)):
-                size += len(x.as_py()) // (4 * SIZE) if size < MAX_PASSAGES else 0
-                if size < MAX_PASSAGES:
+                size += len(x.as_py()) // (4 * SIZE) if size < passages else 0
+                if size < passages:
                     bags.append((np.frombuffer(x.as_py(), np.float32).reshape(-1, SIZE), y))
         model = fit_bags(bags)
         model.m = model.v = None

@@ -14,12 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._shared import crc_mod, session
+from ._shared import crc_mod, fresh, same_columns, session
 
 BITS = 20
 #: Bound on the rows fitted on: those with the lowest hash of their id.
 MAX_ROWS = 8000
-#: Bound on the features that the fitting task holds; rows beyond it, in the order of their hash, are left out of the fit.
+#: Bound on the features that the fitting task holds: a row that would pass it, in the order of the rows' hash, and all after it are left out of the fit.
 MAX_FEATURES = 40_000_000
 ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 6.0, 0.0, 6
 
@@ -51,7 +51,7 @@ class Ftrl:
         self.n[i] += g * g
 
 
-def fit(labelled: DataFrame, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(labelled: DataFrame, epochs: int = EPOCHS, features: int = MAX_FEATURES) -> tuple[np.ndarray, np.ndarray, float]:
     """``labelled`` (id, text, y), at most MAX_ROWS rows: places and weights that aren't zero, and the intercept.
 
     Rows are turned to features where they lie; one task goes over them in the order of their id's hash.
@@ -72,8 +72,8 @@ def fit(labelled: DataFrame, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarr
         model, rows, size = Ftrl(), [], 0
         for b in batches:
             for y, f in zip(b.column(1).to_pylist(), b.column(2)):
-                size += len(f.as_py()) // 4 if size < MAX_FEATURES else 0
-                if size < MAX_FEATURES:
+                size += len(f.as_py()) // 4 if size < features else 0
+                if size < features:
                     rows.append((np.frombuffer(f.as_py(), np.int32), y))
         for _ in range(epochs):
             for f, y in rows:
@@ -105,7 +105,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, use, rows: int = MAX_
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col: str = "text", out: str = "_score") -> DataFrame:
-    """``docs`` with a column of scores, 0 to 1. No row moves."""
+    """``docs`` with a column ``out`` of scores, 0 to 1 (one of that name is replaced). No row moves."""
     sent = session(docs).sparkContext.broadcast(model)
     kept = docs.withColumn(out, F.lit(0.0))
     names, schema = kept.columns, kept.schema
@@ -136,7 +136,8 @@ def model_of(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The rows of docs that score under the threshold, all columns as they are."""
-    return score(docs, model_of(docs, labels)).where(F.col("_score") < threshold).select(*[f"`{c}`" for c in docs.columns])
+    (out,) = fresh(docs, "_score")
+    return score(docs, model_of(docs, labels), out=out).where(F.col(out) < threshold).select(*same_columns(docs))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = MAX_ROWS, threshold: float = 0.7) -> DataFrame:
