@@ -237,7 +237,7 @@ def test_aliases(spark):
 
 
 def test_messages(spark):
-    df = spark.createDataFrame([("OBS src=a source=test frame=1 t_ns=1000000",), ("not valid json",), ('{"source":"t","frame_id":3,"t_ns":5,"signals":{"v":0.8}}',), (None,), ("",)], "value string")
+    df = spark.createDataFrame([("OBS src=test source=a frame=1 t_ns=1000000",), ("not valid json",), ('{"source":"t","frame_id":3,"t_ns":5,"signals":{"v":0.8}}',), (None,), ("",)], "value string")
     got = [tuple(r) for r in src.parse_messages(df).select("frame_id", "source", "t_ns", "observation.signals").collect()]
     assert got == [(1, "test", 1000000, None), (None, None, 0, None), (3, "t", 5, {"v": 0.8}), (None, None, 0, None), (None, None, 0, None)]
 
@@ -302,3 +302,73 @@ def test_plans(spark, tmp_path):
     fused = FusionModule("f", ["x"], lambda s: decision(F.lit(True), "yes")).apply(x.apply(rows.to_flow(f)))
     plan = fused._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1, plan
+
+
+def test_nulls_in_ordered_operators(spark):
+    data = [("s", 1, None, 1, 1.0, True), ("s", 2, 10, 2, None, True), ("s", 3, 20, 3, 2.0, None), ("s", 4, 200, 4, 4.0, True)]
+    df = spark.createDataFrame(data, "stream_id string, frame_id long, t_ns long, seq long, v double, hot boolean")
+    assert [r.ema for r in ordered.ema_by(df.where("frame_id > 1"), ("stream_id",), ("t_ns",), "v", 0.5).orderBy("t_ns").collect()] == [None, 2.0, 3.0]
+    for bucket in (None, 50):
+        got = {r.frame_id: tuple(r.fires) for r in ordered.cooldown(df, "hot", 100, bucket_ns=bucket).collect()}
+        assert got == {1: (False, False), 2: (True, False), 3: (False, True), 4: (True, False)}
+        assert {r.frame_id for r in ordered.min_interval(df, 100, "t_ns", bucket).collect()} == {2, 4}
+
+
+@pytest.mark.parametrize("bucket", [7, 40, 10**6])
+def test_long_streams_in_parts(spark, bucket):
+    """One stream of all rows, cut in buckets, gives what one pass gives."""
+    import random
+
+    r = random.Random(bucket)
+    t, data = -30, []
+    for i in range(400):
+        t += r.choice([0, 1, 2, 3, 30, 90])
+        data.append(("s", i, t, i, r.random() < 0.4, r.choice([None, float(i)])))
+    df = spark.createDataFrame(data, "stream_id string, frame_id long, t_ns long, seq long, hot boolean, v double").repartition(5)
+    for wait in (0, 5, 40, 10**5):
+        a, b = ({x.frame_id: tuple(x.fires) for x in ordered.cooldown(df, "hot", wait, bucket_ns=k).collect()} for k in (None, bucket))
+        assert a == b
+        a, b = ({x.frame_id for x in ordered.min_interval(df, wait, "t_ns", k).collect()} for k in (None, bucket))
+        assert a == b
+    a, b = ({x.frame_id: x.last for x in ordered.latest(df, F.col("v"), "last", bucket_ns=k).collect()} for k in (None, bucket))
+    assert a == b
+    plan = ordered.latest(df, F.col("v"), "last", bucket_ns=bucket)._jdf.queryExecution().executedPlan().toString()
+    assert "_bucket" in plan
+
+
+def test_p95_is_exact(spark):
+    import random
+
+    from tidewire.operators import aggregates as agg
+
+    r = random.Random(4)
+    data = [(k, v) for k, n in ((None, 1), ("a", 2), ("b", 20), ("c", 1000), ("d", 4321)) for v in [float(r.choice([1, 2, 3])) if k == "c" else r.gauss(0, 1e6) for _ in range(n)]] + [("e", None)]
+    want = {}
+    for k in {k for k, v in data if v is not None}:
+        x = sorted(v for j, v in data if j == k and v is not None)
+        want[k] = (len(x), x[min(int(len(x) * 0.95), len(x) - 1)])
+    df = spark.createDataFrame(data, "k string, v double")
+    assert {x.k: (x.n, x.p95) for x in agg.p95_by(df, ["k"], "v").collect()} == want
+    every = sorted(v for _, v in data if v is not None)
+    assert agg.p95_by(df, [], "v").first().p95 == every[int(len(every) * 0.95)]
+    empty = agg.run_stats(spark.createDataFrame([], "frame_id long, ok boolean, processing_ms double, triggers long, observations long, start_ns long, end_ns long")).first()
+    assert empty.frames_ingested == 0 and empty.p95_ms == 0.0 and empty.throughput_fps == 0.0
+
+
+def test_shared_nodes_run_once(spark):
+    """A Python node that two nodes read is kept; the graph's errors are those of its nodes unless it says otherwise."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def work(frame):
+        calls.add(1)
+        return {"x": 1.0}
+
+    g = FlowGraphBuilder().source().path("p", [PythonModule("m", work)]).branch(lambda: F.col("frame_id") % 2 == 0, "even", "odd").path("even", [scored("y", 1)]).path("odd", [scored("z", 1)]).build()
+    c = compile_graph(g, src.mock_frames(spark, 20))
+    assert c.results.count() == 20 and calls.value == 20 and len(c.shared) == 1
+    c.release()
+    f = FlowGraphBuilder().source().filter(lambda: F.lit(6) / F.col("frame_id") > 1).build()
+    assert {r.frame_id for r in compile_graph(f, src.mock_frames(spark, 10), on_error="drop").results.collect()} == {1, 2, 3, 4, 5}
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        compile_graph(f, src.mock_frames(spark, 10)).results.collect()
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"

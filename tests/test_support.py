@@ -127,8 +127,23 @@ def test_streams_agree_with_batch(spark, tmp_path):
     assert same(drained(st.min_interval(live, 90_000_000), tmp_path, "gap"), ordered.min_interval(batch, 90_000_000, "t_ns"))
     hot = lambda d: d.withColumn("hot", F.col("v") > 10)
     assert same(drained(st.cooldown(hot(live), "hot", 200_000_000), tmp_path, "cool"), ordered.cooldown(hot(batch), "hot", 200_000_000).where("fires.fires"))
-    got = drained(st.collect_batches(live, 4, "v"), tmp_path, "coll").collect()
-    assert len(got) == 10 and all(len(r["values"]) == 4 for r in got)
+    flow = lambda d: ColumnModule("x", lambda: fn.observation("x", signals=fn.signals(v=F.col("v")), metadata=F.create_map(F.lit("a"), F.lit("b")))).apply(rows.to_flow(d))
+    got = drained(st.collect_batches(flow(live), 4), tmp_path, "coll")
+    want = joins.collect_batches(flow(batch), 4)
+    assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() == 10
+
+
+def test_stream_alignment_across_batches(spark, tmp_path):
+    """A frame's messages come in different files, around any window's edge; it is released whole."""
+    schema = "stream_id string, frame_id long, source string, t_ns long, seq long"
+    files = [[("s", 1, "a", 90, 0)], [("s", 1, "b", 110, 1), ("s", 2, "a", 150, 2)], [("s", 2, "b", 260, 3)], [("s", 3, "a", 600, 4)]]
+    for i, data in enumerate(files):
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        live = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        q = st.run(st.align(live, 100), lambda df, _: df.write.mode("append").parquet(str(tmp_path / "out")), str(tmp_path / "cp"), available_now=True)
+        q.awaitTermination(120)
+    got = {r.frame_id: (r.first_ns, r.last_ns, r.sources) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {1: (90, 110, ["a", "b"]), 2: (150, 260, ["a", "b"])}
 
 
 def test_stream_join_and_windows(spark, tmp_path):

@@ -156,14 +156,15 @@ def from_message(message: Column) -> Column:
 
 
 def header(message: Column) -> Column:
-    """(frame_id, source, t_ns) of a message, JSON or ``OBS key=value ...``; (null, null, 0) if it is neither.
+    """(frame_id, source, t_ns) of a message, JSON (``source``, ``frame_id``, ``t_ns``) or ``OBS src=... frame=... t_ns=...``; (null, null, 0) if it is neither.
 
-    Missing keys are 0, ``unknown`` and 0; a number that cannot be read makes the message unreadable.
+    Missing keys are 0, ``unknown`` and 0; of repeated keys the last counts; a number that cannot be read makes the message unreadable.
     """
-    text = F.trim(message)
-    pairs = F.str_to_map(F.substring(text, 5, 1 << 30), F.lit(" "), F.lit("="))
-    raw = lambda key, path: F.when(text.startswith("OBS "), F.try_element_at(pairs, F.lit(key))).otherwise(F.get_json_object(text, path))
-    frame, source, t = raw("frame", "$.frame_id"), raw("source", "$.source"), raw("t_ns", "$.t_ns")
+    text = message
+    parts = F.split(text, r"\s+")
+    value = lambda key: F.substring_index(F.try_element_at(F.filter(parts, lambda p: p.startswith(f"{key}=")), F.lit(-1)), f"{key}=", -1)
+    raw = lambda key, path: F.when(text.startswith("OBS "), value(key)).otherwise(F.get_json_object(text, path))
+    frame, source, t = raw("frame", "$.frame_id"), raw("src", "$.source"), raw("t_ns", "$.t_ns")
     number = lambda x: F.coalesce(x, F.lit("0")).try_cast("bigint")
     is_json = text.startswith("{") & F.get_json_object(text, "$").isNotNull()
     ok = (text.startswith("OBS ") | is_json) & number(frame).isNotNull() & number(t).isNotNull()

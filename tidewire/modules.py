@@ -239,16 +239,18 @@ class FusionModule(Module):
 
     kind, stateful = "fusions", True
 
-    def __init__(self, name: str, sources: list[str], decide: Callable, wait_sec: float = 2.0, pre_sec: float = 2.0, post_sec: float = 2.0, gate_sources: tuple = ()):
+    def __init__(self, name: str, sources: list[str], decide: Callable, wait_sec: float = 2.0, pre_sec: float = 2.0, post_sec: float = 2.0, gate_sources: tuple = (), bucket_ns: int | None = None):
         super().__init__(name, tuple(sources))
         self.sources, self.decide, self.wait_sec, self.pre_sec, self.post_sec, self.gate_sources = list(sources), decide, wait_sec, pre_sec, post_sec, tuple(gate_sources)
+        self.bucket_ns = bucket_ns
 
     @property
     def is_gate_open(self) -> bool:
         return True
 
     def apply(self, df: DataFrame) -> DataFrame:
-        return _fusion.fuse(df, self.name, self.sources, self.decide, self.wait_sec, self.pre_sec, self.post_sec)
+        order = _fusion.BY_OBSERVATION if "observation_no" in df.columns else _fusion.ORDER
+        return _fusion.fuse(df, self.name, self.sources, self.decide, self.wait_sec, self.pre_sec, self.post_sec, order, self.bucket_ns)
 
 
 def extractor(name: str, depends: tuple = (), aliases: dict | None = None):
@@ -306,25 +308,58 @@ class Path:
         out = self.extract_all(df)
         if self.fusion is None:
             return out.limit(0)
-        return self.fusion.apply(_fusion.explode_observations(out))
+        return self.fusion.apply(_fusion.explode_observations(out)).drop("observation_no")
 
 
 def process_paths(paths: list[Path], df: DataFrame) -> dict[str, DataFrame]:
     return {p.name: p.process(df) for p in paths}
 
 
+def extract_paths(paths: list[Path], df: DataFrame) -> DataFrame:
+    """Every path's rows, as one."""
+    from functools import reduce
+
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [p.extract_all(df) for p in paths])
+
+
+def python_processor(process: Callable, schema=None, on_error: str = "raise"):
+    """A custom node from a Python function of a row's dictionary that returns a dictionary, a list of them, or None.
+
+    ``schema``: that of what it returns (default: the input's). ``drop``: a row on which it fails gives nothing.
+    """
+
+    def apply(df: DataFrame) -> DataFrame:
+        target_schema = df.schema if schema is None else schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+
+        def run(batches: Iterator[pa.RecordBatch]):
+            target = arrow_schema(target_schema)
+            for b in batches:
+                out: list[dict] = []
+                for r in b.to_pylist():
+                    try:
+                        got = process(r)
+                    except Exception:
+                        if on_error == "raise":
+                            raise
+                        continue
+                    out += got if isinstance(got, list) else [] if got is None else [got]
+                yield pa.RecordBatch.from_pylist(out, target)
+
+        return df.mapInArrow(run, target_schema)
+
+    return apply
+
+
 def detection_udf(detect: Callable, init: Callable | None = None):
     """A vectorised UDF from image bytes to an array of detections; ``init`` loads the model once in each worker."""
     from .schema import DETECTION
 
     held: list = []
+    kind = arrow_schema(f"x array<{DETECTION}>").field("x").type
 
     def run(images: Iterator[pa.Array]) -> Iterator[pa.Array]:
         if init and not held:
             held.append(init())
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        kind = to_arrow_type(StructType.fromDDL(f"x array<{DETECTION}>")["x"].dataType)
         for a in images:
             yield pa.array([None if x is None else [d | {"metadata": list((d.get("metadata") or {}).items())} for d in (detect(x, held[0]) if held else detect(x))] for x in a.to_pylist()], kind)
 

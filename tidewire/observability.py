@@ -211,9 +211,9 @@ def slow(df: DataFrame, value: str, threshold_ms: float) -> DataFrame:
     return df.withColumn("is_slow", F.col(value) > threshold_ms)
 
 
-def last_records(trace: DataFrame, n: int = 10_000, order: str = "timestamp_ns") -> DataFrame:
+def last_records(trace: DataFrame, n: int = 10_000, order: str | tuple = "timestamp_ns") -> DataFrame:
     """The newest n records: the ring buffer of a memory sink."""
-    return trace.orderBy(F.desc(order)).limit(n)
+    return trace.orderBy(*[F.desc(c) for c in ((order,) if isinstance(order, str) else order)]).limit(n)
 
 
 def observed(name: str, df: DataFrame) -> DataFrame:

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-from .ordered import scan
+from .ordered import latest_of, scan
 
 
 def by_place(items, place: str):
@@ -15,25 +14,28 @@ def by_place(items, place: str):
     return F.array_sort(items, order)
 
 
-def merge_same_frame(df: DataFrame, paths: list[str], out_path: str = "merged", order: dict[str, int] | None = None, observations: bool = True, results: bool = True, complete: bool = True) -> DataFrame:
-    """Join of paths by (stream, frame): valid where each path has one row of a frame at most and all see the same frames, or frames lie further apart than the window.
+def merge_same_frame(
+    df: DataFrame, paths: list[str], out_path: str = "merged", order: dict[str, int] | None = None, observations: bool = True, results: bool = True, complete: bool = True, keys: tuple = ("stream_id", "frame_id")
+) -> DataFrame:
+    """Join of paths by ``keys``: valid where each path has one row of a key at most and all see the same ones, or frames lie further apart than the window.
+    Arrival, (stream_id, frame_id, t_ns, seq), tells repeated frames apart.
 
     One shuffle and no Python: partial lists are made before it. Observations, results and metadata are merged in path order; other columns are the
     first path's. ``complete``: only frames that all paths have.
     """
     rank = {p: i for i, p in enumerate(paths)} if order is None else order
     ord_ = F.element_at(F.create_map(*[x for p, i in rank.items() for x in (F.lit(p), F.lit(i))]), F.col("path_id"))
-    others = [c for c in df.columns if c not in ("stream_id", "frame_id", "path_id", "observations", "results", "metadata")]
+    others = [c for c in df.columns if c not in (*keys, "path_id", "observations", "results", "metadata")]
     rows = df.where(F.col("path_id").isin(paths)).withColumn("_ord", ord_)
     item = F.struct("_ord", "observations", "results", F.map_entries("metadata").alias("metadata"), *others)
-    met = rows.groupBy("stream_id", "frame_id").agg(by_place(F.collect_list(item), "_ord").alias("_rows"), F.collect_set("path_id").alias("_paths"))
+    met = rows.groupBy(*keys).agg(by_place(F.collect_list(item), "_ord").alias("_rows"), F.collect_set("path_id").alias("_paths"))
     if complete:
         met = met.where(F.size("_paths") == len(set(paths)))
     empty = F.slice(F.col("_rows")[0]["observations"], 1, 0)
     pairs = F.flatten(F.col("_rows.metadata"))
     last = F.map_from_entries(F.filter(pairs, lambda e, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda f: f["key"] == e["key"])))
     merged = met.select(
-        "stream_id", "frame_id", F.lit(out_path).alias("path_id"),
+        *keys, F.lit(out_path).alias("path_id"),
         (F.flatten(F.col("_rows.observations")) if observations else empty).alias("observations"), (F.flatten(F.col("_rows.results")) if results else empty).alias("results"), last.alias("metadata"),
         *[F.col("_rows")[0][c].alias(c) for c in others],
     )
@@ -149,19 +151,30 @@ def collect_batches(df: DataFrame, size: int, flush: bool = False, bucket_ns: in
     met = rows.groupBy("stream_id", "_b").agg(by_place(F.collect_list(item), "_n").alias("_rows"))
     if not flush:
         met = met.where(F.size("_rows") == n)
+    return one_of(met, df.columns)
+
+
+def one_of(met: DataFrame, columns: list[str]) -> DataFrame:
+    """(stream_id, _rows), rows in order with metadata as entries, as one row each: see ``collect_batches``. Shared by batch and stream."""
+    others = [c for c in columns if c not in ("stream_id", "observations", "results", "metadata")]
     first = F.col("_rows")[0]
     kept = F.map_filter(F.map_from_entries(first["metadata"]), lambda k, _: k != "_batch_size")
     out = met.select(
         "stream_id", F.flatten(F.col("_rows.observations")).alias("observations"), F.flatten(F.col("_rows.results")).alias("results"),
         F.map_concat(kept, F.create_map(F.lit("_batch_size"), F.size("_rows").cast("string"))).alias("metadata"), *[first[c].alias(c) for c in others],
     )
-    return out.select(*df.columns)
+    return out.select(*columns)
+
+
+def latest_per_source(df: DataFrame, sources: list[str], order=("t_ns", "seq"), bucket_ns: int | None = None) -> DataFrame:
+    """Columns ``latest_<source>``: the stream's last observation of each source up to the row. ``bucket_ns``: in two levels, see ``ordered.latest_of``."""
+    of = lambda s: F.try_element_at(F.filter("observations", lambda o: o["source"] == s), F.lit(-1))
+    return latest_of(df, {f"latest_{s}": of(s) for s in sources}, order=order, bucket_ns=bucket_ns) if sources else df
 
 
-def latest_per_source(df: DataFrame, sources: list[str]) -> DataFrame:
-    """Columns ``latest_<source>``: the stream's last observation of each source up to the row."""
-    w = Window.partitionBy("stream_id").orderBy("t_ns", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    of = lambda s: F.filter("observations", lambda o: o["source"] == s)
-    return df.withColumns({f"latest_{s}": F.last(F.try_element_at(of(s), F.lit(-1)), ignorenulls=True).over(w) for s in sources})
+def spread(df: DataFrame, sources: list[str], out: str = "spread_ns") -> DataFrame:
+    """How far apart the latest observations of the sources are, for rows (of ``latest_per_source``) that have seen all."""
+    t = F.array(*[F.col(f"latest_{s}")["t_ns"] for s in sources])
+    return df.where(~F.exists(t, lambda x: x.isNull())).withColumn(out, F.array_max(t) - F.array_min(t))
 
 

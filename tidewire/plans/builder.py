@@ -56,14 +56,14 @@ class FlowGraphBuilder:
     def filter_signal(self, signal: str, threshold: float, comparison: str = "gt", name: str | None = None) -> FlowGraphBuilder:
         return self._add(name, "signal_filter", S.SignalFilter(signal, threshold, comparison))
 
-    def sample(self, every_nth: int, name: str | None = None, mode: str = "count") -> FlowGraphBuilder:
-        return self._add(name, "sampler", S.Sample(every_nth, mode))
+    def sample(self, every_nth: int, name: str | None = None, mode: str = "count", bucket_ns: int | None = None) -> FlowGraphBuilder:
+        return self._add(name, "sampler", S.Sample(every_nth, mode, bucket_ns))
 
-    def rate_limit(self, min_interval_ms: float, name: str | None = None, time_column: str = "timestamp_ns") -> FlowGraphBuilder:
-        return self._add(name, "rate_limiter", S.RateLimit(min_interval_ms, time_column))
+    def rate_limit(self, min_interval_ms: float, name: str | None = None, time_column: str = "timestamp_ns", bucket_ns: int | None = None) -> FlowGraphBuilder:
+        return self._add(name, "rate_limiter", S.RateLimit(min_interval_ms, time_column, bucket_ns))
 
-    def sample_time(self, interval_ns: int, name: str | None = None) -> FlowGraphBuilder:
-        return self._add(name, "timestamp_sampler", S.TimestampSample(interval_ns))
+    def sample_time(self, interval_ns: int, name: str | None = None, bucket_ns: int | None = None) -> FlowGraphBuilder:
+        return self._add(name, "timestamp_sampler", S.TimestampSample(interval_ns, bucket_ns))
 
     def _routes(self, paths, node: str) -> None:
         for p in paths:
@@ -120,8 +120,8 @@ class FlowGraphBuilder:
     def cascade_fusion(self, fusion_fn: Callable, name: str | None = None, on_error: str = "raise") -> FlowGraphBuilder:
         return self._add(name, "cascade", S.CascadeFusion(fusion_fn, on_error))
 
-    def collect(self, batch_size: int = 0, timeout_ns: int = 0, emit_partial: bool = True, flush: bool = False, name: str | None = None) -> FlowGraphBuilder:
-        return self._add(name, "collector", S.Collector(batch_size, timeout_ns, emit_partial, flush))
+    def collect(self, batch_size: int = 0, timeout_ns: int = 0, emit_partial: bool = True, flush: bool = False, name: str | None = None, bucket_ns: int | None = None) -> FlowGraphBuilder:
+        return self._add(name, "collector", S.Collector(batch_size, timeout_ns, emit_partial, flush, bucket_ns))
 
     def custom(self, processor: Callable, name: str | None = None, on_error: str = "raise") -> FlowGraphBuilder:
         return self._add(name, "custom", S.Custom(processor, on_error=on_error))

@@ -77,8 +77,11 @@ class SignalFilter:
 
 @dataclass(frozen=True)
 class Sample:
+    """``bucket_ns``: streams are numbered in two levels, by buckets of time, so that a long one is spread over many tasks."""
+
     every_nth: int = 1
     mode: str = "count"
+    bucket_ns: int | None = None
 
     def __post_init__(self):
         _need(self.every_nth >= 1, "every_nth is 1 or more")
@@ -91,6 +94,7 @@ class RateLimit:
 
     min_interval_ms: float
     time_column: str = "timestamp_ns"
+    bucket_ns: int | None = None
 
     def __post_init__(self):
         _need(self.min_interval_ms >= 0, "an interval cannot be negative")
@@ -99,6 +103,7 @@ class RateLimit:
 @dataclass(frozen=True)
 class TimestampSample:
     interval_ns: int
+    bucket_ns: int | None = None
 
     def __post_init__(self):
         _need(self.interval_ns >= 0, "an interval cannot be negative")
@@ -174,6 +179,7 @@ class Collector:
     timeout_ns: int = 0
     emit_partial: bool = True
     flush: bool = False
+    bucket_ns: int | None = None
 
 
 @dataclass(frozen=True)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import functions as fn
 from . import observability as obs
 from . import streaming as st
-from .modules import ColumnModule, FusionModule, Path, PythonModule, python_condition, run_modules, worker_results
+from .modules import ColumnModule, FusionModule, Path, PythonModule, detection_udf, extract_paths, extractor, python_condition, python_processor, run_modules, worker_results
 from .operators import aggregates as agg
 from .operators import fusion as fus
 from .operators import joins, ordered, rows
@@ -20,7 +20,7 @@ from .plans import specs as S
 from .plans.builder import FlowGraphBuilder
 from .plans.compiler import compile_graph
 from .plans.graph import FlowGraph
-from .sinks import trigger_messages
+from .sinks import observation_messages, trigger_messages, write_messages
 from .sources import frames as src
 
 HOUR = 3_600_000_000_000
@@ -56,7 +56,11 @@ def scratch(spark) -> str:
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="tidewire-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tidewire-")
     return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex[:12]}"
 
 
@@ -374,12 +378,11 @@ def cascade_score_sum(spark, d):
     return compile_graph(g, events(spark, d)).results.select("frame_id", "total_score")
 
 
-@query(f"WITH {EV} SELECT event_type AS component, count(value) AS count, sum(CAST(k AS BIGINT)) / count(*) AS avg_k, max(value) AS max_ms, min(value) AS min_ms, count(*) FILTER (WHERE value > 50.0) AS slow_count FROM ev GROUP BY event_type")
+@query(f"WITH {EV} SELECT event_type AS component, count(k) AS count, avg(k) AS avg_ms, CAST(max(k) AS DOUBLE) AS max_ms, CAST(min(k) AS DOUBLE) AS min_ms, count(*) FILTER (WHERE k > 50) AS slow_count FROM ev GROUP BY event_type")
 def timing_stats(spark, d):
-    e = obs.slow(events(spark, d).withColumn("component", F.col("event_type")), "value", 50.0)
-    a = agg.timing_stats(e, value="value").drop("avg_ms")
-    means = e.groupBy("component").agg((F.sum("k") / F.count("*")).alias("avg_k"))
-    return a.join(means, "component").select("component", "count", "avg_k", "max_ms", "min_ms", "slow_count")
+    """Times are whole numbers, so that means do not hang on the order of sums."""
+    e = events(spark, d).withColumns({"component": F.col("event_type"), "processing_ms": F.col("k").cast("double")})
+    return agg.timing_stats(obs.slow(e, "processing_ms", 50.0))
 
 
 @query(f"WITH {EV}, g AS (SELECT event_type, list_sort(list(value)) AS l, count(*) AS n FROM ev GROUP BY event_type) SELECT event_type, n, l[least(CAST(floor(n * 0.95::DOUBLE) AS BIGINT), n - 1) + 1] AS p95 FROM g")
@@ -392,17 +395,17 @@ def ema(spark, d):
     return ordered.ema_by(events(spark, d), ("stream_id",), ("t_ns", "seq"), "value").select("stream_id", "frame_id", "ema")
 
 
-@query(f"WITH {EV}, r AS (SELECT *, k % 7 <> 0 AS ok FROM ev), s AS (SELECT list_sort(list(CAST(k AS DOUBLE)) FILTER (WHERE ok)) AS l, count(*) AS n, count(*) FILTER (WHERE ok) AS good, CAST(count(*) FILTER (WHERE value > 50.0) AS BIGINT) AS fired, (max(t_ns) - min(t_ns)) / 1000000000.0::DOUBLE AS secs FROM r) SELECT n AS frames_ingested, good AS frames_extracted, n - good AS extractions_failed, fired AS triggers_fired, n AS observations_output, list_sum(l) AS total_ms, l[least(CAST(floor(good * 0.95::DOUBLE) AS BIGINT), good - 1) + 1] AS p95_ms, secs AS duration_sec, good / secs AS throughput_fps FROM s")
+@query(f"WITH {EV}, r AS (SELECT *, k % 7 <> 0 AS ok FROM ev), s AS (SELECT list_sort(list(CAST(k AS DOUBLE)) FILTER (WHERE ok)) AS l, count(*) AS n, count(*) FILTER (WHERE ok) AS good, CAST(count(*) FILTER (WHERE value > 50.0) AS BIGINT) AS fired, (max(t_ns) - min(t_ns)) / 1000000000.0::DOUBLE AS secs FROM r) SELECT n AS frames_ingested, good AS frames_extracted, n - good AS extractions_failed, fired AS triggers_fired, n AS observations_output, list_sum(l) AS total_ms, list_sum(l) / good AS avg_ms, l[least(CAST(floor(good * 0.95::DOUBLE) AS BIGINT), good - 1) + 1] AS p95_ms, secs AS duration_sec, good / secs AS throughput_fps FROM s")
 def run_counters(spark, d):
     e = events(spark, d)
     r = e.select("frame_id", (F.col("k") % 7 != 0).alias("ok"), F.col("k").cast("double").alias("processing_ms"), (F.col("value") > 50.0).cast("bigint").alias("triggers"), F.lit(1).cast("bigint").alias("observations"), F.col("t_ns").alias("start_ns"), F.col("t_ns").alias("end_ns"))
-    return agg.run_stats(r).drop("avg_ms")
+    return agg.run_stats(r)
 
 
-@query(f"WITH {EV} SELECT frame_id // 100 AS \"window\", count(*) AS frames, max(value) AS max_ms, count(*) FILTER (WHERE value > 50.0) AS slow FROM ev GROUP BY 1")
+@query(f"WITH {EV}, g AS (SELECT frame_id // 100 AS \"window\", list_sort(list(k)) AS l, count(*) AS frames, avg(k) AS avg_ms, CAST(max(k) AS DOUBLE) AS max_ms, count(*) FILTER (WHERE k > 50) AS slow, avg(k) FILTER (WHERE event_type = 'click') AS click_ms FROM ev GROUP BY 1) SELECT * EXCLUDE (l), CAST(l[least(CAST(floor(frames * 0.95::DOUBLE) AS BIGINT), frames - 1) + 1] AS DOUBLE) AS p95_ms FROM g")
 def fps_summary(spark, d):
-    e = obs.slow(events(spark, d).withColumn("processing_ms", F.col("value")), "value", 50.0)
-    return agg.fps_summary(e).drop("avg_ms")
+    e = events(spark, d).withColumns({"component": F.col("event_type"), "processing_ms": F.col("k").cast("double")})
+    return agg.fps_summary(obs.slow(e, "processing_ms", 50.0)).withColumn("click_ms", F.try_element_at("component_avg_ms", F.lit("click"))).drop("component_avg_ms")
 
 
 @query("SELECT n_nationkey AS id, CASE WHEN n_nationkey > 0 THEN 250.0::DOUBLE / n_nationkey ELSE 0.0::DOUBLE END AS seconds FROM nation")
@@ -418,13 +421,13 @@ def obs_json_roundtrip(spark, d):
     return x.select("o.frame_id", "o.source", "o.t_ns", F.col("o.signals")["value"].alias("value"), F.col("o.signals")["k"].alias("k"), F.col("o.metadata")["mode"].alias("mode"))
 
 
-_LINES = """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'OBS src=x source=' || event_type || ' frame=' || event_id || ' t_ns=' || (event_id * 1000) WHEN 1 THEN '{"source":"' || event_type || '","frame_id":' || event_id || ',"t_ns":7}' WHEN 2 THEN 'not valid json' WHEN 3 THEN 'OBS frame=abc' ELSE '{}' END AS line FROM events"""
+_LINES = """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'OBS src=' || event_type || ' frame=' || event_id || ' t_ns=' || (event_id * 1000) WHEN 1 THEN '{"source":"' || event_type || '","frame_id":' || event_id || ',"t_ns":7}' WHEN 2 THEN 'not valid json' WHEN 3 THEN 'OBS frame=abc' ELSE '{}' END AS line FROM events"""
 
 
 def _lines(spark, d):
     i, t = F.col("event_id").cast("string"), F.col("event_type")
     text = (
-        F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("OBS src=x source="), t, F.lit(" frame="), i, F.lit(" t_ns="), (F.col("event_id") * 1000).cast("string")))
+        F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("OBS src="), t, F.lit(" frame="), i, F.lit(" t_ns="), (F.col("event_id") * 1000).cast("string")))
         .when(F.col("event_id") % 5 == 1, F.concat(F.lit('{"source":"'), t, F.lit('","frame_id":'), i, F.lit(',"t_ns":7}')))
         .when(F.col("event_id") % 5 == 2, "not valid json").when(F.col("event_id") % 5 == 3, "OBS frame=abc").otherwise("{}")
     )
@@ -499,13 +502,14 @@ def custom_udtf(spark, d):
     return compile_graph(g, events(spark, d)).results.select("frame_id", "part")
 
 
-@query(f"WITH {EV} SELECT frame_id, event_type AS state, value AS score FROM ev WHERE event_type IN ('click', 'view') AND value > 70.0")
+@query(f"WITH {EV} SELECT frame_id, event_type, CASE WHEN value > 70.0 THEN 'triggered' ELSE 'no_trigger' END AS state, CASE WHEN value > 70.0 THEN value ELSE 0.0 END AS score FROM ev WHERE event_type IN ('click', 'view')")
 def path_process(spark, d):
-    """A path with a fusion that is fed each observation: all of its outputs that fire."""
+    """A path with a fusion that is fed each observation: all of its outputs, firing or not."""
     f = FusionModule("f", ["reading"], lambda s: fus.decision(s["reading"]["signals"]["value"] > 70.0, "hot", s["reading"]["signals"]["value"]), 0.0)
     one = ColumnModule("reading", lambda: fn.observation("reading", signals=fn.signals(value=F.col("value"))))
     p = Path("p", [one], f).process(rows.to_flow(events(spark, d).where("event_type in ('click', 'view')")))
-    return rows.fired(p).select("frame_id", F.col("event_type").alias("state"), fn.trigger_score(F.try_element_at("results", F.lit(-1))).alias("score"))
+    o = F.try_element_at("observations", F.lit(-1))
+    return p.select("frame_id", "event_type", o["metadata"]["state"].alias("state"), fn.trigger_score(o).alias("score"))
 
 
 @query(f"WITH {EV} SELECT frame_id, value > 50.0 AS is_slow FROM ev")
@@ -527,14 +531,13 @@ def trace_level(spark, d):
 @query(f"WITH {EV} SELECT frame_id, t_ns FROM ev ORDER BY t_ns DESC, frame_id DESC LIMIT 50")
 def memory_ring(spark, d):
     """The newest 50 records: a ring buffer."""
-    return events(spark, d).orderBy(F.desc("t_ns"), F.desc("frame_id")).limit(50).select("frame_id", "t_ns")
+    return obs.last_records(events(spark, d), 50, ("t_ns", "frame_id")).select("frame_id", "t_ns")
 
 
 @query(f"WITH {EV}, c AS (SELECT *, last_value(CASE WHEN event_type = 'click' THEN t_ns END IGNORE NULLS) OVER w AS c, last_value(CASE WHEN event_type = 'view' THEN t_ns END IGNORE NULLS) OVER w AS v FROM ev WINDOW w AS (PARTITION BY stream_id ORDER BY t_ns, frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT frame_id, greatest(c, v) - least(c, v) AS spread_ns FROM c WHERE c IS NOT NULL AND v IS NOT NULL")
 def temporal_spread(spark, d):
     x = joins.latest_per_source(flow(spark, d), ["click", "view"])
-    t = F.array("latest_click.t_ns", "latest_view.t_ns")
-    return x.where("latest_click is not null and latest_view is not null").select("frame_id", (F.array_max(t) - F.array_min(t)).alias("spread_ns"))
+    return joins.spread(x, ["click", "view"]).select("frame_id", "spread_ns")
 
 
 @query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS rn FROM conversations) WHERE rn % 2 = 0")
@@ -546,8 +549,7 @@ def sample_turns(spark, d):
 
 @query(f"WITH {ORD} SELECT stream_id, CAST(count(*) AS BIGINT) AS frames, CAST(count(*) FILTER (WHERE value > 60.0) AS BIGINT) AS triggers, (max(t_ns) - min(t_ns)) / 1000000000.0::DOUBLE AS duration_sec FROM o GROUP BY stream_id")
 def session_summary(spark, d):
-    e = events(spark, d)
-    return e.groupBy("stream_id").agg(F.count("*").alias("frames"), F.count_if(F.col("value") > 60.0).alias("triggers"), ((F.max("t_ns") - F.min("t_ns")) / F.lit(1e9)).alias("duration_sec"))
+    return agg.session_stats(events(spark, d), F.col("value") > 60.0)
 
 
 @query(ORACLE["sample_count"])
@@ -609,4 +611,210 @@ def multi_path(spark, d):
     """Several paths over the same rows, each with its own analyzers."""
     f = rows.to_flow(spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("bigint").alias("frame_id"), F.lit(0).cast("bigint").alias("t_ns")))
     paths = [Path(p, [ColumnModule(p, lambda: fn.observation("x"))]) for p in ("p1", "p2")]
-    return rows.union(*[p.extract_all(f) for p in paths]).select(F.col("frame_id").cast("int").alias("id"), "path_id")
+    return extract_paths(paths, f).select(F.col("frame_id").cast("int").alias("id"), "path_id")
+
+
+@query(ORACLE["sample_count"])
+def sample_bucketed(spark, d):
+    """Every third row of a stream in a graph, numbered in two levels."""
+    return ids(compile_graph(FlowGraphBuilder().source().sample(3, bucket_ns=24 * HOUR).build(), events(spark, d)).results)
+
+
+@query(ORACLE["ts_sample"])
+def ts_sample_bucketed(spark, d):
+    """Streams cut where nothing comes for the interval."""
+    return ids(compile_graph(FlowGraphBuilder().source().sample_time(12 * HOUR, bucket_ns=48 * HOUR).build(), events(spark, d)).results)
+
+
+@query(ORACLE["cooldown"])
+def cooldown_bucketed(spark, d):
+    e = events(spark, d).withColumn("hot", F.col("value") > 40.0)
+    return ids(ordered.cooldown(e, "hot", 24 * HOUR, bucket_ns=48 * HOUR).where("fires.fires"))
+
+
+@query(ORACLE["collector"])
+def collector_bucketed(spark, d):
+    g = FlowGraph().add_node("c", S.Collector(4, bucket_ns=24 * HOUR))
+    out = compile_graph(g, flow(spark, d)).results
+    return out.select("stream_id", "frame_id", F.col("metadata")["_batch_size"].alias("batch_size"), F.size("observations").alias("n"), F.try_element_at("observations", F.lit(-1))["frame_id"].alias("last_id"))
+
+
+@query(ORACLE["latest_asof"])
+def latest_bucketed(spark, d):
+    x = joins.latest_per_source(flow(spark, d), ["click", "view"], bucket_ns=48 * HOUR)
+    return x.select("stream_id", "frame_id", F.col("latest_click")["signals"]["value"].alias("click"), F.col("latest_view")["signals"]["value"].alias("view"))
+
+
+@query(ORACLE["fusion_state"])
+def fusion_bucketed(spark, d):
+    both = FusionModule("both", ["click", "view"], lambda s: fus.decision(s["click"]["signals"]["value"] + s["view"]["signals"]["value"] > 80.0, "sum", s["click"]["signals"]["value"] + s["view"]["signals"]["value"]), 12 * 3600.0, bucket_ns=48 * HOUR)
+    o = F.try_element_at("observations", F.lit(-1))
+    return ids(both.apply(flow(spark, d)), o["metadata"]["state"].alias("state"), fn.trigger_score(o).alias("score"))
+
+
+@query(f"WITH {EV} SELECT frame_id, CASE WHEN k = 0 THEN 'error' WHEN 600 // k > 20 THEN 'triggered' ELSE 'no_trigger' END AS state FROM ev")
+def fusion_error(spark, d):
+    """A decision that fails on some rows gives the state ``error`` there and stops nothing."""
+    f = FusionModule("f", ["reading"], lambda s: fus.decision(F.lit(600).cast("bigint") / F.col("k") >= 21, "many"), 0.0)
+    one = ColumnModule("reading", lambda: fn.observation("reading", signals=fn.signals(value=F.col("value"))))
+    return f.apply(one.apply(rows.to_flow(events(spark, d)))).select("frame_id", F.try_element_at("observations", F.lit(-1))["metadata"]["state"].alias("state"))
+
+
+@query(f"""WITH {EV} SELECT frame_id, 'filter' AS node, 'default' AS path_id FROM ev WHERE k <> 0 AND 600 / k > 20
+UNION ALL SELECT frame_id, 'branch', CASE WHEN 600 / k > 20 THEN 'yes' ELSE 'no' END FROM ev WHERE k <> 0
+UNION ALL SELECT frame_id, 'multi', CASE WHEN k > 90 THEN 'high' WHEN 600 / k > 20 THEN 'yes' ELSE 'rest' END FROM ev WHERE k <> 0
+UNION ALL SELECT frame_id, 'fanout', p FROM ev, (VALUES ('big'), ('all')) AS t(p) WHERE k <> 0 AND (p = 'all' OR 600 / k > 20)""")
+def error_policy(spark, d):
+    """Conditions that fail on rows (a division by zero): under ``drop`` every node drops those rows and goes on."""
+    e = events(spark, d)
+    many = lambda: F.lit(600) / F.col("k") > 20
+    b = FlowGraphBuilder
+    graphs = {
+        "filter": b().source().filter(many, on_error="drop"),
+        "branch": b().source().branch(many, "yes", "no", on_error="drop"),
+        "multi": b().source().multi_branch([(lambda: F.col("k") > 90, "high"), (many, "yes")], "rest", on_error="drop"),
+        "fanout": b().source().conditional_fanout([("big", many), ("all", lambda: F.col("k") >= 0)], on_error="drop"),
+    }
+    return rows.union(*[compile_graph(g.build(), e).results.select("frame_id", F.lit(n).alias("node"), "path_id") for n, g in graphs.items()])
+
+
+@query(f"WITH {EV} SELECT stream_id, frame_id, t_ns, 'merged' AS path_id, CAST(2 AS INTEGER) AS n FROM ev UNION ALL SELECT stream_id, frame_id, t_ns, 'merged', CAST(2 AS INTEGER) FROM ev")
+def join_repeated_frames(spark, d):
+    """Frames that come twice: each arrival is a row of its own, in the join that the compiler picks as in the exact one."""
+    e = events(spark, d)
+    twice = e.unionByName(e.withColumn("seq", F.col("seq") + 1_000_000_000))
+    a, b = ColumnModule("a", lambda: fn.observation("a")), ColumnModule("b", lambda: fn.observation("b"))
+    g = FlowGraphBuilder().source().fanout(["pa", "pb"]).path("pa", [a]).path("pb", [b]).join(["pa", "pb"]).build()
+    return ids(compile_graph(g, twice).results, "path_id", F.size("observations").alias("n"))
+
+
+@query(f"WITH {EV} SELECT stream_id, CAST(arg_max(frame_id, (t_ns, frame_id)) AS BIGINT) AS frame_id FROM ev WHERE event_type = 'click' GROUP BY stream_id")
+def join_flush(spark, d):
+    """A join whose other path never comes gives, at the end, what it holds: the stream's last click."""
+    e = rows.to_flow(events(spark, d)).withColumn("path_id", F.col("event_type"))
+    return joins.join_paths(e, ["click", "never"], flush=True).where("path_id = 'merged'").select("stream_id", "frame_id")
+
+
+@query(f"WITH {EV} SELECT frame_id, value AS x, CAST(1 AS INTEGER) AS n FROM ev")
+def dependency_alias(spark, d):
+    """A dependency that is missing, and another source that stands in for it."""
+    b = ColumnModule("b", lambda deps: fn.observation("b", signals=fn.signals(x=deps("sensor")["signals"]["value"])), ("sensor",), {"sensor": "reading"})
+    one = ColumnModule("reading", lambda: fn.observation("reading", signals=fn.signals(value=F.col("value"))))
+    x = run_modules(rows.to_flow(events(spark, d)), [one, b])
+    return x.select("frame_id", F.try_element_at("observations", F.lit(-1))["signals"]["x"].alias("x"), F.size(F.filter("observations", lambda o: o["source"] == "b")).alias("n"))
+
+
+@query(f"WITH {EV} SELECT frame_id, value AS score, CAST(1 AS INTEGER) AS n FROM ev WHERE value > 70.0")
+def extract_fusion(spark, d):
+    """An extract node: its fusion's outputs are results where they fire, and never observations."""
+    one = ColumnModule("reading", lambda: fn.observation("reading", signals=fn.signals(value=F.col("value"))))
+    f = FusionModule("f", ["reading"], lambda s: fus.decision(s["reading"]["signals"]["value"] > 70.0, "hot", s["reading"]["signals"]["value"]), 0.0)
+    out = compile_graph(FlowGraph().add_node("x", S.Extract((one,), f)), rows.to_flow(events(spark, d))).fired()
+    return out.select("frame_id", fn.trigger_score(F.try_element_at("results", F.lit(-1))).alias("score"), F.size("observations").alias("n"))
+
+
+@query(f"WITH {EV} SELECT frame_id, value * 2.0::DOUBLE AS x FROM ev WHERE k % 2 = 0")
+def decorated_extractor(spark, d):
+    @extractor("doubled")
+    def doubled():
+        return F.when(F.col("k") % 2 == 0, fn.observation("doubled", signals=fn.signals(x=F.col("value") * 2.0)))
+
+    x = rows.min_observations(doubled.apply(rows.to_flow(events(spark, d))))
+    return x.select("frame_id", F.get("observations", F.lit(0))["signals"]["x"].alias("x"))
+
+
+@query(f"WITH {EV} SELECT frame_id, i AS part FROM ev, generate_series(1, 3) AS g(i) WHERE i <= k % 4 AND k % 10 <> 7")
+def custom_python(spark, d):
+    """A custom node that is a Python function of a row: none, one or many rows, and rows on which it fails are dropped."""
+
+    def split(r):
+        if r["k"] % 10 == 7:
+            raise ValueError("no")
+        n = r["k"] % 4
+        return None if not n else {"frame_id": r["frame_id"], "part": 1} if n == 1 else [{"frame_id": r["frame_id"], "part": i + 1} for i in range(n)]
+
+    return python_processor(split, "frame_id bigint, part bigint", "drop")(events(spark, d).select("frame_id", "k"))
+
+
+@query("SELECT n_nationkey AS id, CASE WHEN n_nationkey IN (3, 7) THEN 'TimeoutError' END AS error FROM nation")
+def module_timeout(spark, d):
+    """Calls that take too long count as failed."""
+    import time
+
+    def work(frame):
+        if frame["frame_id"] in (3, 7):
+            time.sleep(1.0)
+        return {"x": 1}
+
+    f = rows.to_flow(spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("bigint").alias("frame_id"), F.lit(0).cast("bigint").alias("t_ns")))
+    w = worker_results(PythonModule("m", work, timeout_sec=0.3), f)
+    return w.select(F.col("frame_id").cast("int").alias("id"), F.split(F.col("worker.error"), ":")[0].alias("error"))
+
+
+@query(f"WITH {EV} SELECT count(*) AS frames_processed, count(*) FILTER (WHERE k % 5 <> 0) AS total_observations, count(*) FILTER (WHERE k % 10 = 0) AS timeouts, count(*) FILTER (WHERE k % 10 = 5) AS errors, CAST(sum(k) AS DOUBLE) / count(*) AS avg_time_ms FROM ev")
+def orchestrator_stats(spark, d):
+    e = rows.to_flow(events(spark, d))
+    error = F.when(F.col("k") % 10 == 0, F.lit("TimeoutError: ")).when(F.col("k") % 10 == 5, F.lit("ValueError: no"))
+    w = F.struct(F.when(error.isNull(), fn.observation("m")).alias("observation"), error.alias("error"), F.col("k").cast("double").alias("timing_ms"))
+    return agg.worker_stats(e.withColumn("worker", w))
+
+
+@query(f"WITH l AS ({_LINES}) SELECT CASE event_id % 5 WHEN 0 THEN event_id WHEN 1 THEN event_id WHEN 4 THEN 0 END AS frame_id, CASE WHEN event_id % 5 IN (0, 1) THEN event_type WHEN event_id % 5 = 4 THEN 'unknown' END AS source, CASE event_id % 5 WHEN 0 THEN event_id * 1000 WHEN 1 THEN 7 ELSE 0 END AS t_ns, event_id % 5 = 1 AS observed FROM l JOIN events USING (event_id)")
+def message_receiver(spark, d):
+    """Lines written and received again: header fields, and an observation where the line is JSON."""
+    path = scratch(spark)
+    write_messages(_lines(spark, d).select("value"), path)
+    return src.messages(spark, path).select("frame_id", "source", "t_ns", F.col("observation").isNotNull().alias("observed"))
+
+
+@query(f"WITH {EV} SELECT frame_id, event_type AS source, t_ns, CAST(k AS DOUBLE) AS k FROM ev")
+def message_sender(spark, d):
+    """Every observation as a JSON message, written and read."""
+    path = scratch(spark)
+    write_messages(observation_messages(flow(spark, d)), path)
+    v = F.col("value")
+    return spark.read.text(path).select(F.get_json_object(v, "$.frame_id").cast("bigint").alias("frame_id"), F.get_json_object(v, "$.source").alias("source"), F.get_json_object(v, "$.t_ns").cast("bigint").alias("t_ns"), F.get_json_object(v, "$.signals.k").cast("double").alias("k"))
+
+
+@query(f"WITH {EV} SELECT 'timing' AS record_type, frame_id, event_type AS component, CAST(k AS DOUBLE) AS processing_ms, k > 50 AS is_slow FROM ev")
+def trace_file(spark, d):
+    """A trace written as JSON lines and read again."""
+    path = scratch(spark)
+    e = events(spark, d).select(F.lit("timing").alias("record_type"), "frame_id", F.col("event_type").alias("component"), F.col("k").cast("double").alias("processing_ms"), F.lit(1).alias("min_level"))
+    obs.write_trace(obs.slow(e, "processing_ms", 50.0), path)
+    return spark.read.schema("record_type string, frame_id bigint, component string, processing_ms double, is_slow boolean").json(path)
+
+
+@query(f"WITH {EV} SELECT frame_id, CAST(k % 3 AS INTEGER) AS n, CASE WHEN k % 3 > 0 THEN CAST(k AS DOUBLE) / 100.0::DOUBLE END AS confidence FROM ev")
+def detections(spark, d):
+    """A vectorised detector: none, one or two boxes for each image."""
+
+    def detect(image):
+        k = int(image)
+        return [{"bbox": {"x": i, "y": 0, "w": 1, "h": 1}, "confidence": k / 100.0, "class_id": 0, "class_name": "face", "metadata": {}} for i in range(k % 3)]
+
+    x = events(spark, d).select("frame_id", detection_udf(detect)(F.col("k").cast("string").cast("binary")).alias("found"))
+    return x.select("frame_id", F.size("found").alias("n"), F.get("found", F.lit(0))["confidence"].alias("confidence"))
+
+
+@query(ORACLE["collector"])
+def stream_collector(spark, d):
+    """Whole rows, as the batch form gives them."""
+    x = reading().apply(rows.to_flow(live(spark, d)))
+    out = st.to_table(st.collect_batches(x, 4).select("stream_id", "frame_id", F.col("metadata")["_batch_size"].alias("batch_size"), F.size("observations").alias("n"), F.try_element_at("observations", F.lit(-1))["frame_id"].alias("last_id")), scratch(spark))
+    return out
+
+
+@query(ORACLE["aligned_release"])
+def stream_align(spark, d):
+    """Frames released when the stream has gone on for a window, with each source's last message."""
+    e = live(spark, d)
+    m = e.select("stream_id", F.floor(F.col("t_ns") / F.lit(24 * HOUR)).alias("frame_id"), F.col("event_type").alias("source"), "t_ns", F.col("frame_id").alias("seq"), "value")
+    a = st.to_table(st.align(m, 72 * HOUR), scratch(spark))
+    return a.select("stream_id", "frame_id", "first_ns", "last_ns", F.size("sources").cast("bigint").alias("sources"), F.array_max(F.transform("messages", lambda x: F.get_json_object(x, "$.value").cast("double"))).alias("top"), "delay_ns")
+
+
+@query(f"WITH {EV}, w AS (SELECT stream_id, t_ns // {24 * HOUR} AS day, count(*) AS n, min(t_ns) AS first_ns, max(t_ns) AS last_ns FROM ev GROUP BY ALL), e AS (SELECT max(t_ns) AS newest FROM ev) SELECT stream_id, n, first_ns, last_ns FROM w, e WHERE (day + 1) * {24 * HOUR} <= newest - 10000000000")
+def stream_tumbling(spark, d):
+    """Days of each stream, given when the watermark has passed them."""
+    return st.to_table(st.tumbling(live(spark, d), "1 day").select("stream_id", "n", "first_ns", "last_ns"), scratch(spark))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from .. import functions as fn
-from ..operators.joins import PathBuffer
+from ..operators.joins import PathBuffer, one_of
 from ..operators.ordered import cooling, greedy
 
 
@@ -84,29 +84,34 @@ def fuse(df: DataFrame, sources: list[str], decide: Callable[[dict], tuple[str,
     return _with_state(df, "stream_id string, frame_id bigint, t_ns bigint, state string, score double, reason string", dict, step, json.dumps, json.loads, "string")
 
 
-def join_paths(df: DataFrame, paths: list[str], window_ns: int = 100_000_000, lateness_ns: int = 0, out_path: str = "merged") -> DataFrame:
+def join_paths(df: DataFrame, paths: list[str], window_ns: int = 100_000_000, lateness_ns: int = 0, out_path: str = "merged", mode: str = "all", observations: bool = True, results: bool = True) -> DataFrame:
     """The exact path join: what is held is kept between micro-batches."""
 
     def step(s, rows):
         out = [o for r in rows.to_dict("records") for o in s.push(r)]
         return pd.DataFrame(out, columns=rows.columns)
 
-    return _with_state(df, df.schema, lambda: PathBuffer(paths, "all", window_ns, lateness_ns, True, True, out_path), step, pickle.dumps, pickle.loads, "binary")
+    return _with_state(df, df.schema, lambda: PathBuffer(paths, mode, window_ns, lateness_ns, observations, results, out_path), step, pickle.dumps, pickle.loads, "binary")
 
 
-def collect_batches(df: DataFrame, size: int, value: str) -> DataFrame:
-    """(stream_id, first_ns, last_ns, values) for every ``size`` rows."""
+def collect_batches(df: DataFrame, size: int) -> DataFrame:
+    """Every ``size`` flow rows of a stream as one, whole, as the batch form makes them. The state holds rows as JSON, under ``size`` of them."""
     n = max(1, size)
+    others = [c for c in df.columns if c not in ("stream_id", "observations", "results", "metadata")]
+    row = F.struct("observations", "results", F.map_entries("metadata").alias("metadata"), *others)
+    packed = df.select("stream_id", "t_ns", "seq", F.to_json(row, {"ignoreNullFields": "false"}).alias("row"))
 
     def step(s, rows):
-        s += [[int(r.t_ns), float(getattr(r, value))] for r in rows.itertuples(index=False)]
+        s += rows["row"].tolist()
         out = []
         while len(s) >= n:
-            out.append({"stream_id": rows["stream_id"].iloc[0], "first_ns": s[0][0], "last_ns": s[n - 1][0], "values": [v for _, v in s[:n]]})
+            out.append({"stream_id": rows["stream_id"].iloc[0], "rows": s[:n]})
             del s[:n]
-        return pd.DataFrame(out, columns=["stream_id", "first_ns", "last_ns", "values"])
+        return pd.DataFrame(out, columns=["stream_id", "rows"])
 
-    return _with_state(df, "stream_id string, first_ns bigint, last_ns bigint, values array<double>", list, step, json.dumps, json.loads, "string")
+    kind = df.select(row.alias("row")).schema["row"].dataType
+    met = _with_state(packed, "stream_id string, rows array<string>", list, step, json.dumps, json.loads, "string")
+    return one_of(met.select("stream_id", F.transform("rows", lambda r: F.from_json(r, kind)).alias("_rows")), df.columns)
 
 
 def interval_join(left: DataFrame, right: DataFrame, window_ns: int, lateness: str = "10 seconds") -> DataFrame:
@@ -125,10 +130,32 @@ def tumbling(df: DataFrame, width: str, lateness: str = "10 seconds") -> DataFra
     return w.groupBy("stream_id", F.window("event_ts", width)).agg(F.count("*").alias("n"), F.min("t_ns").alias("first_ns"), F.max("t_ns").alias("last_ns"))
 
 
-def align(messages: DataFrame, window: str = "100 milliseconds", lateness: str = "100 milliseconds") -> DataFrame:
-    """Messages of a frame gathered in a window of event time, released by the watermark; rows later than that are dropped."""
-    w = messages.withColumn("event_ts", fn.event_time(F.col("t_ns"))).withWatermark("event_ts", lateness)
-    return w.groupBy("stream_id", "frame_id", F.window("event_ts", window)).agg(F.max_by("source", "seq").alias("last_source"), F.collect_set("source").alias("sources"), F.min("t_ns").alias("first_ns"), F.max("t_ns").alias("last_ns"))
+def align(messages: DataFrame, window_ns: int = 100_000_000) -> DataFrame:
+    """Messages gathered by frame, each source's last one; a frame is released once the stream's newest time is more than ``window_ns`` past its first.
+
+    (stream_id, frame_id, first_ns, last_ns, delay_ns, sources, messages), a message's other columns as JSON. What comes for a frame after its release
+    makes a frame anew, as nothing of it is held any more.
+    """
+    others = [c for c in messages.columns if c not in ("stream_id", "frame_id", "source")]
+    packed = messages.select("stream_id", "frame_id", "source", "t_ns", "seq", F.to_json(F.struct(*others)).alias("message"))
+
+    def step(s, rows):
+        frames = s.setdefault("frames", {})
+        for r in rows.itertuples(index=False):
+            f = frames.setdefault(str(r.frame_id), {})
+            if r.source not in f or f[r.source][1] <= r.seq:
+                f[r.source] = [int(r.t_ns), int(r.seq), r.message]
+            s["newest"] = max(s.get("newest", int(r.t_ns)), int(r.t_ns))
+        out = []
+        for k in sorted(frames, key=int):
+            t = [m[0] for m in frames[k].values()]
+            if s["newest"] - min(t) > window_ns:
+                f = frames.pop(k)
+                out.append((rows["stream_id"].iloc[0], int(k), min(t), max(t), s["newest"] - min(t), sorted(f), [f[x][2] for x in sorted(f)]))
+        return pd.DataFrame(out, columns=["stream_id", "frame_id", "first_ns", "last_ns", "delay_ns", "sources", "messages"])
+
+    schema = "stream_id string, frame_id bigint, first_ns bigint, last_ns bigint, delay_ns bigint, sources array<string>, messages array<string>"
+    return _with_state(packed, schema, dict, step, json.dumps, json.loads, "string")
 
 
 def to_table(df: DataFrame, path: str) -> DataFrame:
