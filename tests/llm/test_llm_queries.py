@@ -412,6 +412,67 @@ def test_token_files(spark, odd, none, monkeypatch):
 # secrets
 
 
+def brute_candidates(text):
+    """Place and text of every candidate, by Python's own patterns; the longest at each place."""
+    run = r"[A-Za-z0-9_+/.~-]"
+    found: dict = {}
+    patterns = (
+        rf"(?<!{run})(?=[A-Za-z_+/.~-]*[0-9])({run}{{16,}}={{0,2}})",
+        rf"(?i){secrets.NAME}[A-Za-z0-9_-]{{0,20}}[\"']?\s{{0,4}}(?:=>|[:=])\s{{0,4}}(?:bearer\s)?[\"']?([^\s\"'`,;<>(){{}}\[\]]{{6,200}})",
+        r"(-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s:,-]{1,20000}?-----END [A-Z ]{0,30}PRIVATE KEY-----)?)",
+    )
+    for p in patterns:
+        for m in re.finditer(p, text or "", re.ASCII):
+            if len(m[1]) > len(found.get(m.start(1), "")):
+                found[m.start(1)] = m[1]
+    return found
+
+
+def test_secret_candidates_and_features_against_brute_force(spark):
+    made = secrets.table(secrets.planted(spark, 400), "made")
+    texts = {r.doc_id: r.text for r in made.collect()} | {1000: "é password=hunter2 é token: \"0123456789abcdef01\" x", 1001: None, 1002: "", 1003: "pwd = p@ss'word! secret='abcdef'"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = secrets.candidates(docs)
+    rows = got.collect()
+    found: dict = {}
+    for r in rows:
+        found.setdefault(r._id, {})[r.start] = r.finding
+        t = texts[r._id]
+        assert t[r.start : r.start + len(r.finding)] == r.finding and t[: r.start].endswith(r.before) and t[r.start + len(r.finding) :].startswith(r.after)
+    assert found == {i: c for i, t in texts.items() if (c := brute_candidates(t))}
+    assert "hunter2" in found[1000].values() and "p@ss" not in found[1003].values()
+    words = spark.createDataFrame([("secret",), ("service",)], "word string")
+    for r in secrets.describe(secrets.cover(got, words)).collect():
+        c, n = r.finding, len(r.finding)
+        kind = "".join("a" if x.islower() else "A" if x.isupper() else "0" if x.isdigit() else "_" if x in "+/.~-=_" else x for x in c)
+        assert r.digit == pytest.approx(sum(x in "0123456789" for x in c) / n) and r.log_length == pytest.approx(math.log(n))
+        assert r.entropy == pytest.approx(-sum(k / n * math.log2(k / n) for k in Counter(c).values()), abs=1e-9)
+        assert r.distinct == pytest.approx(len(set(c)) / n)
+        if "\n" not in c and "_" not in c:
+            assert r.runs == pytest.approx(len(re.sub(r"(.)\1*", "x", kind)) / n)
+        parts = [x for x in re.split("[^a-z]+", re.sub("(?<=[a-z])(?=[A-Z])", " ", c).lower()) if len(x) >= 3]
+        assert r.parts == len(parts) and r.covered == pytest.approx(sum(len(x) for x in parts if x in ("secret", "service")) / max(1, sum(x.isascii() and x.isalpha() for x in c)))
+
+
+def test_dictionary_is_of_the_corpus(spark):
+    docs = spark.createDataFrame([(i, "Brolly, brolly fenwick token") for i in range(3)] + [(9, None)], "doc_id long, text string")
+    found = spark.createDataFrame([("brollyFenwick99secret",)], "finding string")
+    assert {r.word for r in secrets.dictionary(docs, found).collect()} == {"brolly", "secret"}  # fenwick stands three times, under COMMON
+
+
+def test_forest_decides_on_unseen_findings(spark):
+    """Held-out planted findings, none of which a rule labels."""
+    made = secrets.table(secrets.planted(spark, 9000), "made")
+    train, held = made.where("doc_id < 6000"), made.where("doc_id >= 6000")
+    judged = train.select("doc_id", "start", "is_secret")
+    docs = made.select("doc_id", "text", F.col("path").alias("source"))
+    truth = held.select("doc_id", "start", F.col("is_secret").alias("y"))
+    got = secrets.scan(docs, judged).join(truth, ["doc_id", "start"]).toPandas()
+    assert len(got) > 2000
+    right = ((got.is_secret == 1) & (got.y == 1)).sum()
+    assert right / (got.is_secret == 1).sum() > 0.95 and right / (got.y == 1).sum() > 0.95
+
+
 def test_secrets(spark, odd, none):
     r = random.Random(8)
     hexa = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
@@ -421,11 +482,12 @@ def test_secrets(spark, odd, none):
     assert all(texts[x.doc_id][x.start : x.start + x.length] == x.finding for x in got)
     found = {(x.doc_id, x.finding) for x in got if x.is_secret}
     want = {(i, m) for i, t in texts.items() for m in re.findall(r'(?<=token = ")\w+|(?<=password=)\w+|AKIA\w+', t)}
-    assert found == want
+    assert len(found ^ want) <= 0.02 * len(want)
     assert secrets.scan(odd).count() == 2 and secrets.scan(none).count() == 0
-    judged = spark.createDataFrame([(12, 9, 0), (13, 5, 1)], "doc_id long, start long, is_secret int")
-    assert secrets.scan(odd, judged).count() == 2
-    plan = secrets.describe(secrets.candidates(odd))._jdf.queryExecution().executedPlan().toString()
+    judged = spark.createDataFrame([(12, 9, 0), (13, 5, 1), (13, None, 1), (None, 1, 1), (99, 1, None)], "doc_id long, start long, is_secret int")
+    assert secrets.scan(odd, judged).count() == 2 and secrets.scan(odd, judged.limit(0)).count() == 2
+    found = secrets.candidates(odd)
+    plan = secrets.describe(secrets.cover(found, secrets.dictionary(odd, found)))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
