@@ -296,26 +296,90 @@ def test_decontamination_in_blocks(spark, monkeypatch):
 # language model
 
 
-def test_lm_base_score_and_gain(spark, odd, none):
-    r = random.Random(1)
-    docs = [(i, " ".join(r.choice(["The cat sat on the mat", "a dog", f"rare{i}"]) for _ in range(30))) for i in range(200)] + [(None, None), (900, ""), (901, "UPPER Words\tand\x0bmore"), (901, "UPPER Words\tand\x0bmore")]
-    got = suffix_tree.lm_score(spark.createDataFrame(docs, "doc_id long, text string")).collect()
-    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    tokens = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low)), None]
-    held = lambda i: zlib.crc32(("null" if i is None else str(i)).encode()) % 5 == 1
-    c = Counter(w for i, t in docs if not held(i) for w in tokens(t))
-    n, v = sum(c.values()), len(c)
-    assert len(got) == len(docs)
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def words_of(t):
+    """Words and an end."""
+    return [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW)), None]
+
+
+def held(i):
+    return zlib.crc32(("null" if i is None else str(i)).encode()) % 5 == 1
+
+
+class BruteTree:
+    """The tree of all training texts, as dictionaries."""
+
+    def __init__(self, texts, depth, least):
+        self.c, nexts = Counter(), {}
+        for t in texts:
+            w = words_of(t)
+            for i in range(len(w)):
+                for k in range(min(i, depth) + 1):
+                    self.c[tuple(w[i - k : i + 1])] += 1
+                    nexts.setdefault(tuple(w[i - k : i]), Counter())[w[i]] += 1
+        self.n, self.vocabulary, self.nexts, self.kept = len_of(texts), [g[0] for g in self.c if len(g) == 1], nexts, set()
+        for s, follow in nexts.items():
+            seen = sum(follow.values())
+            of = lambda w: nexts[s[1:]][w] / sum(nexts[s[1:]].values())
+            if s and seen >= least:
+                gain = sum(n * math.log(n / seen / of(w)) for w, n in follow.items())
+                if gain >= suffix_tree.GAIN and gain >= suffix_tree.GAIN_EACH * seen:
+                    self.kept.add(s)
+
+    def p(self, context, w):
+        p = ((self.c[(w,)] if w != "\0new" else 0) + 0.5) / (self.n + 0.5 * (len(self.vocabulary) + 1))
+        for k in range(1, len(context) + 1):
+            s = context[len(context) - k :]
+            if s in self.kept:
+                follow = self.nexts[s]
+                rest = suffix_tree.KAPPA * len(follow)
+                p = (follow[w] + rest * p) / (sum(follow.values()) + rest)
+        return p
+
+
+def len_of(texts):
+    return sum(len(words_of(t)) for t in texts)
+
+
+@pytest.mark.parametrize(("depth", "size"), [(2, 8 << 20), (3, 3000)])
+def test_lm_against_a_tree_of_dictionaries(spark, odd, none, monkeypatch, depth, size):
+    """Base score, counts and score, in one slice and in many, with words of equal polynomial hashes, and distributions that sum to one."""
+    monkeypatch.setattr(suffix_tree, "SLICE", size)
+    r = random.Random(depth)
+    a, b = "a", "b"
+    while len(a) < 1024:
+        a, b = a + b, b + a
+    say = ["The cat sat on the mat", "the dog sat on a log", "a cat and a dog", f"{a} one", f"{b} two"]
+    docs = [(i, " ".join(r.choice([*say, f"rare{i}", f"x{r.randrange(60)}"]) for _ in range(30))) for i in range(200)] + [(None, None), (900, ""), (901, "UPPER Words\tand\x0bmore"), (901, "UPPER Words\tand\x0bmore")]
+    docs += [(1000 + i, t) for i, (_, t) in enumerate(docs[:5])]
+    tree = BruteTree([t for i, t in docs if not held(i)], depth, suffix_tree.LEAST)
+    assert len({len(s) for s in tree.kept}) == depth
+    for s in sorted(tree.kept, key=repr)[:6]:
+        assert sum(tree.p(s, w) for w in [*tree.vocabulary, "\0new"]) == pytest.approx(1.0)
+    got = suffix_tree.lm_score(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), depth=depth).collect()
+    assert sorted(str(x.doc_id) for x in got) == sorted(str(i) for i, _ in docs)
     text = dict(docs)
     for x in got:
-        w = tokens(text[x.doc_id])
-        assert (x.held_out, x.n_tokens, x.n_known, x.train_tokens) == (held(x.doc_id), len(w), sum(c[t] > 0 for t in w), n)
-        assert x.base_score == pytest.approx(sum(math.log10((c[t] + 0.5) / (n + 0.5 * (v + 1))) for t in w))
-    out = [x for x in got if x.held_out and x.n_tokens > 50]
-    assert sum(x.score for x in out) > sum(x.base_score for x in out) + 10
+        w = words_of(text[x.doc_id])
+        assert (x.held_out, x.n_tokens, x.n_known, x.train_tokens) == (held(x.doc_id), len(w), sum(tree.c[(t,)] > 0 for t in w), tree.n)
+        assert x.base_score == pytest.approx(sum(math.log10(tree.p((), t)) for t in w))
+        assert x.score == pytest.approx(sum(math.log10(tree.p(tuple(w[max(0, i - depth) : i]), t)) for i, t in enumerate(w)), rel=1e-3)
     assert suffix_tree.lm_score(odd).count() == odd.count() and suffix_tree.lm_score(none).count() == 0
 
 
+def test_lm_scores_copies_apart(spark):
+    """A text that the training part holds twice is far likelier than one of the same words that it doesn't hold."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(2))
+    ids = [i for i in range(3000) if not held(i)][:400]
+    texts = [" ".join(word() for _ in range(60)) for _ in ids]
+    docs = [*zip(ids, texts), (5000 if not held(5000) else 5001, texts[0])]
+    got = {x.doc_id: x.score - x.base_score for x in suffix_tree.lm_score(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[ids[0]] > max(got[i] for i in ids[1:])
+
+
 # mixing
 
 

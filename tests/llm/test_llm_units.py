@@ -210,29 +210,27 @@ def least_labels(pairs):
     return {x: root(x) for x in up}
 
 
-def test_tree_gives_distributions():
-    """P(. | state) sums to one over the vocabulary and one unseen word."""
-    words = np.array([1, 2, 3, 4], np.int64)
-    r = random.Random(2)
-    text = [1]
-    for _ in range(3000):
-        text.append({1: 2, 2: 3}.get(text[-1]) if text[-1] in (1, 2) and r.random() < 0.9 else r.choice([1, 2, 3, 4]))
-    grams = {k: {} for k in range(1, 5)}
-    for k in grams:
-        for i in range(len(text) - k + 1):
-            g = tuple(text[i : i + k])
-            grams[k][g] = grams[k].get(g, 0) + 1
-    grams = {k: {g: c for g, c in v.items() if c >= 8} for k, v in grams.items()}
-    tree = suffix_tree.Tree(len(text), 4, grams)
-    assert any(len(key) for (key, _), _ in tree.levels)
-    norm = len(text) + 0.5 * 5
-    for ctx in ([1], [2], [1, 2], [4, 1, 2], [3, 3, 3]):
-        total = 0.0
-        for w in [*words.tolist(), 99]:
-            h = np.array([*ctx, w], np.int64).view(np.uint64)
-            root = (grams[1].get((w,), 0) + 0.5) / norm
-            total += root * 10 ** tree.gain(h, np.zeros(len(h), int))[-1]
-        assert total == pytest.approx(1.0)
+@settings(deadline=None, max_examples=60)
+@given(st.lists(st.integers(0, 2**64 - 1), max_size=40), st.sampled_from([np.uint8, np.uint32, np.uint64]))
+def test_planes_round_trip(values, kind):
+    x = np.array(values, np.uint64).astype(kind)
+    assert suffix_tree._unpack(suffix_tree._pack(x), kind).tolist() == x.tolist()
+
+
+@settings(deadline=None, max_examples=40)
+@given(st.lists(st.dictionaries(st.integers(0, 2**48 - 1), st.integers(0, 9), max_size=20), min_size=1, max_size=4), st.integers(1, 5))
+def test_sums_come_back_in_the_order_of_keys(asked, ranges):
+    rows = []
+    for n, a in enumerate(asked):
+        keys = np.array(sorted(a), np.uint64)
+        rows += suffix_tree._asked(f"s{n}", 1, keys, np.array([a[k] for k in sorted(a)], np.int64), ranges, 48)
+    answers = [suffix_tree._add(pa.Table.from_pylist([r for r in rows if r["g"] == g], suffix_tree.ASKED)) for g in sorted({r["g"] for r in rows})]
+    every = pa.concat_tables(answers) if answers else pa.table({"slice": pa.array([], pa.string()), "g": pa.array([], pa.int32()), "sums": pa.array([], pa.binary()), "found": pa.array([], pa.int64())})
+    total = {k: sum(a.get(k, 0) for a in asked) for a in asked for k in a}
+    for n, a in enumerate(asked):
+        mine = every.filter(pa.array([x == f"s{n}" for x in every["slice"].to_pylist()], pa.bool_()))
+        assert suffix_tree._sums(mine, 1, ranges).tolist() == [total[k] for k in sorted(a)]
+    assert sum(every["found"].to_pylist()) == sum(v > 0 for v in total.values())
 
 
 def test_models_learn():
