@@ -73,8 +73,23 @@ class ColumnModule(Module):
         return _append(df, self.build(deps) if inspect.signature(self.build).parameters else self.build())
 
 
+def as_process(given) -> Callable:
+    """A function of (frame, deps) from a function, or from an object with ``process``, ``extract`` or ``update``, in that order.
+
+    ``update`` gets the first dependency's observation, and is not called where there is none.
+    """
+    for name in ("process", "extract"):
+        if hasattr(given, name):
+            return getattr(given, name)
+    if hasattr(given, "update") and not inspect.isfunction(given):
+        return lambda frame, deps: next((given.update(o) for o in deps.values()), None)
+    if callable(given):
+        return given
+    raise TypeError(f"{given!r} is no function and has no process(), extract() or update()")
+
+
 class PythonModule(Module):
-    """``process(frame, deps)`` is called for each row with dictionaries; it returns a dictionary of values, a whole observation, or None.
+    """``process(frame, deps)``, a function or an object that has one (see ``as_process``), is called for each row with dictionaries; it returns a dictionary of values, a whole observation, or None.
 
     ``init`` makes what the module needs once in each task (its result is passed as ``frame['context']``), ``cleanup`` ends it. Errors: ``raise``, or
     ``drop``, which gives no observation for the row. ``timeout_sec``: a call that takes longer counts as failed, and its late result is not
@@ -84,7 +99,7 @@ class PythonModule(Module):
     def __init__(self, name: str, process: Callable, depends: tuple = (), aliases: dict | None = None, init: Callable | None = None, cleanup: Callable | None = None, reads: tuple = (), on_error: str = "raise", level: str = "inline", timeout_sec: float | None = None):
         super().__init__(name, depends, aliases)
         self.timeout_sec = timeout_sec
-        self.process, self.init, self.cleanup, self.reads, self.on_error, self.level = process, init, cleanup, tuple(reads), on_error, isolation(level)
+        self.process, self.init, self.cleanup, self.reads, self.on_error, self.level = as_process(process), init, cleanup, tuple(reads), on_error, isolation(level)
 
     def apply(self, df: DataFrame) -> DataFrame:
         return run_python([self], df)

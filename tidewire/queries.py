@@ -818,3 +818,20 @@ def stream_align(spark, d):
 def stream_tumbling(spark, d):
     """Days of each stream, given when the watermark has passed them."""
     return st.to_table(st.tumbling(live(spark, d), "1 day").select("stream_id", "n", "first_ns", "last_ns"), scratch(spark))
+
+
+@query(f"WITH {EV} SELECT frame_id, value AS extracted, value * 2.0::DOUBLE AS updated FROM ev")
+def legacy_modules(spark, d):
+    """Objects of older kinds: one with ``extract``, one with ``update``, which is fed the first dependency."""
+
+    class Extractor:
+        def extract(self, frame):
+            return {"x": frame["value"]}
+
+    class Fusion:
+        def update(self, observation):
+            return {"y": observation["signals"]["x"] * 2.0}
+
+    a, b = PythonModule("a", Extractor(), reads=("value",)), PythonModule("b", Fusion(), ("a",))
+    x = run_modules(rows.to_flow(events(spark, d)), [a, b])
+    return x.select("frame_id", F.get("observations", F.lit(0))["signals"]["x"].alias("extracted"), F.get("observations", F.lit(1))["signals"]["y"].alias("updated"))
