@@ -125,16 +125,19 @@ def brute_classes(texts, threshold=0.8):
     df = Counter(k for i in ids for k in grams(texts[i]))
     n = len(ids)
     g = {i: {k: w * math.log(1 + n / max(df[k], minhash.COMMON * n)) for k, w in grams(texts[i]).items()} for i in ids}
-    pairs = []
-    for x, i in enumerate(ids):
-        for j in ids[:x]:
-            a, b = g[i], g[j]
-            if (texts[i] or "") == (texts[j] or ""):
-                pairs.append((j, i))
-            elif a and b and min(sum(a.values()), sum(b.values())) >= threshold * max(sum(a.values()), sum(b.values())):
-                shared = sum(min(a[k], b[k]) for k in a.keys() & b.keys())
-                if shared >= threshold * (sum(a.values()) + sum(b.values()) - shared) - 1e-9:
-                    pairs.append((j, i))
+    first: dict = {}
+    pairs = [(first.setdefault(texts[i] or "", i), i) for i in ids]  # equal texts
+    size = {i: sum(g[i].values()) for i in ids}
+    having: dict = {}
+    for i in ids:
+        for k in g[i]:
+            having.setdefault(k, []).append(i)
+    for i, j in {(x, y) for v in having.values() for n, y in enumerate(v) for x in v[:n]}:  # all pairs that share a shingle
+        a, b = g[i], g[j]
+        if min(size[i], size[j]) >= threshold * max(size[i], size[j]):
+            shared = sum(min(a[k], b[k]) for k in a.keys() & b.keys())
+            if shared >= threshold * (size[i] + size[j] - shared) - 1e-9:
+                pairs.append((i, j))
     up = {i: i for i in ids}
 
     def root(x):
@@ -443,6 +446,39 @@ def test_classifiers_on_odd_rows(odd, none, labels):
     assert toxicity.drop_toxic(odd, labels).columns == odd.columns
 
 
+def test_toxicity_against_ftrl_by_dictionaries(spark):
+    """Scores of a model that keeps its coordinates by words, pairs and skip pairs themselves."""
+    r = random.Random(7)
+    say = lambda bad: " ".join(r.choice(["you", "are", "a", "nice", "Day", "it", "was", *(["fool", "idiot"] if bad else ["friend"])]) for _ in range(r.randrange(0, 25)))
+    rows = [(i, say(i % 3 == 0), int(i % 3 == 0)) for i in range(150)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(900, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = {x.doc_id: (x.held_out, x.score) for x in toxicity.toxicity(docs, labels).collect()}
+
+    def features(t):
+        w = (t or "").lower().split()
+        return {(x,) for x in w} | set(zip(w, w[1:])) | {(x, "_", z) for x, z in zip(w, w[2:])} | {()}  # () is the intercept
+
+    z, n = Counter(), Counter()
+
+    def weight(f):
+        return 0.0 if abs(z[f]) <= toxicity.L1 else (math.copysign(toxicity.L1, z[f]) - z[f]) / ((toxicity.BETA + math.sqrt(n[f])) / toxicity.ALPHA + toxicity.L2)
+
+    def p(t):
+        return 1 / (1 + math.exp(-sum(weight(f) for f in features(t))))
+
+    order = {x.doc_id: x.at for x in docs.select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")).alias("at")).collect()}
+    for _ in range(toxicity.EPOCHS):
+        for i, t, y in sorted((x for x in rows if zlib.crc32(str(x[0]).encode()) % 3 != 1), key=lambda x: order[x[0]]):
+            g = p(t) - y
+            step = {f: (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / toxicity.ALPHA * weight(f) for f in features(t)}
+            for f, s in step.items():
+                z[f] += g - s
+                n[f] += g * g
+    for i, t, _ in [*rows, (900, None, 0)]:
+        assert got[i] == (zlib.crc32(str(i).encode()) % 3 == 1, pytest.approx(p(t), abs=1e-6))
+
+
 @pytest.mark.parametrize(("name", "label", "least"), [("op8_toxicity", "toxic", 0.85), ("op10_quality", "quality", 0.95)])
 def test_held_out_accuracy(spark, name, label, least):
     d = "/root/testdata/sf0.01"

@@ -90,7 +90,9 @@ def dictionary(docs: DataFrame, found: DataFrame, text_col: str = "text") -> Dat
     parts = table(found.select(F.explode(F.array_distinct(_parts(F.col("finding")))).alias("word")).distinct(), "parts")
     words = docs.select(F.explode(F.split(F.lower(F.col(text_col)), r"[\s.,;:!?()\"]+")).alias("word")).where(F.length("word") >= PART)
     known = words.join(parts, "word", "left_semi").groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).select("word")
-    return known.union(parts.where(F.col("word").isin(WORDS)).select("word")).distinct()
+    known = table(known.union(parts.where(F.col("word").isin(WORDS)).select("word")).distinct(), "words")
+    drop(parts)
+    return known
 
 
 def cover(found: DataFrame, words: DataFrame) -> DataFrame:
@@ -204,13 +206,14 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_
     found = table(candidates(docs, id_col, text_col, path_col), "candidates")
     if labelled is None:
         made = table(planted(docs.sparkSession), "made")
-        known = labelled_candidates(table(candidates(made, path_col="path"), "planted"), made)
+        mine = table(candidates(made, path_col="path"), "planted")
+        known, done = labelled_candidates(mine, made), [made, mine]
     else:
-        known = labelled_candidates(found, labelled, id_col)
+        known, done = labelled_candidates(found, labelled, id_col), []
     #: Each finding's text and surroundings once, so that copies of a document do not fill the sample.
     known = known.withColumn("_at", F.xxhash64("finding", "before")).dropDuplicates(["finding", "before", "after", "_path", "is_secret"]).orderBy("_at", "finding", "after", "_path", "is_secret").limit(rows)
     known = table(known, "known")
-    words = table(dictionary(docs, found.select("finding").union(known.select("finding")), text_col), "words")
+    words = dictionary(docs, found.select("finding").union(known.select("finding")), text_col)
     sample = table(describe(cover(known, words)).select("is_secret", *FEATURES).coalesce(1), "labelled")
     share = sample.agg(F.avg("is_secret"), F.count("*")).first()
     described = describe(cover(found, words))
@@ -221,7 +224,7 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_
         forest = RandomForestClassifier(featuresCol="_v", labelCol="is_secret", numTrees=TREES, maxDepth=DEPTH, minInstancesPerNode=2, seed=17, probabilityCol="_prob", rawPredictionCol="_raw", predictionCol="_pred")
         model = forest.fit(vectors.transform(sample))
         scored = model.transform(vectors.transform(described)).withColumn("score", vector_to_array("_prob")[1])
-    drop(known, sample)
+    drop(known, sample, *done)
     return scored.select(F.col("_id").alias(id_col), "start", F.length("finding").cast("long").alias("length"), "finding", "score", F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int").alias("is_secret"))
 
 
