@@ -53,11 +53,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidewire/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Spark deletes an execution's shuffle files when it ends, rather than when the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again: no lineage, and a lost executor costs nothing."""
+    """Write ``df`` as Parquet in the shared folder and read it again: no lineage, and a lost executor costs nothing. The write's shuffle files go with it."""
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    path, was = new_path(spark, name), spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if was is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, was)
     return spark.read.schema(df.schema).parquet(path)
 
 

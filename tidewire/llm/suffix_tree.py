@@ -83,6 +83,8 @@ class Slice:
         c_p = counts[k - 2][where - 1] if k > 1 else np.full(len(where), total)
         c_pw = counts[k - 1][where]
         ok = (c_s >= least) & ((c_s < c_p) | (k == 1))  # seen as often as its suffix, it predicts the same
+        most = np.log(c_p[ok] / c_s[ok]) * c_s[ok]  # of its gain, as c(s, w) <= c(suffix, w): contexts that cannot be retained need not be asked for
+        ok[ok] = (most >= GAIN - 0.1) & (most >= GAIN_EACH * c_s[ok] - 0.1)
         where = where[ok]
         u, which = np.unique(self.grams[k - 1][where - 1] >> np.uint64(64 - KEY), return_inverse=True)
         return where, u, which, c_s[ok], c_sw[ok], c_p[ok], c_pw[ok]
@@ -208,7 +210,6 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     counts = _answers(slices.mapInArrow(ask_counts, ASK), "counts")
     vocabulary = int(counts.where(F.col("g") < ranges).agg(F.sum("found")).first()[0] or 0)
     norm = total + 0.5 * (vocabulary + 1)
-    _free(spark)
 
     def ask_gains(t, answers):
         out = []
@@ -227,7 +228,6 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
         return pa.Table.from_pylist(out, ASKED)
 
     gains = _answers(slices.groupBy("slice").cogroup(counts.groupBy("slice")).applyInArrow(ask_gains, ASK), "gains")
-    _free(spark)
 
     def score(t, answers):
         out = []
@@ -265,10 +265,5 @@ def _batches(rows: list[dict]):
         yield pa.RecordBatch.from_pylist(rows, ASKED)
 
 
-def _free(spark) -> None:
-    """Let Spark delete the shuffle files of what is done with; it does so when the driver's JVM collects garbage."""
-    spark._jvm.System.gc()
-
-
 def op6_lm_scoring(spark, sf_dir: str) -> DataFrame:
     return lm_score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
