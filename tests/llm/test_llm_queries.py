@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -435,6 +436,35 @@ def test_topics_are_of_content():
     assert len({Counter(t for t, (x, _) in zip(topic.tolist(), of) if x == k).most_common(1)[0][0] for k in "abc"}) == 3
 
 
+def late_subjects(spark):
+    """Subjects x and y only come in texts that are not among the 4,000 of lowest hash; y in one text of 77. And the rows' subjects."""
+    r = random.Random(4)
+    ids = [x.id for x in spark.range(7700).orderBy(F.xxhash64(F.col("id").cast("string"), F.lit("topic"))).collect()]
+    subject = {i: "abc"[n % 3] if n < 4000 else "y" if n % 37 == 0 else "x" for n, i in enumerate(ids)}
+    rows = [(i, " ".join(f"{k}{r.randrange(40)}" if r.random() < 0.5 else f"common{r.randrange(60)}" for _ in range(40)), "en", "s") for i, k in subject.items()]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), rows, subject
+
+
+def test_topics_are_learned_from_every_document(spark):
+    docs, rows, subject = late_subjects(spark)
+    topics = {x.doc_id: x._topic for x in mixing.weigh(docs.repartition(5, "doc_id")).select("doc_id", "_topic").collect()}
+    assert topics == {x.doc_id: x._topic for x in mixing.weigh(docs.coalesce(1)).select("doc_id", "_topic").collect()}
+    per = {k: Counter(topics[i] for i in subject if subject[i] == k) for k in "xy"}
+    assert sum((per["x"] & per["y"]).values()) <= 2
+    model = mixing.fit_topics(docs, "doc_id", "text", "lang")
+    bags = model.bags(pa.array([x[1] for x in rows]), ["en"] * len(rows), np.arange(len(rows)))[1]
+    assert np.allclose(model.idf, np.log((len(rows) + 1) / (np.bincount(bags.at, minlength=mixing.PLACES) + 1)))
+    dense = np.zeros((len(rows), mixing.PLACES))
+    dense[bags.doc, bags.at] = model.weights(bags) / mixing.STEP
+    assert np.abs(np.bincount(bags.doc, dense[bags.doc, bags.at] ** 2) - 1).max() < 0.01
+    dense -= dense.mean(0)
+    dense /= np.sqrt((dense**2).sum(1, keepdims=True))
+    of = (dense @ model.centres.T).argmax(1)
+    for k, c in enumerate(model.centres):  # each is the direction of its documents' sum
+        mine = dense[of == k].sum(0)
+        assert mine @ c > 0.98 * np.linalg.norm(mine) * np.linalg.norm(c)
+
+
 # classifiers
 
 

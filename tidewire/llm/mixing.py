@@ -8,8 +8,8 @@ others. ``report`` gives each value's share before, its target and its expected
 A document is kept if a number made from its id's hash is under its probability, so a retry or another partitioning keeps the same documents.
 
 The topic is a column of the caller's, or is made from the texts: spherical k-means over hashed words, weighted 1 + ln tf and ln idf,
-less the mean of the document's language, so that topics are not languages again. It is fitted on a documented sample (``FIT_ROWS`` of lowest
-hash); every document then goes to its nearest centre.
+less the mean of the document's language, so that topics are not languages again. Every document with a word counts in the idf, the means, the choice
+of the first centres and each round of the centres; then each goes to its nearest centre.
 
 Null values of a dimension are a value of their own. Texts that are null, or have no word, count no token: their documents have their
 cell's probability (1 where the cell counts none), and the topic of an empty text is ``none``. Rows that repeat an id are kept or dropped together.
@@ -18,6 +18,7 @@ cell's probability (1 where the cell counts none), and the topic of an empty tex
 from __future__ import annotations
 
 import functools
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text
-from ._shared import same_columns, session, table
+from ._shared import drop, same_columns, session, table
 
 DIMS = ("source", "lang", "topic")
 TOLERANCE, ROUNDS = 1e-9, 200
@@ -37,95 +38,282 @@ MAX_CELLS = 200_000
 
 #: Share of tokens whose cells may have a probability under what their factor asks for, as that would be over 1.
 CLIP = 0.01
-#: Topics, hashed words, and the bound on the documents that topics are fitted on.
-TOPICS, PLACES, FIT_ROWS = 12, 1 << 12, 4000
-#: Languages whose mean is known to the topic model: those of most documents in the sample.
+#: Topics, and hashed words.
+TOPICS, PLACES = 12, 1 << 12
+#: Languages that have a mean of their own in the topic model: those of most documents. All others, and null, have one in common.
 LANGUAGES = 64
+#: Steps of a document's weights and of centres, of means, and of 1 / length of what a mean leaves. All are whole numbers, so sums and products are
+#: exact, and topics the same whatever the partitions. Products of vectors of length 1 stay under the 2^24 that a float counts to.
+STEP, FINE, PULL = 4000, 1 << 20, 1 << 12
+#: Documents this near to their language's mean have no direction, and pull no centre.
+NEAR = 0.01
+
+
+#: Texts whose places are laid out at once for products.
+LAID = 128
+
+
+def _dots(b: _Bags, x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Products of the texts' weights with each row."""
+    out, by = np.zeros((len(b.size), len(rows)), np.float32), np.ascontiguousarray(rows.T, np.float32)
+    laid, at, x, end = np.zeros(LAID * PLACES, np.float32), b.at + np.repeat(np.arange(len(out)) % LAID * PLACES, b.size), x.astype(np.float32), b.cut + b.size
+    for i in range(0, len(out), LAID):
+        j = min(i + LAID, len(out))
+        some = slice(b.cut[i], end[j - 1])
+        laid[at[some]] = x[some]
+        out[i:j] = laid.reshape(LAID, PLACES)[: j - i] @ by
+        laid[at[some]] = 0
+    return out.astype(float)
+
+
+def _whole(v: np.ndarray) -> np.ndarray:
+    """Rows made of length 1, in steps."""
+    return np.rint(v / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-12) * STEP)
+
+
+class _Bags:
+    """Texts with words as (``key``, ``lang``, places ``at``, ``value`` of each, ``pull``); each text's places begin at ``cut``."""
+
+    SCHEMA = "key long, lang int, at binary, value binary, pull int"
+
+    def __init__(self, key, lang, at, size, value, pull):
+        self.key, self.lang, self.at, self.size, self.value, self.pull = key, lang, at, size, value, pull
+        self.cut = np.cumsum(size) - size
+
+    @property
+    def doc(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.size)), self.size)
+
+    def batch(self, kind=np.uint16) -> pa.RecordBatch:
+        """``kind``: of the values; weights are small, counts need not be."""
+        n = len(self.size)
+        off = np.append(0, np.cumsum(self.size))
+        at, value = ((off * size).astype(np.int32) for size in (2, kind().itemsize))
+        blobs = [pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(o), pa.py_buffer(v)]) for o, v in ((at, self.at.astype(np.uint16)), (value, self.value.astype(kind)))]
+        return pa.RecordBatch.from_arrays([pa.array(self.key, pa.int64()), pa.array(self.lang, pa.int32()), *blobs, pa.array(self.pull, pa.int32())], ["key", "lang", "at", "value", "pull"])
+
+    @classmethod
+    def of(cls, b: pa.RecordBatch, kind=np.uint16) -> _Bags:
+        raw, off = _text.buffers(b.column("at"))
+        value, _ = _text.buffers(b.column("value"))
+        key, lang, pull = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "lang", "pull"))
+        return cls(key, lang, raw.view(np.uint16).astype(np.int64), np.diff(off) // 2, value.view(kind).astype(float), pull)
+
+    def one(self, i: int) -> _Bags:
+        part = slice(self.cut[i], self.cut[i] + self.size[i])
+        return _Bags(self.key[i : i + 1], self.lang[i : i + 1], self.at[part], self.size[i : i + 1], self.value[part], self.pull[i : i + 1])
+
+
+class _Here:
+    """Bags held in this process, for what ``_Spread`` does on the executors."""
+
+    def __init__(self, bags: _Bags):
+        self.bags = bags
+
+    def total(self, f, size: int) -> np.ndarray:
+        return f(self.bags).astype(np.int64)
+
+    def least(self, cost) -> _Bags | None:
+        c = cost(self.bags)
+        return self.bags.one(int(c.argmin())) if len(c) and c.min() < np.inf else None
+
+    def map(self, f) -> _Here:
+        return _Here(f(self.bags))
+
+    def drop(self) -> None:
+        pass
+
+
+class _Spread:
+    """Bags as a table in the shared folder. Passes return sums, or one row of each task, so that nothing grows with the corpus but the passes."""
+
+    def __init__(self, rows: DataFrame, kind=np.uint16):
+        self.rows, self.kind = table(rows, "bags"), kind
+
+    def total(self, f, size: int) -> np.ndarray:
+        """The sum of ``f`` (``size`` whole numbers, none negative) over all batches."""
+        chunks, step, kind = -(-size // _text.CHUNK), _text.CHUNK, self.kind
+
+        @_text.tidy
+        def add(batches):
+            s = np.zeros(chunks * step, np.int64)
+            for b in batches:
+                if b.num_rows:
+                    s[:size] += f(_Bags.of(b, kind)).astype(np.int64)
+            for c in range(chunks):
+                if (x := s[c * step : (c + 1) * step]).any():
+                    yield pa.record_batch({"chunk": pa.array([c], pa.int32()), "data": pa.array([_text.pack(x)], pa.binary())})
+
+        out = np.zeros(chunks * step, np.int64)
+        for r in _text.sum_chunks(self.rows.mapInArrow(add, "chunk int, data binary"), chunks).collect():
+            out[r.chunk * step : (r.chunk + 1) * step] = _text.unpack(bytes(r.data))
+        return out[:size]
+
+    def least(self, cost) -> _Bags | None:
+        """The text of least cost of all, whose values are weights; none if all are infinite."""
+
+        @_text.tidy
+        def find(batches):
+            best, row = np.inf, None
+            for b in batches:
+                if b.num_rows:
+                    c = cost(bags := _Bags.of(b))
+                    i = int(c.argmin())
+                    if c[i] < best:
+                        best, row = c[i], bags.one(i).batch()
+            if row is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([best]), *row.columns], ["cost", *row.schema.names])
+
+        r = self.rows.mapInArrow(find, f"cost double, {_Bags.SCHEMA}").orderBy("cost", "key").first()
+        if r is None:
+            return None
+        at, value = np.frombuffer(bytes(r.at), np.uint16).astype(np.int64), np.frombuffer(bytes(r.value), np.uint16).astype(float)
+        return _Bags(np.array([r.key]), np.array([r.lang]), at, np.array([len(at)]), value, np.array([r.pull]))
+
+    def map(self, f) -> _Spread:
+        """What ``f`` makes, weights for values."""
+        kind = self.kind
+
+        @_text.tidy
+        def run(batches):
+            for b in batches:
+                if b.num_rows:
+                    yield f(_Bags.of(b, kind)).batch()
+
+        return _Spread(self.rows.mapInArrow(run, _Bags.SCHEMA))
+
+    def drop(self) -> None:
+        drop(self.rows)
 
 
 class Topics:
     """Centres of topics over hashed words. ``of`` gives texts their number of words and the number of their topic, -1 without words."""
 
     def __init__(self, k: int = TOPICS):
-        self.k, self.idf, self.centres = k, np.ones(PLACES, np.float32), np.zeros((k, PLACES), np.float32)
-        self.languages: dict[str | None, int] = {}
-        self.shift = np.zeros((1, k), np.float32)  # what the language's mean adds to each centre's product; the last row is for other languages
-
-    def _rows(self, col: pa.Array):
-        """Words of each text; (place, weight) of its distinct hashed words, of length 1, and where each text's begin (and the end)."""
-        w = _text.Words(col, lower=True)
-        at, doc, tf = _text.distinct(w.h % np.uint64(PLACES), w.doc)
-        at = at.astype(np.int64)
-        x = (1 + np.log(tf)) * self.idf[at]
-        norm = np.sqrt(np.bincount(doc, x * x, len(col)))
-        return np.diff(w.off), at, doc, (x / np.maximum(norm[doc], 1e-12)).astype(np.float32)
+        self.k, self.idf, self.centres = k, np.ones(PLACES), np.zeros((1, PLACES))
+        self.languages: dict[str, int] = {}
+        self.shift = np.zeros((1, 1))  # each language's mean times each centre; the last row is for other languages
+
+    def bags(self, texts: pa.Array, langs: list, keys: np.ndarray) -> tuple[np.ndarray, _Bags]:
+        """Words of each text; those that have words, with their distinct hashed words and how often each comes."""
+        w = _text.Words(texts, lower=True)
+        place = np.sort(w.doc * PLACES + (w.h % np.uint64(PLACES)).astype(np.int64))
+        new = np.flatnonzero(np.diff(place, prepend=-1))
+        (doc, at), tf = np.divmod(place[new], PLACES), np.diff(new, append=len(place))
+        words = np.diff(w.off)
+        has = words > 0
+        lang = np.array([len(self.languages) if v is None else self.languages.get(str(v), len(self.languages)) for v in langs], int)
+        return words, _Bags(keys[has], lang[has], at, np.bincount(doc, minlength=len(texts))[has], tf, np.zeros(has.sum(), int))
+
+    def weights(self, b: _Bags) -> np.ndarray:
+        """Weights of each text's words, together of length 1, in steps of STEP."""
+        x, doc = (1 + np.log(b.value)) * self.idf[b.at], b.doc
+        return np.rint(x / np.maximum(np.sqrt(np.bincount(doc, x * x, len(b.size))), 1e-12)[doc] * STEP)
 
     def fit(self, texts: pa.Array, langs: list, rounds: int = 20, seed: int = 5) -> Topics:
-        """Centres from a bounded number of texts."""
-        n = len(texts)
-        _, at, doc, _ = self._rows(texts)
-        self.idf = np.log((n + 1) / (np.bincount(at, minlength=PLACES) + 1)).astype(np.float32)
-        _, at, doc, x = self._rows(texts)
-        dense = np.zeros((n, PLACES), np.float32)
-        dense[doc, at] = x
-        names, count = np.unique([str(v) for v in langs if v is not None], return_counts=True)
-        self.languages = {v: i for i, v in enumerate(names[np.argsort(-count, kind="stable")][:LANGUAGES].tolist())}
-        lang = np.array([self.languages.get(str(v), len(self.languages)) if v is not None else len(self.languages) for v in langs], int)
-        mean = np.zeros((len(self.languages) + 1, PLACES), np.float32)
-        for i in range(len(self.languages)):
-            mean[i] = dense[lang == i].mean(0)
-        dense -= mean[lang]
-        dense /= np.maximum(np.sqrt((dense * dense).sum(1, keepdims=True)), 1e-12)
-        r = np.random.default_rng(seed)
-        centres = dense[r.choice(n, 1)]
-        for _ in range(1, min(self.k, n)):  # far from those chosen, by chance
-            far = np.maximum(1 - (dense @ centres.T).max(1), 0) ** 2
-            centres = np.concatenate([centres, dense[r.choice(n, 1, p=far / far.sum() if far.sum() else None)]])
-        for _ in range(rounds):
-            of = (dense @ centres.T).argmax(1)
-            new = np.stack([dense[of == k].sum(0) if (of == k).any() else centres[k] for k in range(len(centres))])
-            centres = new / np.maximum(np.sqrt((new * new).sum(1, keepdims=True)), 1e-12)
-        self.centres[: len(centres)] = centres
+        """Centres from texts that are held here."""
+        self.know(Counter(str(v) for v in langs if v is not None))
+        return self.learn(_Here(self.bags(texts, langs, np.arange(len(texts)))[1]), rounds, seed)
+
+    def know(self, count: dict) -> None:
+        self.languages = {v: i for i, v in enumerate(sorted(count, key=lambda v: (-count[v], v))[:LANGUAGES])}
+
+    def learn(self, docs: _Here | _Spread, rounds: int = 20, seed: int = 5) -> Topics:
+        """Every document counts in the words' idf, in its language's mean, as a first centre and in each round's centres. ``docs`` is dropped."""
+        last = len(self.languages) + 1
+        df = docs.total(lambda b: np.append(np.bincount(b.at, minlength=PLACES), len(b.size)), PLACES + 1)
+        self.idf = np.log((df[-1] + 1) / (df[:-1] + 1))
+        weights = self.weights
+        sums = docs.total(lambda b: np.append(np.bincount(b.at + PLACES * b.lang[b.doc], weights(b), last * PLACES), np.bincount(b.lang, minlength=last)), last * (PLACES + 1))
+        of_lang = np.maximum(sums[last * PLACES :], 1)[:, None]
+        mean = np.rint(sums[: last * PLACES].reshape(last, PLACES) / of_lang / STEP * FINE)
+        size = (mean * mean).sum(1) / FINE**2
+
+        def weigh(b: _Bags) -> _Bags:
+            x = weights(b)
+            far = np.add.reduceat(x * x, b.cut) / STEP**2 - 2 * np.add.reduceat(mean[b.lang[b.doc], b.at] * x, b.cut) / (STEP * FINE) + size[b.lang] if len(b.size) else np.zeros(0)
+            far = np.sqrt(np.maximum(far, 0))
+            return _Bags(b.key, b.lang, b.at, b.size, x, np.where(far > NEAR, np.rint(PULL / np.maximum(far, NEAR)), 0).astype(int))
+
+        bags = docs.map(weigh)
+        docs.drop()
+        centres = np.zeros((0, PLACES))
+        for n in range(self.k):  # far from those chosen, by chance: the least of exponential times at these rates
+            one = bags.least(_chance(centres, mean @ centres.T, seed + 1000 * n))
+            if one is None:
+                break
+            v = -mean[one.lang[0]] / FINE
+            v[one.at] += one.value / STEP
+            centres = np.concatenate([centres, _whole(v[None])])
+        k, was = len(centres), None
+        for _ in range(rounds if k else 0):
+            sums = bags.total(_pulls(centres, mean @ centres.T), k * (PLACES + last))
+            if was is not None and np.array_equal(sums, was):
+                break
+            was = sums
+            pull = sums[k * PLACES :].reshape(k, last)
+            new = _whole(sums[: k * PLACES].reshape(k, PLACES) / STEP - pull @ (mean / FINE))
+            centres = np.where(pull.sum(1, keepdims=True) > 0, new, centres)
+        bags.drop()
+        self.centres = centres if k else np.zeros((1, PLACES))
         self.shift = mean @ self.centres.T
         return self
 
     def of(self, texts: pa.Array, langs: list) -> tuple[np.ndarray, np.ndarray]:
-        words, at, doc, x = self._rows(texts)
-        cut = np.searchsorted(doc, np.arange(len(texts)))
-        like = np.zeros((len(texts), self.k), np.float32)
-        has = np.flatnonzero(words)
-        if len(has):
-            for k in range(self.k):
-                like[has, k] = np.add.reduceat(self.centres[k][at] * x, cut[has])
-        lang = np.array([self.languages.get(str(v), -1) if v is not None else -1 for v in langs], int)
-        return words, np.where(words > 0, (like - self.shift[lang]).argmax(1), -1)
-
-
-def fit_topics(docs: DataFrame, id_col: str, text_col: str, lang_col: str | None, rows: int = FIT_ROWS) -> Topics:
-    """Topics of ``docs``, from the ``rows`` texts of lowest hash of their id; one task learns."""
-    lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
-    ids = docs.select(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit("topic")).alias("at")).distinct().orderBy("at").limit(rows)
-    src = docs.select(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit("topic")).alias("at"), lang.alias("lang"), F.col(text_col).alias("text"))
-    few = src.join(F.broadcast(ids), "at").groupBy("at").agg(F.min(F.struct("text", "lang")).alias("x")).select("at", "x.text", "x.lang")
+        words, b = self.bags(texts, langs, np.arange(len(texts)))
+        topic = np.full(len(texts), -1)
+        topic[b.key] = _like(b, self.weights(b), self.centres, self.shift).argmax(1)
+        return words, topic
 
-    @_text.tidy
-    def learn(batches):
-        import pickle
 
-        held = [b for b in batches if b.num_rows]
-        t = pa.Table.from_batches(held) if held else None
-        model = Topics()
-        if t is not None:
-            model.fit(t["text"].combine_chunks(), t["lang"].to_pylist())
-        yield pa.record_batch({"model": pa.array([pickle.dumps(model.__dict__)], pa.binary())})
+def _like(b: _Bags, x: np.ndarray, centres: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """What the mean of its language leaves of each text, times each centre."""
+    return _dots(b, x, centres) / STEP**2 - shift[b.lang] / (FINE * STEP)
+
+
+def _chance(centres: np.ndarray, shift: np.ndarray, seed: int):
+    """A text's waiting time, by its key; the rate is its squared distance from the centres, as k-means++ has it."""
+
+    def cost(b: _Bags) -> np.ndarray:
+        far = (b.pull > 0).astype(float)
+        if len(centres):
+            far *= np.maximum(1 - (_like(b, b.value, centres, shift) * (b.pull / PULL)[:, None]).max(1), 0) ** 2
+            far[far < 1e-6] = 0  # a copy of a centre, but for rounding
+        u = ((_text.mix(b.key.astype(np.int64).view(np.uint64) ^ _text.mix(np.array([seed], np.uint64))) >> np.uint64(11)) + 0.5) / 2.0**53
+        return np.divide(-np.log(u), far, out=np.full(len(far), np.inf), where=far > 0)
 
-    import pickle
+    return cost
 
+
+def _pulls(centres: np.ndarray, shift: np.ndarray):
+    """For each centre, the sum of its nearest texts' weights over their lengths, and of each language's 1 / length."""
+    k, last = len(centres), len(shift)
+
+    def sums(b: _Bags) -> np.ndarray:
+        of = _like(b, b.value, centres, shift).argmax(1)
+        words = np.bincount(b.at + np.repeat(of * PLACES, b.size), b.value * np.repeat(b.pull, b.size), k * PLACES)
+        return np.append(words, np.bincount(of * last + b.lang, b.pull, k * last))
+
+    return sums
+
+
+def fit_topics(docs: DataFrame, id_col: str, text_col: str, lang_col: str | None) -> Topics:
+    """Topics of ``docs``, from all of them; the distinct hashed words of each are kept in a table while it lasts."""
+    lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
     model = Topics()
-    found = few.repartition(1).sortWithinPartitions("at").mapInArrow(learn, "model binary").first()
-    if found is not None:
-        model.__dict__.update(pickle.loads(bytes(found[0])))
-    return model
+    if lang_col:
+        model.know({r.lang: r.n for r in docs.groupBy(lang.alias("lang")).agg(F.count(F.lit(1)).alias("n")).where("lang is not null").orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).collect()})
+    src = docs.select(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), lang).alias("key"), lang.alias("lang"), F.col(text_col).alias("text"))
+
+    @_text.tidy
+    def read(batches):
+        for batch in batches:
+            for s in _text.slices(batch):
+                _, bags = model.bags(s.column("text").cast(pa.string()), s.column("lang").to_pylist(), s.column("key").to_numpy())
+                if len(bags.size):
+                    yield bags.batch(np.uint32)
+
+    return model.learn(_Spread(src.mapInArrow(read, _Bags.SCHEMA), np.uint32))
 
 
 def rake(cells: np.ndarray, at: list[np.ndarray], targets: list[np.ndarray], tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> np.ndarray:
