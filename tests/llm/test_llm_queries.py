@@ -645,3 +645,12 @@ def test_pipeline_stages(spark):
     assert c.mix(spark, docs, SMALL).columns == cols
     out = c.run(spark, SMALL)
     assert {"doc_id", "start", "n_tokens", "ids_crc32"} <= set(out.columns) and 0 < out.count() <= len(kept)
+
+
+def test_pipeline_mixes_by_topics_of_every_document(spark):
+    import corpus_pipeline as c
+
+    docs, _, subject = late_subjects(spark)
+    kept = Counter(subject[x.doc_id] for x in c.mix(spark, docs, SMALL).select("doc_id").collect())
+    n = Counter(subject.values())
+    assert kept["y"] == n["y"] and kept["x"] < 0.9 * n["x"]  # a rare subject stays whole
