@@ -465,6 +465,32 @@ def test_topics_are_learned_from_every_document(spark):
         assert mine @ c > 0.98 * np.linalg.norm(mine) * np.linalg.norm(c)
 
 
+def test_mixing_reads_texts_once(spark, odd, none):
+    """Topics and tokens of the result come from the bags that they were learned from, and are those that the texts give."""
+    files = mixing.op7_mixing(spark, SMALL).inputFiles()
+    assert files and not any("documents" in f for f in files)
+    for docs in (odd, none, spark.read.parquet(f"{SMALL}/documents.parquet")):
+        new = ["_tokens", "_topic", "_p", "_kept"]
+        assert whole(mixing.weigh(docs, columns=["doc_id"])) == whole(mixing.weigh(docs).select("doc_id", *new))
+
+
+def test_first_centres_are_found_in_few_passes(spark, monkeypatch):
+    """From the texts of least waiting time; where these are too few to tell, all texts are asked, and the centres are the same."""
+    docs, _, _ = late_subjects(spark)
+    copies = spark.createDataFrame([(i, COPY if i < 3000 else f"{COPY} other{i % 7} more{i % 7}", "en") for i in range(3005)], "doc_id long, text string, lang string")
+    asked, least = [], mixing._Spread.least
+    monkeypatch.setattr(mixing._Spread, "least", lambda self, cost: asked.append(1) or least(self, cost))
+    for some, few in ((docs, 0), (copies, mixing.TOPICS)):
+        got = []
+        for many in (mixing.SOONEST, 1, 10**6):
+            asked.clear()
+            monkeypatch.setattr(mixing, "SOONEST", many)
+            model = mixing.fit_topics(some, "doc_id", "text", "lang")
+            got.append(model.centres)
+            assert len(asked) <= few if many == 256 else len(asked) > 0 if many == 1 else not asked
+        assert len(got[0]) > 1 and np.array_equal(got[0], got[1]) and np.array_equal(got[0], got[2])
+
+
 # classifiers
 
 

@@ -9,7 +9,8 @@ A document is kept if a number made from its id's hash is under its probability,
 
 The topic is a column of the caller's, or is made from the texts: spherical k-means over hashed words, weighted 1 + ln tf and ln idf,
 less the mean of the document's language, so that topics are not languages again. Every document with a word counts in the idf, the means, the choice
-of the first centres and each round of the centres; then each goes to its nearest centre.
+of the first centres and each round of the centres; then each goes to its nearest centre. Words are cut once, for the table of bags that all passes read and
+that numbers of tokens and topics come from; and once more if the result has the texts themselves, which that table doesn't hold.
 
 Null values of a dimension are a value of their own. Texts that are null, or have no word, count no token: their documents have their
 cell's probability (1 where the cell counts none), and the topic of an empty text is ``none``. Rows that repeat an id are kept or dropped together.
@@ -24,9 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import _text
-from ._shared import drop, same_columns, session, table
+from ._shared import drop, session, table
 
 DIMS = ("source", "lang", "topic")
 TOLERANCE, ROUNDS = 1e-9, 200
@@ -50,7 +52,13 @@ NEAR = 0.01
 
 
 #: Texts whose places are laid out at once for products.
-LAID = 128
+LAID = 64
+#: Places of the texts that share a row of the table of bags: few, as a batch of rows is held whole.
+PACK = 4096
+#: Rows that are worked on at once: what is made of them stays in a CPU's cache.
+ROWS = 32
+#: Texts of least waiting time that are fetched for each first centre. Where they can't show that no other comes before, all texts are asked.
+SOONEST = 256
 
 
 def _dots(b: _Bags, x: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -71,10 +79,19 @@ def _whole(v: np.ndarray) -> np.ndarray:
     return np.rint(v / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-12) * STEP)
 
 
+def _binary(x: np.ndarray, off: np.ndarray) -> pa.Array:
+    """Parts of ``x`` as binary values, which begin (and end) at ``off``."""
+    return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer((off * x.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+
+
 class _Bags:
-    """Texts with words as (``key``, ``lang``, places ``at``, ``value`` of each, ``pull``); each text's places begin at ``cut``."""
+    """Texts with words as (``key``, ``lang``, places ``at``, ``value`` of each, ``pull``); each text's places begin at ``cut``.
+
+    A row of a table holds several texts: each column has their values one after another, ``size`` how many places each has.
+    """
 
-    SCHEMA = "key long, lang int, at binary, value binary, pull int"
+    COLUMNS = ("key", "lang", "size", "at", "value", "pull")
+    SCHEMA = ", ".join(f"{c} binary" for c in COLUMNS)
 
     def __init__(self, key, lang, at, size, value, pull):
         self.key, self.lang, self.at, self.size, self.value, self.pull = key, lang, at, size, value, pull
@@ -84,24 +101,29 @@ class _Bags:
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.size)), self.size)
 
-    def batch(self, kind=np.uint16) -> pa.RecordBatch:
-        """``kind``: of the values; weights are small, counts need not be."""
-        n = len(self.size)
-        off = np.append(0, np.cumsum(self.size))
-        at, value = ((off * size).astype(np.int32) for size in (2, kind().itemsize))
-        blobs = [pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(o), pa.py_buffer(v)]) for o, v in ((at, self.at.astype(np.uint16)), (value, self.value.astype(kind)))]
-        return pa.RecordBatch.from_arrays([pa.array(self.key, pa.int64()), pa.array(self.lang, pa.int32()), *blobs, pa.array(self.pull, pa.int32())], ["key", "lang", "at", "value", "pull"])
+    def columns(self, rows: np.ndarray, kind=np.uint16) -> list[pa.Array]:
+        """``rows``: the text that each row begins with, and the end. ``kind``: of the values; weights are small, counts need not be."""
+        places = np.append(self.cut, len(self.at))[rows]
+        each = [(self.key, np.int64, rows), (self.lang, np.uint8, rows), (self.size, np.uint16, rows), (self.at, np.uint16, places), (self.value, kind, places), (self.pull, np.int32, rows)]
+        return [_binary(x.astype(k), off) for x, k, off in each]
 
     @classmethod
     def of(cls, b: pa.RecordBatch, kind=np.uint16) -> _Bags:
-        raw, off = _text.buffers(b.column("at"))
-        value, _ = _text.buffers(b.column("value"))
-        key, lang, pull = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "lang", "pull"))
-        return cls(key, lang, raw.view(np.uint16).astype(np.int64), np.diff(off) // 2, value.view(kind).astype(float), pull)
+        kinds = (np.int64, np.uint8, np.uint16, np.uint16, kind, np.int32)
+        key, lang, size, at, value, pull = (_text.buffers(b.column(c))[0].view(k) for c, k in zip(cls.COLUMNS, kinds))
+        return cls(key, lang.astype(np.int64), at.astype(np.int64), size.astype(np.int64), value.astype(float), pull.astype(np.int64))
 
-    def one(self, i: int) -> _Bags:
-        part = slice(self.cut[i], self.cut[i] + self.size[i])
-        return _Bags(self.key[i : i + 1], self.lang[i : i + 1], self.at[part], self.size[i : i + 1], self.value[part], self.pull[i : i + 1])
+    @classmethod
+    def read(cls, batches, kind=np.uint16):
+        """Batches in pieces that are worked on at once, with their texts."""
+        for b in batches:
+            for i in range(0, b.num_rows, ROWS):
+                yield (s := b.slice(i, ROWS)), cls.of(s, kind)
+
+    def some(self, which: np.ndarray) -> _Bags:
+        size = self.size[which]
+        at = np.repeat(self.cut[which] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return _Bags(self.key[which], self.lang[which], self.at[at], size, self.value[at], self.pull[which])
 
 
 class _Here:
@@ -113,9 +135,11 @@ class _Here:
     def total(self, f, size: int) -> np.ndarray:
         return f(self.bags).astype(np.int64)
 
+    def soonest(self, seeds: list[int], many: int) -> list[tuple[_Bags, float]]:
+        return [(self.bags, np.inf) for _ in seeds]
+
     def least(self, cost) -> _Bags | None:
-        c = cost(self.bags)
-        return self.bags.one(int(c.argmin())) if len(c) and c.min() < np.inf else None
+        return _least(self.bags, cost(self.bags))
 
     def map(self, f) -> _Here:
         return _Here(f(self.bags))
@@ -124,11 +148,27 @@ class _Here:
         pass
 
 
+def _least(b: _Bags, cost: np.ndarray) -> _Bags | None:
+    """The text of least cost, of these that of least key; none if all are infinite."""
+    if not len(cost) or cost.min() == np.inf:
+        return None
+    tied = np.flatnonzero(cost == cost.min())
+    return b.some(tied[b.key[tied].argmin()][None])
+
+
+def _first(wait: np.ndarray, key: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the ``many`` least waiting times, each key once."""
+    order = np.lexsort((key, wait))
+    order = order[np.diff(key[order], prepend=~key[order[:1]]) != 0][:many]
+    return wait[order], key[order]
+
+
 class _Spread:
     """Bags as a table in the shared folder. Passes return sums, or one row of each task, so that nothing grows with the corpus but the passes."""
 
-    def __init__(self, rows: DataFrame, kind=np.uint16):
-        self.rows, self.kind = table(rows, "bags"), kind
+    def __init__(self, rows: DataFrame, kind=np.uint16, codec: str = "zstd"):
+        self.rows, self.kind = table(rows, "bags", codec), kind
+        self.bags = self.rows.select(*_Bags.COLUMNS)
 
     def total(self, f, size: int) -> np.ndarray:
         """The sum of ``f`` (``size`` whole numbers, none negative) over all batches."""
@@ -137,50 +177,93 @@ class _Spread:
         @_text.tidy
         def add(batches):
             s = np.zeros(chunks * step, np.int64)
-            for b in batches:
-                if b.num_rows:
-                    s[:size] += f(_Bags.of(b, kind)).astype(np.int64)
+            for _, b in _Bags.read(batches, kind):
+                s[:size] += f(b).astype(np.int64)
             for c in range(chunks):
                 if (x := s[c * step : (c + 1) * step]).any():
                     yield pa.record_batch({"chunk": pa.array([c], pa.int32()), "data": pa.array([_text.pack(x)], pa.binary())})
 
         out = np.zeros(chunks * step, np.int64)
-        for r in _text.sum_chunks(self.rows.mapInArrow(add, "chunk int, data binary"), chunks).collect():
+        for r in _text.sum_chunks(self.bags.mapInArrow(add, "chunk int, data binary"), chunks).collect():
             out[r.chunk * step : (r.chunk + 1) * step] = _text.unpack(bytes(r.data))
         return out[:size]
 
+    def soonest(self, seeds: list[int], many: int) -> list[tuple[_Bags, float]]:
+        """For each seed ``many`` texts, by key, of least waiting time among those that have a direction, and the time that no other comes before."""
+
+        def rows(found):
+            for n, (wait, key) in found.items():
+                yield pa.record_batch({"n": pa.array([n], pa.int32()), "wait": pa.array([wait.tobytes()], pa.binary()), "key": pa.array([key.tobytes()], pa.binary())})
+
+        none = np.zeros(0), np.zeros(0, np.int64)
+
+        @_text.tidy
+        def find(batches):
+            found: dict = {}
+            for b in batches:
+                far = _text.buffers(b.column("pull"))[0].view(np.int32) > 0
+                keys = _text.buffers(b.column("key"))[0].view(np.int64)[far]
+                for n, seed in enumerate(seeds if len(keys) else ()):
+                    had, wait = found.get(n, none), _wait(keys, seed)
+                    new = wait <= had[0][-1] if len(had[0]) == many else slice(None)
+                    found[n] = _first(np.append(had[0], wait[new]), np.append(had[1], keys[new]), many)
+            yield from rows(found)
+
+        @_text.tidy
+        def merge(batches):
+            found: dict = {}
+            for b in batches:
+                for n, *each in zip(*(c.to_pylist() for c in b.columns)):
+                    found[n] = _first(*(np.append(had, np.frombuffer(x, had.dtype)) for had, x in zip(found.get(n, none), each)), many)
+            yield from rows(found)
+
+        schema = "n int, wait binary, key binary"
+        parts = self.rows.select("pull", "key").mapInArrow(find, schema).repartition(len(seeds), "n")
+        found = {r.n: (np.frombuffer(bytes(r.wait)), np.frombuffer(bytes(r.key), np.int64)) for r in parts.mapInArrow(merge, schema).collect()}
+        want = np.unique(np.concatenate([none[1], *(key for _, key in found.values())]))
+
+        @_text.tidy
+        def fetch(batches):
+            had = np.zeros(0, np.int64)
+            for _, b in _Bags.read(batches):
+                if (hit := np.isin(b.key, want)).any():
+                    at = np.flatnonzero(hit)[np.unique(b.key[hit], return_index=True)[1]]
+                    b = b.some(at[~np.isin(b.key[at], had)])
+                    had = np.append(had, b.key)
+                    yield pa.RecordBatch.from_arrays(b.columns(np.arange(len(b.key) + 1)), _Bags.COLUMNS)
+
+        got = self.bags.mapInArrow(fetch, _Bags.SCHEMA).dropDuplicates(["key"]).collect() if len(want) else []
+        all_ = _Bags.of(pa.record_batch({c: pa.array([bytes(r[c]) for r in got], pa.binary()) for c in _Bags.COLUMNS}))
+        return [(all_.some(np.flatnonzero(np.isin(all_.key, key))), wait[-1] if len(wait) == many else np.inf) for wait, key in (found.get(n, none) for n in range(len(seeds)))]
+
     def least(self, cost) -> _Bags | None:
         """The text of least cost of all, whose values are weights; none if all are infinite."""
 
         @_text.tidy
         def find(batches):
-            best, row = np.inf, None
-            for b in batches:
-                if b.num_rows:
-                    c = cost(bags := _Bags.of(b))
-                    i = int(c.argmin())
-                    if c[i] < best:
-                        best, row = c[i], bags.one(i).batch()
+            best, row = (np.inf, 0), None
+            for _, b in _Bags.read(batches):
+                c = cost(b)
+                if (one := _least(b, c)) is not None and (c.min(), one.key[0]) < best:
+                    best, row = (c.min(), one.key[0]), one
             if row is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([best]), *row.columns], ["cost", *row.schema.names])
+                yield pa.RecordBatch.from_arrays([pa.array([best[0]]), pa.array([best[1]], pa.int64()), *row.columns(np.array([0, 1]))], ["cost", "of", *_Bags.COLUMNS])
 
-        r = self.rows.mapInArrow(find, f"cost double, {_Bags.SCHEMA}").orderBy("cost", "key").first()
-        if r is None:
-            return None
-        at, value = np.frombuffer(bytes(r.at), np.uint16).astype(np.int64), np.frombuffer(bytes(r.value), np.uint16).astype(float)
-        return _Bags(np.array([r.key]), np.array([r.lang]), at, np.array([len(at)]), value, np.array([r.pull]))
+        r = self.bags.mapInArrow(find, f"cost double, of long, {_Bags.SCHEMA}").orderBy("cost", "of").first()
+        return None if r is None else _Bags.of(pa.record_batch({c: pa.array([bytes(r[c])], pa.binary()) for c in _Bags.COLUMNS}))
 
     def map(self, f) -> _Spread:
-        """What ``f`` makes, weights for values."""
+        """What ``f`` makes of values and pulls, weights for values. Other columns stay."""
         kind = self.kind
 
         @_text.tidy
         def run(batches):
-            for b in batches:
-                if b.num_rows:
-                    yield f(_Bags.of(b, kind)).batch()
+            for s, b in _Bags.read(batches, kind):
+                new = f(b)
+                made = {"value": _binary(new.value.astype(np.uint16), _text.buffers(s.column("at"))[1] // 2), "pull": _binary(new.pull.astype(np.int32), _text.buffers(s.column("key"))[1] // 8)}
+                yield pa.RecordBatch.from_arrays([made.get(c, s.column(c)) for c in s.schema.names], s.schema.names)
 
-        return _Spread(self.rows.mapInArrow(run, _Bags.SCHEMA))
+        return _Spread(self.rows.mapInArrow(run, self.rows.schema), codec="none")  # read many times
 
     def drop(self) -> None:
         drop(self.rows)
@@ -213,13 +296,14 @@ class Topics:
     def fit(self, texts: pa.Array, langs: list, rounds: int = 20, seed: int = 5) -> Topics:
         """Centres from texts that are held here."""
         self.know(Counter(str(v) for v in langs if v is not None))
-        return self.learn(_Here(self.bags(texts, langs, np.arange(len(texts)))[1]), rounds, seed)
+        self.learn(_Here(self.bags(texts, langs, np.arange(len(texts)))[1]), rounds, seed)
+        return self
 
     def know(self, count: dict) -> None:
         self.languages = {v: i for i, v in enumerate(sorted(count, key=lambda v: (-count[v], v))[:LANGUAGES])}
 
-    def learn(self, docs: _Here | _Spread, rounds: int = 20, seed: int = 5) -> Topics:
-        """Every document counts in the words' idf, in its language's mean, as a first centre and in each round's centres. ``docs`` is dropped."""
+    def learn(self, docs: _Here | _Spread, rounds: int = 20, seed: int = 5) -> _Here | _Spread:
+        """Every document counts in the words' idf, in its language's mean, as a first centre and in each round's centres. ``docs`` is dropped; returns its weights."""
         last = len(self.languages) + 1
         df = docs.total(lambda b: np.append(np.bincount(b.at, minlength=PLACES), len(b.size)), PLACES + 1)
         self.idf = np.log((df[-1] + 1) / (df[:-1] + 1))
@@ -237,9 +321,12 @@ class Topics:
 
         bags = docs.map(weigh)
         docs.drop()
-        centres = np.zeros((0, PLACES))
-        for n in range(self.k):  # far from those chosen, by chance: the least of exponential times at these rates
-            one = bags.least(_chance(centres, mean @ centres.T, seed + 1000 * n))
+        centres, seeds = np.zeros((0, PLACES)), [seed + 1000 * n for n in range(self.k)]
+        for s, (few, late) in zip(seeds, bags.soonest(seeds, SOONEST)):  # far from those chosen, by chance: the least of exponential times at these rates
+            cost = _chance(centres, mean @ centres.T, s)
+            one, most = _least(few, c := cost(few)), (1 + 1.01 * np.sqrt((centres**2).sum(1).max(initial=0)) / STEP) ** 2
+            if late < np.inf and not c.min() < late / most:  # a text that isn't here has a rate of ``most`` at most
+                one = bags.least(cost)
             if one is None:
                 break
             v = -mean[one.lang[0]] / FINE
@@ -254,10 +341,9 @@ class Topics:
             pull = sums[k * PLACES :].reshape(k, last)
             new = _whole(sums[: k * PLACES].reshape(k, PLACES) / STEP - pull @ (mean / FINE))
             centres = np.where(pull.sum(1, keepdims=True) > 0, new, centres)
-        bags.drop()
         self.centres = centres if k else np.zeros((1, PLACES))
         self.shift = mean @ self.centres.T
-        return self
+        return bags
 
     def of(self, texts: pa.Array, langs: list) -> tuple[np.ndarray, np.ndarray]:
         words, b = self.bags(texts, langs, np.arange(len(texts)))
@@ -279,12 +365,17 @@ def _chance(centres: np.ndarray, shift: np.ndarray, seed: int):
         if len(centres):
             far *= np.maximum(1 - (_like(b, b.value, centres, shift) * (b.pull / PULL)[:, None]).max(1), 0) ** 2
             far[far < 1e-6] = 0  # a copy of a centre, but for rounding
-        u = ((_text.mix(b.key.astype(np.int64).view(np.uint64) ^ _text.mix(np.array([seed], np.uint64))) >> np.uint64(11)) + 0.5) / 2.0**53
-        return np.divide(-np.log(u), far, out=np.full(len(far), np.inf), where=far > 0)
+        return np.divide(_wait(b.key, seed), far, out=np.full(len(far), np.inf), where=far > 0)
 
     return cost
 
 
+def _wait(key: np.ndarray, seed: int) -> np.ndarray:
+    """Exponential times by key, at rate 1."""
+    u = ((_text.mix(key.astype(np.int64).view(np.uint64) ^ _text.mix(np.array([seed], np.uint64))) >> np.uint64(11)) + 0.5) / 2.0**53
+    return -np.log(u)
+
+
 def _pulls(centres: np.ndarray, shift: np.ndarray):
     """For each centre, the sum of its nearest texts' weights over their lengths, and of each language's 1 / length."""
     k, last = len(centres), len(shift)
@@ -298,22 +389,61 @@ def _pulls(centres: np.ndarray, shift: np.ndarray):
 
 
 def fit_topics(docs: DataFrame, id_col: str, text_col: str, lang_col: str | None) -> Topics:
-    """Topics of ``docs``, from all of them; the distinct hashed words of each are kept in a table while it lasts."""
+    """Topics of ``docs``, from all of them."""
+    model, bags = _learn(docs, id_col, text_col, lang_col)
+    bags.drop()
+    return model
+
+
+def _learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str | None, columns: list = ()) -> tuple[Topics, _Spread]:
+    """Topics of ``docs``, and the table of weights. Its column ``texts`` has for each text of a row ``row`` (``columns``; if none, the id) and ``tokens``, texts without words last."""
     lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
     model = Topics()
     if lang_col:
         model.know({r.lang: r.n for r in docs.groupBy(lang.alias("lang")).agg(F.count(F.lit(1)).alias("n")).where("lang is not null").orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).collect()})
-    src = docs.select(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), lang).alias("key"), lang.alias("lang"), F.col(text_col).alias("text"))
+    src = docs.select(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), lang).alias("key"), lang.alias("lang"), F.col(text_col).cast("string").alias("text"), F.struct(*_columns(docs, columns or [id_col])).alias("row"))
+    text = T.StructType([src.schema["row"], T.StructField("tokens", T.LongType())])
+    schema = T.StructType([T.StructField("texts", T.ArrayType(text)), *[T.StructField(c, T.BinaryType()) for c in _Bags.COLUMNS]])
 
     @_text.tidy
     def read(batches):
         for batch in batches:
             for s in _text.slices(batch):
-                _, bags = model.bags(s.column("text").cast(pa.string()), s.column("lang").to_pylist(), s.column("key").to_numpy())
-                if len(bags.size):
-                    yield bags.batch(np.uint32)
+                words, bags = model.bags(s.column("text").cast(pa.string()), s.column("lang").to_pylist(), s.column("key").to_numpy())
+                order = np.argsort(words == 0, kind="stable")
+                begin = np.flatnonzero(np.diff((bags.cut + 8 * np.arange(len(bags.size))) // PACK, prepend=-1)) if len(bags.size) else np.zeros(1, np.int64)
+                texts = pa.StructArray.from_arrays([s.column("row"), pa.array(words, pa.int64())], ["row", "tokens"]).take(pa.array(order))
+                texts = pa.ListArray.from_arrays(pa.array(np.append(begin, len(words)), pa.int32()), texts)
+                yield pa.RecordBatch.from_arrays([texts, *bags.columns(np.append(begin, len(bags.size)), np.uint32)], schema.names)
+
+    return model, model.learn(_Spread(src.mapInArrow(read, schema), np.uint32))
+
 
-    return model.learn(_Spread(src.mapInArrow(read, _Bags.SCHEMA), np.uint32))
+def _found(model: Topics, bags: _Spread) -> DataFrame:
+    """(row, tokens, topic) of each text of ``bags``, as a table; ``bags`` is dropped."""
+
+    @_text.tidy
+    def run(batches):
+        for s, b in _Bags.read(batches):
+            texts, of = s.column("texts"), np.full(len(s.column("texts").flatten()), -1)
+            have = np.diff(_text.buffers(s.column("key"))[1]) // 8
+            at = np.cumsum(texts.value_lengths().to_numpy()) - texts.value_lengths().to_numpy()
+            of[np.repeat(at - (np.cumsum(have) - have), have) + np.arange(len(b.size))] = _like(b, b.value, model.centres, model.shift).argmax(1)
+            row, tokens = texts.flatten().flatten()
+            yield pa.RecordBatch.from_arrays([row, tokens, pa.array([_name(k) for k in of.tolist()], pa.string())], ["row", "tokens", "topic"])
+
+    one = bags.rows.schema["texts"].dataType.elementType
+    out = table(bags.rows.mapInArrow(run, T.StructType([*one.fields, T.StructField("topic", T.StringType())])), "topics")
+    bags.drop()
+    return out
+
+
+def _columns(docs: DataFrame, names) -> list:
+    return [docs["`" + c.replace("`", "``") + "`"] for c in names]
+
+
+def _name(topic: int) -> str:
+    return "none" if topic < 0 else f"topic-{topic:02}"
 
 
 def rake(cells: np.ndarray, at: list[np.ndarray], targets: list[np.ndarray], tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> np.ndarray:
@@ -396,45 +526,65 @@ def _factors(cells: DataFrame, dims: tuple, targets: dict | None, temperature: f
     return w.withColumn("p", F.when(F.col("tokens") > 0, F.least(F.col("factor") / over, F.lit(1.0))).otherwise(1.0)).drop("factor")
 
 
-def _weigh(docs: DataFrame, dims: tuple, targets: dict | None, temperature: float, rounds: int, id_col: str, text_col: str, lang_col: str) -> tuple[DataFrame, DataFrame, tuple]:
-    """(row, tokens, topic, the dimensions' values, i), the cells with their probabilities, and the values' names. ``row`` holds the caller's columns."""
-    spark = session(docs)
-    made = "topic" in dims and "topic" not in docs.columns
-    lang = lang_col if lang_col in docs.columns else None
-    model = spark.sparkContext.broadcast(fit_topics(docs, id_col, text_col, lang) if made else Topics())
-    rows = docs.select(F.struct(*same_columns(docs)).alias("row"), F.lit(0).cast("long").alias("tokens"), F.lit("").alias("topic"))
-    schema = rows.schema
-    at, of_lang = docs.columns.index(text_col), docs.columns.index(lang) if lang else None
+def _read(docs: DataFrame, columns: list, text_col: str, lang_col: str | None, model: Topics | None) -> DataFrame:
+    """(row, tokens, topic) of docs, from their texts. ``row`` holds ``columns``; without a model the topic is empty."""
+    row = F.struct(*_columns(docs, columns)).alias("row")
+    lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
+    src = docs.select(row, lang.alias("lang"), *([] if text_col in columns else [F.col(text_col).cast("string").alias("text")]))
+    schema = docs.select(row, F.lit(0).cast("long").alias("tokens"), F.lit("").alias("topic")).schema
+    at = columns.index(text_col) if text_col in columns else None
+    known = docs.sparkSession.sparkContext.broadcast(model)
 
     @_text.tidy
     def run(batches):
         for batch in batches:
-            row = batch.column(0)
-            texts = row.field(at).cast(pa.string())
-            langs = row.field(of_lang).cast(pa.string()) if of_lang is not None else pa.nulls(len(row), pa.string())
+            row, langs = batch.column(0), batch.column(1)
+            texts = batch.column(2) if at is None else row.field(at).cast(pa.string())
             for s in _text.slices(pa.record_batch({"row": row, "text": texts, "lang": langs})):
-                if made:
-                    tokens, kind = model.value.of(s.column("text"), s.column("lang").to_pylist())
-                    topic = ["none" if k < 0 else f"topic-{k:02}" for k in kind.tolist()]
+                if known.value is not None:
+                    tokens, kind = known.value.of(s.column("text"), s.column("lang").to_pylist())
+                    topic = [_name(k) for k in kind.tolist()]
                 else:
                     tokens, topic = np.diff(_text.word_starts(*_text.buffers(s.column("text")))[1]), [""] * s.num_rows
                 yield pa.RecordBatch.from_arrays([s.column("row"), pa.array(tokens, pa.int64()), pa.array(topic, pa.string())], schema.names)
 
+    return src.mapInArrow(run, schema)
+
+
+def _weigh(
+    docs: DataFrame, dims: tuple, targets: dict | None, temperature: float, rounds: int, id_col: str, text_col: str, lang_col: str, columns: list
+) -> tuple[DataFrame, DataFrame, tuple]:
+    """(row, tokens, topic, the dimensions' values, i), the cells with their probabilities, and the values' names. ``row`` holds ``columns`` of the caller's, at least."""
+    session(docs)
+    made = "topic" in dims and "topic" not in docs.columns
+    lang = lang_col if lang_col in docs.columns else None
     names = tuple(f"d{i}" for i in range(len(dims)))
+    columns = [c for c in docs.columns if c in {*columns, id_col, *dims}]
+    whole = text_col in columns
     value = lambda d: F.col("topic") if d == "topic" and made else F.col("row").getField(d).cast("string")
-    rows = rows.mapInArrow(run, schema).select("row", "tokens", *[value(d).alias(n) for d, n in zip(dims, names)], value("topic").alias("topic") if "topic" in dims else F.lit(None).cast("string").alias("topic"))
-    cells = _factors(rows.groupBy(*names).agg(F.sum("tokens").alias("tokens")), names, {n: targets[d] for d, n in zip(dims, names) if d in (targets or {})}, temperature, rounds)
-    return rows, table(cells, "weights"), names
+    shown = lambda rows: rows.select("row", "tokens", *[value(d).alias(n) for d, n in zip(dims, names)], value("topic").alias("topic") if "topic" in dims else F.lit(None).cast("string").alias("topic"))
+    model, found = None, None
+    if made:
+        model, bags = _learn(docs, id_col, text_col, lang, [c for c in columns if c in dims] if whole else columns)
+        found = shown(_found(model, bags))
+    rows = found if made and not whole else shown(_read(docs, columns, text_col, lang, model))
+    tokens = (found if made else rows).groupBy(*names).agg(F.sum("tokens").alias("tokens"))
+    cells = table(_factors(tokens, names, {n: targets[d] for d, n in zip(dims, names) if d in (targets or {})}, temperature, rounds), "weights")
+    if made and whole:
+        drop(found)
+    return rows, cells, names
 
 
 def weigh(
-    docs: DataFrame, dims: tuple = DIMS, targets: dict | None = None, temperature: float = TEMPERATURE, keep: float = 1.0, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", packed: bool = False
+    docs: DataFrame, dims: tuple = DIMS, targets: dict | None = None, temperature: float = TEMPERATURE, keep: float = 1.0, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", packed: bool = False, columns: list | None = None
 ) -> DataFrame:
     """docs with _tokens, _topic, _p (probability) and _kept; columns of these names are replaced. ``packed``: the caller's columns stay in one, ``row``.
+    ``columns``: of the caller's, those that are returned; all, if not given.
 
     A ``topic`` is made from the text if docs have none (a missing ``lang`` or ``source`` is an error).
     """
-    rows, cells, names = _weigh(docs, dims, targets, temperature, rounds, id_col, text_col, lang_col)
+    columns = docs.columns if columns is None else columns
+    rows, cells, names = _weigh(docs, dims, targets, temperature, rounds, id_col, text_col, lang_col, columns)
     f = cells.select(*[F.col(n).alias(f"{n}_") for n in names], (F.col("p") * keep).alias("_p"))
     small = f.limit(MAX_CELLS + 1).count() <= MAX_CELLS
     met = rows.join(F.broadcast(f) if small else f, [rows[n].eqNullSafe(f[f"{n}_"]) for n in names])
@@ -442,7 +592,7 @@ def weigh(
     new = [F.col("tokens").alias("_tokens"), F.col("topic").alias("_topic"), F.col("_p"), (u < F.col("_p")).alias("_kept")]
     if packed:
         return met.select("row", *new)
-    held = docs.drop("_tokens", "_topic", "_p", "_kept").columns
+    held = [c for c in docs.drop("_tokens", "_topic", "_p", "_kept").columns if c in columns]
     return met.select(*[F.col("row").getField(c).alias(c) for c in held], *new)
 
 
@@ -450,7 +600,7 @@ def report(
     docs: DataFrame, dims: tuple = DIMS, targets: dict | None = None, temperature: float = TEMPERATURE, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> DataFrame:
     """(dimension, value, share, target, expected): each value's share of the tokens, its target, and the share it is expected to have in the sample."""
-    _, cells, names = _weigh(docs, dims, targets, temperature, rounds, id_col, text_col, lang_col)
+    _, cells, names = _weigh(docs, dims, targets, temperature, rounds, id_col, text_col, lang_col, docs.columns)
     total = cells.agg(F.sum("tokens").alias("n"), F.sum(F.col("tokens") * F.col("p")).alias("e")).first()
     n, e = float(total.n or 1), float(total.e or 1)
     each = [
@@ -468,5 +618,5 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, topic, probability, kept."""
-    w = weigh(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang"))
+    w = weigh(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang"), columns=["doc_id"])
     return w.select("doc_id", F.col("_tokens").alias("n_tokens"), F.col("_topic").alias("topic"), F.col("_p").alias("probability"), F.col("_kept").alias("kept"))
